@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["spc"]
+AREAS = ["spc", "profile"]
 
 
 def _modules():
