@@ -56,6 +56,10 @@ def _monotone_double(df: DataFrame, c: Column) -> Column | None:
         return F.unix_micros(c.cast("timestamp")).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("double")
+    if isinstance(dt, T.StringType):
+        # first 6 UTF-8 bytes as a 48-bit integer: monotone in Spark's byte-wise order
+        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
     return None
 
 

@@ -41,35 +41,20 @@ def _bracket(grid_col, t, m, pad: int = 3):
     return lo, hi
 
 
-def exact_quantiles(long_df: DataFrame, keys: Sequence[str] | str | None, value: str,
-                    probs: Sequence[float], max_candidates: int = MAX_CANDIDATES,
-                    broadcast_state: bool | None = None) -> DataFrame:
-    """Exact quantiles of ``value`` per ``keys`` for each prob.
+def _solve(data: DataFrame, keys: list[str], state: DataFrame, bc: bool,
+           max_candidates: int) -> DataFrame:
+    """Resolve (keys, __lab) targets: ranks __tlo/__thi (0-based) and __frac.
 
-    Returns ``keys..., prob, quantile`` (NULL when a group has no non-null value).
-    ``broadcast_state``: the per-(group, prob) state has one row per group and
-    prob; broadcast it when the caller knows the group count is small (default:
-    only when there are no keys).
+    ``data`` has keys + ``__v`` (non-null); ``state`` has keys, __lab, __n,
+    __tlo, __thi, __frac.  Returns keys, __lab, __q.
     """
-    keys = col_list(keys)
-    bc = (not keys) if broadcast_state is None else broadcast_state
-    spark = long_df.sparkSession
-    data = long_df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    # all NULL-valued groups still need a row (quantile NULL)
-    groups = long_df.select(*keys).distinct() if keys else None
-    probs_df = spark.createDataFrame([(float(p),) for p in probs], "prob double")
-    counts = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    state = (counts.crossJoin(F.broadcast(probs_df))
-             .withColumn("__h", (F.col("__n") - 1) * F.col("prob"))
-             .withColumn("__tlo", F.floor("__h").cast("long"))
-             .withColumn("__thi", F.ceil("__h").cast("long"))
-             .withColumn("__frac", F.col("__h") - F.floor("__h"))
-             .withColumn("__lo", F.lit(None).cast("double"))
+    state = (state.withColumn("__lo", F.lit(None).cast("double"))
              .withColumn("__hi", F.lit(None).cast("double"))
              .withColumn("__m", F.col("__n")))
+    lab = ["__lab"]
 
     def candidates(st):
-        c = join_small(data, st.select(*keys, "prob", "__lo", "__hi"), keys, broadcast_small=bc)
+        c = join_small(data, st.select(*keys, "__lab", "__lo", "__hi"), keys, broadcast_small=bc)
         return c.filter((F.col("__lo").isNull() | (F.col("__v") >= F.col("__lo")))
                         & (F.col("__hi").isNull() | (F.col("__v") <= F.col("__hi"))))
 
@@ -79,50 +64,106 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str] | str | None, value:
             break
         cand = candidates(state)
         grid = [i / GRID for i in range(1, GRID)]
-        sk = cand.groupBy(*keys, "prob").agg(F.percentile_approx("__v", grid, ACCURACY).alias("__g"))
-        st2 = join_small(state, sk, keys + ["prob"], broadcast_small=bc)
+        sk = cand.groupBy(*keys, *lab).agg(F.percentile_approx("__v", grid, ACCURACY).alias("__g"))
+        st2 = join_small(state, sk, keys + lab, broadcast_small=bc)
         nlo, _ = _bracket(F.col("__g"), F.col("__tlo").cast("double"), F.col("__m").cast("double"))
         _, nhi = _bracket(F.col("__g"), F.col("__thi").cast("double"), F.col("__m").cast("double"))
         # an open end of the new bracket keeps the old bound (ranks are relative to it)
         st2 = (st2.withColumn("__nlo", F.coalesce(nlo, F.col("__lo")))
                .withColumn("__nhi", F.coalesce(nhi, F.col("__hi"))).drop("__g"))
-        c2 = join_small(cand.drop("__lo", "__hi"), st2.select(*keys, "prob", "__nlo", "__nhi"),
-                        keys + ["prob"], broadcast_small=bc)
-        tallies = c2.groupBy(*keys, "prob").agg(
+        c2 = join_small(cand.drop("__lo", "__hi"), st2.select(*keys, *lab, "__nlo", "__nhi"),
+                        keys + lab, broadcast_small=bc)
+        tallies = c2.groupBy(*keys, *lab).agg(
             F.count_if(F.col("__nlo").isNotNull() & (F.col("__v") < F.col("__nlo"))).alias("__below"),
             F.count_if((F.col("__nlo").isNull() | (F.col("__v") >= F.col("__nlo")))
                        & (F.col("__nhi").isNull() | (F.col("__v") <= F.col("__nhi")))).alias("__inside"))
-        st3 = join_small(st2, tallies, keys + ["prob"], broadcast_small=bc)
+        st3 = join_small(st2, tallies, keys + lab, broadcast_small=bc)
         ok = (F.col("__below") <= F.col("__tlo")) & (F.col("__thi") < F.col("__below") + F.col("__inside"))
         state = st3.select(
-            *keys, "prob", "__n", "__h", "__frac",
+            *keys, *lab, "__n", "__frac",
             F.when(ok, F.col("__tlo") - F.col("__below")).otherwise(F.col("__tlo")).alias("__tlo"),
             F.when(ok, F.col("__thi") - F.col("__below")).otherwise(F.col("__thi")).alias("__thi"),
             F.when(ok, F.col("__nlo")).otherwise(F.col("__lo")).alias("__lo"),
             F.when(ok, F.col("__nhi")).otherwise(F.col("__hi")).alias("__hi"),
             F.when(ok, F.col("__inside")).otherwise(F.col("__m")).alias("__m"))
-        # the state is tiny (one row per group and prob); pin it to keep the plan short
+        # the state is tiny (one row per group and target); pin it to keep the plan short
         state = state.checkpoint(eager=True)
 
     cand = candidates(state)
-    w = Window.partitionBy(*keys, "prob").orderBy("__v")
+    w = Window.partitionBy(*keys, *lab).orderBy("__v")
     ranked = cand.withColumn("__r", F.row_number().over(w) - 1)
     ranked = join_small(ranked.drop("__lo", "__hi"),
-                        state.select(*keys, "prob", "__tlo", "__thi", "__frac"),
-                        keys + ["prob"], broadcast_small=bc)
+                        state.select(*keys, *lab, "__tlo", "__thi", "__frac"),
+                        keys + lab, broadcast_small=bc)
     picked = (ranked.filter((F.col("__r") == F.col("__tlo")) | (F.col("__r") == F.col("__thi")))
-              .groupBy(*keys, "prob")
+              .groupBy(*keys, *lab)
               .agg(F.max(F.when(F.col("__r") == F.col("__tlo"), F.col("__v"))).alias("__a"),
                    F.max(F.when(F.col("__r") == F.col("__thi"), F.col("__v"))).alias("__b"),
                    F.first("__frac").alias("__frac")))
-    res = picked.select(*keys, "prob",
-                        (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__frac")).alias("quantile"))
+    return picked.select(*keys, *lab,
+                         (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__frac")).alias("__q"))
+
+
+def _prepare(long_df: DataFrame, keys: list[str], value: str):
+    data = long_df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    counts = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return data, counts
+
+
+def _complete(long_df, keys, labels_df, res, lab_name):
+    """Every group of the input (even all-NULL ones) gets a row per target."""
     if keys:
-        full = groups.crossJoin(F.broadcast(probs_df))
-        res = join_small(full, res, keys + ["prob"], how="left")
+        full = long_df.select(*keys).distinct().crossJoin(F.broadcast(labels_df))
+        res = join_small(full, res, keys + ["__lab"], how="left")
     else:
-        res = probs_df.join(res, "prob", "left")
-    return res
+        res = labels_df.join(res, "__lab", "left")
+    return res.withColumnRenamed("__lab", lab_name)
+
+
+def exact_quantiles(long_df: DataFrame, keys: Sequence[str] | str | None, value: str,
+                    probs: Sequence[float], max_candidates: int = MAX_CANDIDATES,
+                    broadcast_state: bool | None = None) -> DataFrame:
+    """Exact quantiles of ``value`` per ``keys`` for each prob.
+
+    Returns ``keys..., prob, quantile`` (NULL when a group has no non-null value).
+    ``broadcast_state``: the per-(group, prob) state has one row per group and
+    prob; broadcast it when the caller knows the group count is small (default:
+    only when there are no keys).
+    """
+    keys = col_list(keys)
+    bc = (not keys) if broadcast_state is None else broadcast_state
+    spark = long_df.sparkSession
+    data, counts = _prepare(long_df, keys, value)
+    labels = spark.createDataFrame([(float(p),) for p in probs], "__lab double")
+    h = (F.col("__n") - 1) * F.col("__lab")
+    state = (counts.crossJoin(F.broadcast(labels))
+             .withColumn("__tlo", F.floor(h).cast("long"))
+             .withColumn("__thi", F.ceil(h).cast("long"))
+             .withColumn("__frac", h - F.floor(h)))
+    res = _solve(data, keys, state, bc, max_candidates).withColumnRenamed("__q", "quantile")
+    return _complete(long_df, keys, labels, res, "prob")
+
+
+def order_statistics(long_df: DataFrame, keys: Sequence[str] | str | None, value: str,
+                     ranks: dict, max_candidates: int = MAX_CANDIDATES,
+                     broadcast_state: bool | None = None) -> DataFrame:
+    """Exact order statistics: ``ranks`` maps a name to fn(n_column) -> 0-based rank.
+
+    Returns ``keys..., stat, value``.
+    """
+    keys = col_list(keys)
+    bc = (not keys) if broadcast_state is None else broadcast_state
+    spark = long_df.sparkSession
+    data, counts = _prepare(long_df, keys, value)
+    names = list(ranks)
+    labels = spark.createDataFrame([(n,) for n in names], "__lab string")
+    rank = F.lit(None).cast("long")
+    for n in names:
+        rank = F.when(F.col("__lab") == n, ranks[n](F.col("__n")).cast("long")).otherwise(rank)
+    state = (counts.crossJoin(F.broadcast(labels)).withColumn("__tlo", rank)
+             .withColumn("__thi", rank).withColumn("__frac", F.lit(0.0)))
+    res = _solve(data, keys, state, bc, max_candidates).withColumnRenamed("__q", "value")
+    return _complete(long_df, keys, labels, res, "stat")
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

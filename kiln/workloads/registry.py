@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["spc", "profile"]
+AREAS = ["spc", "profile", "prep"]
 
 
 def _modules():
