@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["spc", "profile", "prep"]
+AREAS = ["spc", "profile", "prep", "clean"]
 
 
 def _modules():
