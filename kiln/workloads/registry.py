@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["spc", "profile", "prep", "clean"]
+AREAS = ["spc", "profile", "prep", "clean", "timeseries"]
 
 
 def _modules():
