@@ -19,12 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every double column (the SQL twin rounds the same columns)."""
+def rounded(df: DataFrame, digits: int = DIGITS, per_column: dict | None = None) -> DataFrame:
+    """Round every double column (the SQL twin rounds the same columns).
+
+    ``per_column`` overrides the digits of single columns (e.g. a mean of
+    2-decimal values sits exactly on a 6-digit rounding boundary).
+    """
+    per_column = per_column or {}
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), digits).alias(f.name))
+            cols.append(F.round(F.col(f.name), per_column.get(f.name, digits)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
