@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["spc", "profile", "prep", "clean", "timeseries", "explore", "pipeline"]
+AREAS = ["spc", "profile", "prep", "clean", "timeseries", "explore", "pipeline", "ml"]
 
 
 def _modules():
