@@ -152,3 +152,14 @@ def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str],
         cond = cond & big[k].eqNullSafe(s[f"__r_{k}"])
     out = big.join(s, cond, how)
     return out.drop(*[f"__r_{k}" for k in keys])
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a reused intermediate to the reliable checkpoint folder and read it back.
+
+    Used for small derived tables (e.g. one row per subgroup) that several
+    branches of a plan read: each branch then scans the written table instead of
+    recomputing the aggregation from the source, and the lineage is cut.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

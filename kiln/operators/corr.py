@@ -47,30 +47,37 @@ def correlation_matrix(df: DataFrame, method: str = "pearson", columns: Sequence
     x = [F.col(f"`{c}`").cast("double") for c in cols]
     diag_aggs = [F.count(x[i]).alias(f"n{i}") for i in range(len(cols))] + \
                 [F.stddev_pop(x[i]).alias(f"s{i}") for i in range(len(cols))]
-    if method == "pearson":
-        wide = df.agg(*[safe_corr(x[i], x[j]).alias(f"p{k}") for k, (i, j) in enumerate(pairs)], *diag_aggs)
-        off = [F.struct(F.lit(k).alias("pair"), F.nanvl(F.col(f"p{k}"), F.lit(None)).alias("r"))
-               for k in range(len(pairs))]
-        vals = wide.select(F.inline(F.array(*off)))
-    elif method in ("spearman", "kendall"):
-        pr = pair_rows(df, cols)
-        vals = spearman_pairs(pr) if method == "spearman" else kendall_pairs(pr)
-        wide = df.agg(*diag_aggs)
-    else:
-        raise ValueError(f"unknown correlation method {method!r}")
     names = spark.createDataFrame([(k, cols[i], cols[j], i, j) for k, (i, j) in enumerate(pairs)],
                                   "pair int, column_a string, column_b string, pos_a int, pos_b int")
-    off = join_small(names, vals, ["pair"], broadcast_small=True, how="left").drop("pair")
-    mirrored = off.select(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"),
-                          F.col("pos_b").alias("pos_a"), F.col("pos_a").alias("pos_b"), "r")
     if method == "kendall":
         diag = [F.when(F.col(f"n{i}") >= 1, F.lit(1.0)) for i in range(len(cols))]
     else:
         diag = [F.when((F.col(f"n{i}") >= 2) & (F.col(f"s{i}") > 0), F.lit(1.0)) for i in range(len(cols))]
-    d = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_a"), F.lit(c).alias("column_b"), F.lit(i).alias("pos_a"),
-                 F.lit(i).alias("pos_b"), diag[i].cast("double").alias("r")) for i, c in enumerate(cols)])))
-    return off.unionByName(mirrored).unionByName(d)
+    diag_structs = [F.struct(F.lit(c).alias("column_a"), F.lit(c).alias("column_b"), F.lit(i).alias("pos_a"),
+                             F.lit(i).alias("pos_b"), diag[i].cast("double").alias("r"))
+                    for i, c in enumerate(cols)]
+    if method == "pearson":
+        # one aggregation, one row, expanded once into the full matrix
+        wide = df.agg(*[safe_corr(x[i], x[j]).alias(f"p{k}") for k, (i, j) in enumerate(pairs)], *diag_aggs)
+        cells = []
+        for k, (i, j) in enumerate(pairs):
+            v = F.col(f"p{k}")
+            cells.append(F.struct(F.lit(cols[i]).alias("column_a"), F.lit(cols[j]).alias("column_b"),
+                                  F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"), v.alias("r")))
+            cells.append(F.struct(F.lit(cols[j]).alias("column_a"), F.lit(cols[i]).alias("column_b"),
+                                  F.lit(j).alias("pos_a"), F.lit(i).alias("pos_b"), v.alias("r")))
+        return wide.select(F.inline(F.array(*cells, *diag_structs)))
+    if method not in ("spearman", "kendall"):
+        raise ValueError(f"unknown correlation method {method!r}")
+    pr = pair_rows(df, cols)
+    vals = spearman_pairs(pr) if method == "spearman" else kendall_pairs(pr)
+    off = join_small(names, vals, ["pair"], broadcast_small=True, how="left")
+    both = off.select(F.inline(F.array(
+        F.struct("column_a", "column_b", "pos_a", "pos_b", "r"),
+        F.struct(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"),
+                 F.col("pos_b").alias("pos_a"), F.col("pos_a").alias("pos_b"), "r"))))
+    d = df.agg(*diag_aggs).select(F.inline(F.array(*diag_structs)))
+    return both.unionByName(d)
 
 
 def lower_triangle(corr: DataFrame) -> DataFrame:

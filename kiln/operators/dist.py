@@ -20,6 +20,7 @@ from kiln.plans.stats import to_long
 
 HIST_BINS = 30
 KDE_POINTS = 200
+KDE_CHUNK = 50
 BOX_WHISKER = 1.5
 NOTCH = 1.57
 
@@ -85,12 +86,19 @@ def kde(df: DataFrame, columns: Sequence[str] | None = None, points: int = KDE_P
     st = st.withColumn("__h", F.col("__sd") * F.pow(F.col("__n").cast("double"), F.lit(-0.2)))
     j = join_small(long, st, keep + ["column"], broadcast_small=not keep)
     step = (F.col("__mx") - F.col("__mn")) / (points - 1)
-    sums = []
-    for k in range(points):
-        g = F.col("__mn") + step * k
-        z = (g - F.col("value")) / F.col("__h")
-        sums.append(F.sum(F.exp(-0.5 * z * z)).alias(f"k{k}"))
-    agg = j.groupBy(*keep, "column", "__mn", "__mx", "__n", "__h").agg(*sums)
+    gkeys = keep + ["column", "__mn", "__mx", "__n", "__h"]
+    # sums are split into aggregations of KDE_CHUNK columns: wider aggregation
+    # buffers fall out of whole-stage code generation
+    parts = []
+    for c0 in range(0, points, KDE_CHUNK):
+        sums = []
+        for k in range(c0, min(points, c0 + KDE_CHUNK)):
+            z = (F.col("__mn") + step * k - F.col("value")) / F.col("__h")
+            sums.append(F.sum(F.exp(-0.5 * z * z)).alias(f"k{k}"))
+        parts.append(j.groupBy(*gkeys).agg(*sums))
+    agg = parts[0]
+    for p in parts[1:]:
+        agg = join_small(agg, p, gkeys)
     norm = F.col("__n") * F.col("__h") * F.lit(math.sqrt(2 * math.pi))
     recs = [F.struct(F.lit(k).alias("point"), (F.col("__mn") + step * k).alias("x"),
                      (F.col(f"k{k}") / norm).alias("density")) for k in range(points)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.core import col_list
-from kiln.plans.ordering import bounded_window, ordered_index
+from kiln.plans.ordering import bounded_window, ordered_index, prefix_sum
 
 
 def time_series(df: DataFrame, datetime_col: str, value_cols: Sequence[str],
@@ -40,13 +40,19 @@ def trend_decomposition(df: DataFrame, datetime_col: str, value_col: str, order_
     after = (window - 1) // 2
     before = window - 1 - after
     idx = ordered_index(data, order, idx_col="point_index")
+    # rolling sum from global prefix sums: S[i + after] - S[i - before - 1]; O(n)
+    # whatever the window, instead of re-aggregating a w-row frame per row
+    cum = prefix_sum(idx, ["point_index"], F.col(value_col).cast("double"), "__S")
 
     def comp(w):
-        frame = w.rowsBetween(-before, after)
-        return [("__avg", F.avg(value_col).over(frame)), ("__cnt", F.count(value_col).over(frame))]
-
-    out = bounded_window(idx, "point_index", comp, before=before, after=after)
-    trend = F.when(F.col("__cnt") == window, F.col("__avg"))
+        ahead = F.lead("__S", after).over(w) if after else F.col("__S")
+        behind = F.lag("__S", before + 1).over(w)
+        start = F.when(F.col("point_index") == before, F.lit(0.0))
+        total = ahead - F.coalesce(behind, start)
+        return [("__sum", total)]
+
+    out = bounded_window(cum, "point_index", comp, before=before + 1, after=after)
+    trend = F.col("__sum") / F.lit(float(window))
     return out.select("point_index", F.col(f"`{datetime_col}`").cast("timestamp_ntz").alias(datetime_col),
                       F.col(value_col).cast("double").alias("value"), trend.alias("trend"),
                       (F.col(value_col) - trend).alias("residual"))

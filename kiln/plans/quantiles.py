@@ -12,6 +12,7 @@ Here the exact order statistics are found by narrowing a value bracket:
 3. Repeat on the rows inside the brackets until every bracket holds at most
    ``max_candidates`` rows; then a window numbers those rows and the two order
    statistics around rank (n-1)p are interpolated (pandas / ``quantile_cont``).
+   A group that is small from the start is sorted once for all targets.
 
 Input is long format: key columns + one numeric value column.
 """
@@ -27,7 +28,7 @@ from kiln.core import col_list, join_small
 
 GRID = 1000
 ACCURACY = 20000
-MAX_CANDIDATES = 1 << 18
+MAX_CANDIDATES = 1 << 20
 MAX_ROUNDS = 6
 
 
@@ -41,66 +42,116 @@ def _bracket(grid_col, t, m, pad: int = 3):
     return lo, hi
 
 
-def _solve(data: DataFrame, keys: list[str], state: DataFrame, bc: bool,
+def _solve(data: DataFrame, keys: list[str], state: DataFrame, labels: list, bc: bool,
            max_candidates: int) -> DataFrame:
-    """Resolve (keys, __lab) targets: ranks __tlo/__thi (0-based) and __frac.
-
-    ``data`` has keys + ``__v`` (non-null); ``state`` has keys, __lab, __n,
-    __tlo, __thi, __frac.  Returns keys, __lab, __q.
+    """Resolve targets: one state row per key with, for every target i,
+    ranks ``t{i}lo``/``t{i}hi`` (0-based), ``f{i}`` (interpolation weight),
+    bracket ``lo{i}``/``hi{i}`` (NULL = open) and ``m{i}`` (rows inside).
+
+    Passes over the data never multiply rows by the number of targets: the
+    first sketch is per key, counts are conditional aggregates per target, and
+    only rows inside a (narrow) bracket are expanded at the end.
+    ``data`` has keys + ``__v`` (non-null).  Returns keys, __lab, __q.
     """
-    state = (state.withColumn("__lo", F.lit(None).cast("double"))
-             .withColumn("__hi", F.lit(None).cast("double"))
-             .withColumn("__m", F.col("__n")))
-    lab = ["__lab"]
-
-    def candidates(st):
-        c = join_small(data, st.select(*keys, "__lab", "__lo", "__hi"), keys, broadcast_small=bc)
-        return c.filter((F.col("__lo").isNull() | (F.col("__v") >= F.col("__lo")))
-                        & (F.col("__hi").isNull() | (F.col("__v") <= F.col("__hi"))))
-
+    L = len(labels)
+    idx = range(L)
+    state = state.select(*keys, "__n", *[c for i in idx for c in (f"t{i}lo", f"t{i}hi", f"f{i}")],
+                         *[F.lit(None).cast("double").alias(f"lo{i}") for i in idx],
+                         *[F.lit(None).cast("double").alias(f"hi{i}") for i in idx],
+                         *[F.col("__n").alias(f"m{i}") for i in idx])
+
+    def inside(i, lo=None, hi=None):
+        lo = F.col(lo or f"lo{i}")
+        hi = F.col(hi or f"hi{i}")
+        return (lo.isNull() | (F.col("__v") >= lo)) & (hi.isNull() | (F.col("__v") <= hi))
+
+    def expanded(st):
+        """(keys, __i, __v) for rows inside the bracket of target __i."""
+        j = join_small(data, st, keys, broadcast_small=bc)
+        arr = F.array(*[F.when(inside(i), F.lit(i)) for i in idx])
+        return j.select(*keys, "__v", F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("__i"))
+
+    grid = [g / GRID for g in range(1, GRID)]
+    first = True
     for _ in range(MAX_ROUNDS):
-        biggest = state.agg(F.max("__m")).first()[0]
+        biggest = state.agg(F.greatest(*[F.max(f"m{i}") for i in idx]) if L > 1
+                            else F.max("m0")).first()[0]
         if biggest is None or biggest <= max_candidates:
             break
-        cand = candidates(state)
-        grid = [i / GRID for i in range(1, GRID)]
-        sk = cand.groupBy(*keys, *lab).agg(F.percentile_approx("__v", grid, ACCURACY).alias("__g"))
-        st2 = join_small(state, sk, keys + lab, broadcast_small=bc)
-        nlo, _ = _bracket(F.col("__g"), F.col("__tlo").cast("double"), F.col("__m").cast("double"))
-        _, nhi = _bracket(F.col("__g"), F.col("__thi").cast("double"), F.col("__m").cast("double"))
-        # an open end of the new bracket keeps the old bound (ranks are relative to it)
-        st2 = (st2.withColumn("__nlo", F.coalesce(nlo, F.col("__lo")))
-               .withColumn("__nhi", F.coalesce(nhi, F.col("__hi"))).drop("__g"))
-        c2 = join_small(cand.drop("__lo", "__hi"), st2.select(*keys, *lab, "__nlo", "__nhi"),
-                        keys + lab, broadcast_small=bc)
-        tallies = c2.groupBy(*keys, *lab).agg(
-            F.count_if(F.col("__nlo").isNotNull() & (F.col("__v") < F.col("__nlo"))).alias("__below"),
-            F.count_if((F.col("__nlo").isNull() | (F.col("__v") >= F.col("__nlo")))
-                       & (F.col("__nhi").isNull() | (F.col("__v") <= F.col("__nhi")))).alias("__inside"))
-        st3 = join_small(st2, tallies, keys + lab, broadcast_small=bc)
-        ok = (F.col("__below") <= F.col("__tlo")) & (F.col("__thi") < F.col("__below") + F.col("__inside"))
-        state = st3.select(
-            *keys, *lab, "__n", "__frac",
-            F.when(ok, F.col("__tlo") - F.col("__below")).otherwise(F.col("__tlo")).alias("__tlo"),
-            F.when(ok, F.col("__thi") - F.col("__below")).otherwise(F.col("__thi")).alias("__thi"),
-            F.when(ok, F.col("__nlo")).otherwise(F.col("__lo")).alias("__lo"),
-            F.when(ok, F.col("__nhi")).otherwise(F.col("__hi")).alias("__hi"),
-            F.when(ok, F.col("__inside")).otherwise(F.col("__m")).alias("__m"))
-        # the state is tiny (one row per group and target); pin it to keep the plan short
-        state = state.checkpoint(eager=True)
-
-    cand = candidates(state)
-    w = Window.partitionBy(*keys, *lab).orderBy("__v")
+        if first:
+            # every bracket is still the whole group: one sketch per key
+            sk = data.groupBy(*keys).agg(F.percentile_approx("__v", grid, ACCURACY).alias("__g"))
+            st2 = join_small(state, sk, keys, broadcast_small=bc)
+            gcol = {i: F.col("__g") for i in idx}
+        else:
+            sk = (expanded(state).groupBy(*keys, "__i")
+                  .agg(F.percentile_approx("__v", grid, ACCURACY).alias("__g")))
+            wide = sk.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, F.col("__g"))).alias(f"__g{i}")
+                                           for i in idx])
+            st2 = join_small(state, wide, keys, broadcast_small=bc)
+            gcol = {i: F.col(f"__g{i}") for i in idx}
+        for i in idx:
+            nlo, _ = _bracket(gcol[i], F.col(f"t{i}lo").cast("double"), F.col(f"m{i}").cast("double"))
+            _, nhi = _bracket(gcol[i], F.col(f"t{i}hi").cast("double"), F.col(f"m{i}").cast("double"))
+            # an open end of the new bracket keeps the old bound (ranks are relative to it)
+            st2 = (st2.withColumn(f"nlo{i}", F.coalesce(nlo, F.col(f"lo{i}")))
+                   .withColumn(f"nhi{i}", F.coalesce(nhi, F.col(f"hi{i}"))))
+        st2 = st2.drop("__g", *[f"__g{i}" for i in idx])
+        j = join_small(data, st2.select(*keys, *[c for i in idx for c in (f"lo{i}", f"hi{i}", f"nlo{i}", f"nhi{i}")]),
+                       keys, broadcast_small=bc)
+        aggs = []
+        for i in idx:
+            old = inside(i)
+            aggs.append(F.count_if(old & F.col(f"nlo{i}").isNotNull() & (F.col("__v") < F.col(f"nlo{i}")))
+                        .alias(f"b{i}"))
+            aggs.append(F.count_if(old & inside(i, f"nlo{i}", f"nhi{i}")).alias(f"in{i}"))
+        tallies = j.groupBy(*keys).agg(*aggs)
+        st3 = join_small(st2, tallies, keys, broadcast_small=bc)
+        cols = [*keys, "__n"]
+        for i in idx:
+            ok = (F.col(f"b{i}") <= F.col(f"t{i}lo")) & (F.col(f"t{i}hi") < F.col(f"b{i}") + F.col(f"in{i}"))
+            cols += [F.when(ok, F.col(f"t{i}lo") - F.col(f"b{i}")).otherwise(F.col(f"t{i}lo")).alias(f"t{i}lo"),
+                     F.when(ok, F.col(f"t{i}hi") - F.col(f"b{i}")).otherwise(F.col(f"t{i}hi")).alias(f"t{i}hi"),
+                     F.col(f"f{i}"),
+                     F.when(ok, F.col(f"nlo{i}")).otherwise(F.col(f"lo{i}")).alias(f"lo{i}"),
+                     F.when(ok, F.col(f"nhi{i}")).otherwise(F.col(f"hi{i}")).alias(f"hi{i}"),
+                     F.when(ok, F.col(f"in{i}")).otherwise(F.col(f"m{i}")).alias(f"m{i}")]
+        # the state is tiny (one row per group); pin it to keep the plan short
+        state = st3.select(*cols).checkpoint(eager=True)
+        first = False
+
+    lab_arr = F.array(*[F.lit(x) for x in labels])
+    if first:
+        # no narrowing was needed: each group has at most max_candidates rows,
+        # so one sort per group serves every target
+        w = Window.partitionBy(*keys).orderBy("__v")
+        ranked = data.withColumn("__r", F.row_number().over(w) - 1)
+        ranked = join_small(ranked, state.select(*keys, *[f"t{i}lo" for i in idx], *[f"t{i}hi" for i in idx]),
+                            keys, broadcast_small=bc)
+        hit = F.lit(False)
+        for i in idx:
+            hit = hit | (F.col("__r") == F.col(f"t{i}lo")) | (F.col("__r") == F.col(f"t{i}hi"))
+        vals = ranked.filter(hit).groupBy(*keys).agg(*[x for i in idx for x in (
+            F.max(F.when(F.col("__r") == F.col(f"t{i}lo"), F.col("__v"))).alias(f"a{i}"),
+            F.max(F.when(F.col("__r") == F.col(f"t{i}hi"), F.col("__v"))).alias(f"b{i}"))])
+        vals = join_small(vals, state.select(*keys, *[f"f{i}" for i in idx]), keys, broadcast_small=bc)
+        return vals.select(*keys, F.inline(F.array(*[
+            F.struct(F.element_at(lab_arr, i + 1).alias("__lab"),
+                     (F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}")).alias("__q"))
+            for i in idx])))
+    cand = expanded(state)
+    w = Window.partitionBy(*keys, "__i").orderBy("__v")
     ranked = cand.withColumn("__r", F.row_number().over(w) - 1)
-    ranked = join_small(ranked.drop("__lo", "__hi"),
-                        state.select(*keys, *lab, "__tlo", "__thi", "__frac"),
-                        keys + lab, broadcast_small=bc)
+    targets = state.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("__i"), F.col(f"t{i}lo").alias("__tlo"), F.col(f"t{i}hi").alias("__thi"),
+                 F.col(f"f{i}").alias("__frac")) for i in idx])).alias("__t")).select(*keys, "__t.*")
+    ranked = join_small(ranked, targets, keys + ["__i"], broadcast_small=bc)
     picked = (ranked.filter((F.col("__r") == F.col("__tlo")) | (F.col("__r") == F.col("__thi")))
-              .groupBy(*keys, *lab)
+              .groupBy(*keys, "__i")
               .agg(F.max(F.when(F.col("__r") == F.col("__tlo"), F.col("__v"))).alias("__a"),
                    F.max(F.when(F.col("__r") == F.col("__thi"), F.col("__v"))).alias("__b"),
                    F.first("__frac").alias("__frac")))
-    return picked.select(*keys, *lab,
+    return picked.select(*keys, F.element_at(lab_arr, F.col("__i") + 1).alias("__lab"),
                          (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__frac")).alias("__q"))
 
 
@@ -134,13 +185,15 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str] | str | None, value:
     bc = (not keys) if broadcast_state is None else broadcast_state
     spark = long_df.sparkSession
     data, counts = _prepare(long_df, keys, value)
-    labels = spark.createDataFrame([(float(p),) for p in probs], "__lab double")
-    h = (F.col("__n") - 1) * F.col("__lab")
-    state = (counts.crossJoin(F.broadcast(labels))
-             .withColumn("__tlo", F.floor(h).cast("long"))
-             .withColumn("__thi", F.ceil(h).cast("long"))
-             .withColumn("__frac", h - F.floor(h)))
-    res = _solve(data, keys, state, bc, max_candidates).withColumnRenamed("__q", "quantile")
+    probs = [float(p) for p in probs]
+    labels = spark.createDataFrame([(p,) for p in probs], "__lab double")
+    cols = []
+    for i, p in enumerate(probs):
+        h = (F.col("__n") - 1) * F.lit(p)
+        cols += [F.floor(h).cast("long").alias(f"t{i}lo"), F.ceil(h).cast("long").alias(f"t{i}hi"),
+                 (h - F.floor(h)).alias(f"f{i}")]
+    state = counts.select(*keys, "__n", *cols)
+    res = _solve(data, keys, state, probs, bc, max_candidates).withColumnRenamed("__q", "quantile")
     return _complete(long_df, keys, labels, res, "prob")
 
 
@@ -157,12 +210,12 @@ def order_statistics(long_df: DataFrame, keys: Sequence[str] | str | None, value
     data, counts = _prepare(long_df, keys, value)
     names = list(ranks)
     labels = spark.createDataFrame([(n,) for n in names], "__lab string")
-    rank = F.lit(None).cast("long")
-    for n in names:
-        rank = F.when(F.col("__lab") == n, ranks[n](F.col("__n")).cast("long")).otherwise(rank)
-    state = (counts.crossJoin(F.broadcast(labels)).withColumn("__tlo", rank)
-             .withColumn("__thi", rank).withColumn("__frac", F.lit(0.0)))
-    res = _solve(data, keys, state, bc, max_candidates).withColumnRenamed("__q", "value")
+    cols = []
+    for i, n in enumerate(names):
+        rk = ranks[n](F.col("__n")).cast("long")
+        cols += [rk.alias(f"t{i}lo"), rk.alias(f"t{i}hi"), F.lit(0.0).alias(f"f{i}")]
+    state = counts.select(*keys, "__n", *cols)
+    res = _solve(data, keys, state, names, bc, max_candidates).withColumnRenamed("__q", "value")
     return _complete(long_df, keys, labels, res, "stat")
 
 

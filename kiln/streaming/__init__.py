@@ -1,0 +1,7 @@
+"""Structured Streaming.
+
+The reference works on one whole table at a time: it has no streams, windows
+over event time, watermarks or stateful operators, so nothing is built here.
+Every operator in ``kiln.operators`` takes a DataFrame and can be applied to a
+micro-batch through ``writeStream.foreachBatch`` when a caller needs it.
+"""
