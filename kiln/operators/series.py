@@ -53,6 +53,6 @@ def trend_decomposition(df: DataFrame, datetime_col: str, value_col: str, order_
 
     out = bounded_window(cum, "point_index", comp, before=before + 1, after=after)
     trend = F.col("__sum") / F.lit(float(window))
-    return out.select("point_index", F.col(f"`{datetime_col}`").cast("timestamp_ntz").alias(datetime_col),
+    return out.select("point_index", F.col(f"`{datetime_col}`"),
                       F.col(value_col).cast("double").alias("value"), trend.alias("trend"),
                       (F.col(value_col) - trend).alias("residual"))
