@@ -35,6 +35,7 @@ from kiln.core import col_list, ensure_checkpoint_dir, is_numeric, join_small
 DEFAULT_BUCKET_ROWS = 1 << 20
 MAX_BUCKETS = 4096
 TARGET_BUCKET_ROWS = 1 << 21
+HOT_KEY_ROWS = 4 * TARGET_BUCKET_ROWS
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -63,31 +64,54 @@ def _monotone_double(df: DataFrame, c: Column) -> Column | None:
     return None
 
 
+def _range_buckets(df: DataFrame, order: list[Column], num_buckets: int | None,
+                   n: int | None = None) -> DataFrame:
+    """Range partitions of (order, row hash) as buckets, pinned by a reliable checkpoint.
+
+    The hash only orders rows whose keys tie (their relative order is
+    arbitrary anyway), so a hot key value is spread over many partitions.  The
+    checkpoint fixes the partition of every row for all later reads.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    k = num_buckets or max(_partitions(df, None), -(-(n or 0) // TARGET_BUCKET_ROWS))
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    ranged = df.repartitionByRange(int(k), *order, tie).withColumn("__bk", F.spark_partition_id())
+    return ranged.checkpoint(eager=True)
+
+
 def assign_buckets(df: DataFrame, order_by, num_buckets: int | None = None) -> DataFrame:
     """Add ``__bk``: contiguous value ranges of the first order key, in order.
 
     The split points are approximate quantiles of that key (one small job; the
     list has at most ``num_buckets`` values), and the bucket is a pure function
     of the row's key, so every recomputation of the plan agrees.  NULL keys sort
-    first (bucket -1).  For a key with no numeric image the rows are range
-    partitioned and the partition id is pinned with a reliable checkpoint.
+    first (bucket -1).  For a key with no numeric image, or a first-column value
+    that alone holds several buckets' worth of rows, the rows are range
+    partitioned on the full key (ties spread by a row hash) and the partition
+    id is pinned with a reliable checkpoint.
     """
     order = _order_cols(order_by)
     img = _monotone_double(df, order[0])
     if img is None:
-        ensure_checkpoint_dir(df.sparkSession)
-        k = num_buckets or max(_partitions(df, None), 1)
-        ranged = df.repartitionByRange(k, *order).withColumn("__bk", F.spark_partition_id())
-        return ranged.checkpoint(eager=True)
+        return _range_buckets(df, order, num_buckets)
     # One job: row count and a fine quantile grid of the key; the bucket count
     # then follows the data size (about TARGET_BUCKET_ROWS rows per bucket).
     probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
     row = df.select(F.count(F.lit(1)).alias("n"),
                     F.percentile_approx(img, probs, 10 * MAX_BUCKETS).alias("s")).first()
     n = int(row["n"] or 0)
+    grid = row["s"] or []
+    # a single key value holding many buckets' worth of rows (a hot key) cannot
+    # be split by value ranges of the first column: range-partition on the full
+    # key plus a row hash instead
+    run, longest = 1, 1
+    for a, b in zip(grid, grid[1:]):
+        run = run + 1 if a == b else 1
+        longest = max(longest, run)
+    if longest * (n / MAX_BUCKETS) > HOT_KEY_ROWS:
+        return _range_buckets(df, order, num_buckets, n)
     k = num_buckets or max(_partitions(df, None), -(-n // TARGET_BUCKET_ROWS))
     k = max(1, min(int(k), MAX_BUCKETS))
-    grid = row["s"] or []
     step = MAX_BUCKETS / k
     picked = [grid[int(round(j * step)) - 1] for j in range(1, k)] if grid else []
     cuts = sorted({float(x) for x in picked if x is not None})

@@ -136,3 +136,18 @@ def test_no_python_udf_in_plans(spark):
     # column pruning reaches the scan: only the histogrammed column is read
     assert "ReadSchema: struct<l_quantity:double>" in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_hot_key_is_split(spark, monkeypatch):
+    """A first-column value holding most rows goes through the range path and
+    still gives the exact index (ties broken by the second order column)."""
+    import kiln.plans.ordering as o
+    monkeypatch.setattr(o, "HOT_KEY_ROWS", 100)
+    df = spark.range(0, 4000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("a"),
+                                     F.col("id").alias("b"))
+    b = o.assign_buckets(df, ["a", "b"], num_buckets=8)
+    sizes = [r["count"] for r in b.groupBy("__bk").count().collect()]
+    assert max(sizes) < 1000              # the hot value (1333 rows) is spread
+    x = ordered_index(df, ["a", "b"], idx_col="i", num_buckets=8)
+    w = Window.orderBy("a", "b")
+    assert x.withColumn("rn", F.row_number().over(w) - 1).filter("i != rn").count() == 0
