@@ -15,6 +15,9 @@ from kiln.core import join_small, numeric_columns
 from kiln.plans.ranks import kendall_pairs, spearman_pairs
 
 
+PAIRS_PER_AGG = 9
+
+
 def safe_corr(x, y):
     """Pearson r over rows where both are present; NULL when a variance is 0
     (``corr`` itself raises under ANSI division rules)."""
@@ -57,8 +60,13 @@ def correlation_matrix(df: DataFrame, method: str = "pearson", columns: Sequence
                              F.lit(i).alias("pos_b"), diag[i].cast("double").alias("r"))
                     for i, c in enumerate(cols)]
     if method == "pearson":
-        # one aggregation, one row, expanded once into the full matrix
-        wide = df.agg(*[safe_corr(x[i], x[j]).alias(f"p{k}") for k, (i, j) in enumerate(pairs)], *diag_aggs)
+        # one-row aggregations expanded once into the full matrix; pairs are
+        # chunked so each aggregation buffer stays within whole-stage codegen
+        aggs = [safe_corr(x[i], x[j]).alias(f"p{k}") for k, (i, j) in enumerate(pairs)]
+        chunks = [aggs[c:c + PAIRS_PER_AGG] for c in range(0, len(aggs), PAIRS_PER_AGG)]
+        wide = df.agg(*diag_aggs)
+        for ch in chunks:
+            wide = wide.crossJoin(df.agg(*ch))
         cells = []
         for k, (i, j) in enumerate(pairs):
             v = F.col(f"p{k}")

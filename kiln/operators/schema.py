@@ -24,11 +24,35 @@ DATETIME_FORMATS = [
     ("%d-%m-%Y", "d-M-yyyy"),
     ("%Y%m%d", "yyyyMMdd"),
 ]
+# Cheap shape checks run before a parse (a failed parse is expensive): a value
+# that does not have the shape of a format cannot parse under it.
+FORMAT_SHAPES = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy-M-d H:m:s": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
+# anything a timestamp cast could read starts with a digit (optionally signed)
+CAST_SHAPE = r"^\s*[+-]?\d"
 FALLBACK_PARSE_RATE = 0.8
 CATEGORICAL_RATIO = 0.05
 CATEGORICAL_MAX_UNIQUE = 20
 
 
+def parse_with(c, pattern: str):
+    """``try_to_timestamp`` guarded by the format's shape."""
+    return F.when(c.rlike(FORMAT_SHAPES[pattern]), F.try_to_timestamp(c, F.lit(pattern)))
+
+
+def free_parse(name: str):
+    """Format-free parse: a timestamp cast, else any of the known formats."""
+    c = F.col(f"`{name}`")
+    cast = F.when(c.rlike(CAST_SHAPE), F.expr(f"try_cast(`{name}` as timestamp)"))
+    return F.coalesce(cast, *[parse_with(c, p) for _, p in DATETIME_FORMATS])
+
+
 def detect_schema(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: position, column, dtype, inferred_type, n_unique,
     n_missing, pct_missing (half-even, 2 decimals) and datetime_format.
@@ -44,10 +68,8 @@ def detect_schema(df: DataFrame, approx: bool = False) -> DataFrame:
         aggs.append((F.approx_count_distinct(c) if approx else F.count_distinct(c)).alias(f"nu{i}"))
         if isinstance(f.dataType, T.StringType):
             for j, (_, pat) in enumerate(DATETIME_FORMATS):
-                aggs.append(F.count(F.try_to_timestamp(c, F.lit(pat))).alias(f"fmt{i}_{j}"))
-            free = F.coalesce(F.expr(f"try_cast(`{f.name}` as timestamp)"),
-                              *[F.try_to_timestamp(c, F.lit(p)) for _, p in DATETIME_FORMATS])
-            aggs.append(F.count(free).alias(f"free{i}"))
+                aggs.append(F.count(parse_with(c, pat)).alias(f"fmt{i}_{j}"))
+            aggs.append(F.count(free_parse(f.name)).alias(f"free{i}"))
     wide = df.agg(*aggs)
     rows = F.col("__rows")
     recs = []
@@ -95,11 +117,7 @@ def parse_datetime_columns(df: DataFrame, schema: dict) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if info and info["inferred_type"] == "datetime" and isinstance(f.dataType, T.StringType):
             fmt = info.get("datetime_format")
-            if fmt and fmt != "auto":
-                parsed = F.try_to_timestamp(c, F.lit(fmt))
-            else:
-                parsed = F.coalesce(F.expr(f"try_cast(`{f.name}` as timestamp)"),
-                                    *[F.try_to_timestamp(c, F.lit(p)) for _, p in DATETIME_FORMATS])
+            parsed = parse_with(c, fmt) if fmt and fmt != "auto" else free_parse(f.name)
             out.append(parsed.cast("timestamp_ntz").alias(f.name))
         else:
             out.append(c)
