@@ -101,14 +101,14 @@ where value_n is not null and event_type_n is not null and ts_n is not null""",
     "missing_custom": _fill_sql("coalesce(value_n, -1.0)"),
     "missing_report_drop": f"""with {DIRTY_SQL}
 select * from (
-select 3 as position, 'value_n' as column, count_if(value_n is null) as n_missing, 'drop_rows' as method from d
+select 3 as position, 'value_n' as column, count_if(value_n is null)::bigint as n_missing, 'drop_rows' as method from d
 union all
-select 4, 'event_type_n', count_if(value_n is not null and event_type_n is null), 'drop_rows' from d
+select 4, 'event_type_n', count_if(value_n is not null and event_type_n is null)::bigint, 'drop_rows' from d
 union all
-select 5, 'ts_n', count_if(value_n is not null and event_type_n is not null and ts_n is null), 'drop_rows' from d)
+select 5, 'ts_n', count_if(value_n is not null and event_type_n is not null and ts_n is null)::bigint, 'drop_rows' from d)
 where n_missing > 0""",
     "missing_report_mean": f"""with {DIRTY_SQL}
-select 3 as position, 'value_n' as column, count_if(value_n is null) as n_missing, 'mean' as method from d
-union all select 4, 'event_type_n', count_if(event_type_n is null), 'mode' from d
-union all select 5, 'ts_n', count_if(ts_n is null), 'forward_fill (datetime)' from d""",
+select 3 as position, 'value_n' as column, count_if(value_n is null)::bigint as n_missing, 'mean' as method from d
+union all select 4, 'event_type_n', count_if(event_type_n is null)::bigint, 'mode' from d
+union all select 5, 'ts_n', count_if(ts_n is null)::bigint, 'forward_fill (datetime)' from d""",
 }

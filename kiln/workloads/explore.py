@@ -147,7 +147,7 @@ f as (select *, q3 - q1 as iqr, q1 - 1.5 * (q3 - q1) as fence_low, q3 + 1.5 * (q
 a as (select s.{key}, count(*) as n,
              min(case when {val} between fence_low and fence_high then {val} end) as whisker_low,
              max(case when {val} between fence_low and fence_high then {val} end) as whisker_high,
-             count_if(not ({val} between fence_low and fence_high)) as n_outliers{mean}
+             count_if(not ({val} between fence_low and fence_high))::bigint as n_outliers{mean}
       from {src} s join f using ({key}) where {val} is not null group by s.{key})
 select f.{key}, {r('q1')} as q1, {r('median')} as median, {r('q3')} as q3, {r('iqr')} as iqr,
        {r('fence_low')} as fence_low, {r('fence_high')} as fence_high, n, {r('whisker_low::double')} as whisker_low,

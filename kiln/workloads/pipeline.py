@@ -59,7 +59,7 @@ select {_z('event_id2')} as event_id, ts, {_z('user_id')} as user_id, {_z('value
        coalesce((event_type_n = 'view')::integer, 0) as event_type_n_view
 from tr cross join sc""",
     "pipeline_outlier_report": _STAGES + "\n" + "\nunion all\n".join(
-        f"select {i} as position, '{c}' as column, count_if({c}__outlier) as n_outliers, "
+        f"select {i} as position, '{c}' as column, count_if({c}__outlier)::bigint as n_outliers, "
         f"round_even(count_if({c}__outlier) * 100.0 / count(*), 2)::double as pct from fl"
         for i, c in enumerate(_NUM)),
 }

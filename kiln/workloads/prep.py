@@ -90,7 +90,7 @@ fl as (select ev.*, {", ".join(f"coalesce(abs(({c} - {c}__mu) / nullif({c}__sd,
 
 def _report_sql(flags):
     return flags + "\n" + "\nunion all\n".join(
-        f"select {i} as position, '{c}' as column, count_if({c}__outlier) as n_outliers, "
+        f"select {i} as position, '{c}' as column, count_if({c}__outlier)::bigint as n_outliers, "
         f"round_even(count_if({c}__outlier) * 100.0 / count(*), 2)::double as pct from fl"
         for i, c in enumerate(OUT_COLS))
 

@@ -152,7 +152,7 @@ def _categorical_sql():
        (select v from (select {c}::varchar as v, count(*) as n from ev where {c} is not null group by 1)
           order by n desc, v limit 1) as top_value,
        coalesce((select max(n) from (select count(*) as n from ev where {c} is not null group by {c})), 0) as top_freq,
-       (select count_if({c} is null) from ev) as missing""")
+       (select count_if({c} is null)::bigint from ev) as missing""")
     return f"with {EVENTS_DIRTY_SQL}\n" + "\nunion all\n".join(parts)
 
 
@@ -160,13 +160,13 @@ SQL["summary_categorical"] = _categorical_sql()
 SQL["summary_datetime"] = f"""with {EVENTS_DIRTY_SQL}
 select 0 as position, 'ts' as column, min(ts) as min, max(ts) as max,
        floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000)::bigint as range_days,
-       count_if(ts is null) as missing from ev
+       count_if(ts is null)::bigint as missing from ev
 union all
 select 1, 'ts_n', min(ts_n), max(ts_n), floor((epoch_us(max(ts_n)) - epoch_us(min(ts_n))) / 86400000000)::bigint,
-       count_if(ts_n is null) from ev"""
+       count_if(ts_n is null)::bigint from ev"""
 SQL["missing_by_column"] = f"""with {EVENTS_DIRTY_SQL},
 m as (""" + "\nunion all\n".join(
-    f"select {i} as position, '{c}' as column, count_if({c} is null) as n_missing, count(*) as n from ev"
+    f"select {i} as position, '{c}' as column, count_if({c} is null)::bigint as n_missing, count(*) as n from ev"
     for i, c in enumerate(EVENTS_DIRTY_COLS)) + f""")
 select position, "column", n_missing, {r("n_missing * 100.0 / n")}::double as pct_missing,
        case when n_missing * 100.0 / n > 50 then 'high' when n_missing * 100.0 / n > 20 then 'medium'
