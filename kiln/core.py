@@ -163,3 +163,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def epoch_micros(c: Column, dt: T.DataType) -> Column:
+    """Microseconds since 1970-01-01 00:00, independent of the session time zone
+    for wall-clock (NTZ) values; the instant for zoned timestamps."""
+    if isinstance(dt, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("long") * 86_400_000_000
+    return F.unix_micros(c)

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.core import datetime_columns, join_small, numeric_columns, string_columns
+from pyspark.sql import types as T
+
+from kiln.core import datetime_columns, epoch_micros, join_small, numeric_columns, string_columns
 from kiln.functions.moments import adjusted_kurtosis, adjusted_skewness
 from kiln.plans.quantiles import exact_quantiles
 from kiln.plans.stats import positions, to_long
@@ -73,7 +75,8 @@ def datetime_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     long = to_long(df, cols, value_type="timestamp_ntz")
     agg = long.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"),
                                      F.count_if(F.col("value").isNull()).alias("missing"))
-    micros = (F.unix_micros(F.col("max").cast("timestamp")) - F.unix_micros(F.col("min").cast("timestamp")))
+    ntz = T.TimestampNTZType()
+    micros = epoch_micros(F.col("max"), ntz) - epoch_micros(F.col("min"), ntz)
     agg = agg.withColumn("range_days", F.floor(micros / F.lit(86400 * 1_000_000)).cast("long"))
     pos = positions(df.sparkSession, cols)
     return join_small(pos, agg, ["column"], how="left").select(

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from kiln.core import col_list, ensure_checkpoint_dir, is_numeric, join_small
+from kiln.core import col_list, ensure_checkpoint_dir, epoch_micros, is_numeric, join_small
 
 DEFAULT_BUCKET_ROWS = 1 << 20
 MAX_BUCKETS = 4096
@@ -54,7 +54,7 @@ def _monotone_double(df: DataFrame, c: Column) -> Column | None:
     if is_numeric(dt) or isinstance(dt, T.BooleanType):
         return c.cast("double")
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        return epoch_micros(c, dt).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(dt, T.StringType):
