@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.core import join_small, numeric_columns
-from kiln.plans.ranks import kendall_pairs, spearman_pairs
+from kiln.core import join_small, materialize, numeric_columns
+from kiln.plans.ranks import average_ranks, kendall_pairs, spearman_pairs
 
 
 PAIRS_PER_AGG = 9
@@ -30,11 +30,12 @@ def _pairs(cols):
     return [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
 
 
-def pair_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long ``pair, x, y`` of every column pair, rows where both are present."""
+def pair_rows(df: DataFrame, cols: Sequence[str], only=None) -> DataFrame:
+    """Long ``pair, x, y`` of the column pairs (all, or the ids in ``only``),
+    rows where both are present."""
     arr = F.array(*[F.struct(F.lit(k).alias("pair"), F.col(f"`{cols[i]}`").cast("double").alias("x"),
                              F.col(f"`{cols[j]}`").cast("double").alias("y"))
-                    for k, (i, j) in enumerate(_pairs(cols))])
+                    for k, (i, j) in enumerate(_pairs(cols)) if only is None or k in only])
     return (df.select(F.explode(arr).alias("__p")).select("__p.pair", "__p.x", "__p.y")
             .filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
 
@@ -77,8 +78,10 @@ def correlation_matrix(df: DataFrame, method: str = "pearson", columns: Sequence
         return wide.select(F.inline(F.array(*cells, *diag_structs)))
     if method not in ("spearman", "kendall"):
         raise ValueError(f"unknown correlation method {method!r}")
-    pr = pair_rows(df, cols)
-    vals = spearman_pairs(pr) if method == "spearman" else kendall_pairs(pr)
+    if method == "spearman":
+        vals = _spearman_values(df, cols, pairs)
+    else:
+        vals = kendall_pairs(pair_rows(df, cols))
     off = join_small(names, vals, ["pair"], broadcast_small=True, how="left")
     both = off.select(F.inline(F.array(
         F.struct("column_a", "column_b", "pos_a", "pos_b", "r"),
@@ -88,6 +91,45 @@ def correlation_matrix(df: DataFrame, method: str = "pearson", columns: Sequence
     return both.unionByName(d)
 
 
+def _spearman_values(df: DataFrame, cols: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+    """``pair, r`` for Spearman.
+
+    Columns without NULLs share one global ranking (pairwise-complete rows are
+    all rows), so their pairs cost k ranked columns instead of k(k-1)/2 pair
+    copies of the data.  Pairs that touch a column with NULLs are ranked per pair.
+    """
+    spark = df.sparkSession
+    nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in cols]).first()  # one per column
+    full = [c for c in cols if nulls[c] == 0]
+    full_pairs = [k for k, (i, j) in enumerate(pairs) if cols[i] in full and cols[j] in full]
+    parts = []
+    if full_pairs:
+        base = materialize(df.select(*full).withColumn("__rid", F.monotonically_increasing_id()))
+        long = base.select("__rid", F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in full
+        ])).alias("__c")).select("__rid", "__c.column", "__c.value")
+        ranks = average_ranks(long.select("column", "value"), "column", "value", "rank")
+        ranked = join_small(long, ranks, ["column", "value"])
+        wide = ranked.groupBy("__rid").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c)
+                                             for c in full])
+        aggs = [safe_corr(F.col(f"`{cols[pairs[k][0]]}`"), F.col(f"`{cols[pairs[k][1]]}`")).alias(f"p{k}")
+                for k in full_pairs]
+        row = None
+        for c0 in range(0, len(aggs), PAIRS_PER_AGG):
+            part = wide.agg(*aggs[c0:c0 + PAIRS_PER_AGG])
+            row = part if row is None else row.crossJoin(part)
+        parts.append(row.select(F.inline(F.array(*[
+            F.struct(F.lit(k).alias("pair"), F.col(f"p{k}").alias("r")) for k in full_pairs]))))
+    rest = [k for k in range(len(pairs)) if k not in set(full_pairs)]
+    if rest:
+        sub = pair_rows(df, cols, only=set(rest))
+        parts.append(spearman_pairs(sub))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def lower_triangle(corr: DataFrame) -> DataFrame:
     """Cells strictly below the diagonal (upper triangle and diagonal hidden)."""
     return corr.filter(F.col("pos_a") > F.col("pos_b"))

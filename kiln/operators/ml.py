@@ -34,6 +34,7 @@ CLASSIFICATION = "classification"
 TREE_DEPTH = 12
 FOREST_TREES = 100
 BOOSTED_ROUNDS = 100
+ROWS_PER_PARTITION = 50_000
 
 
 def detect_problem_type(df: DataFrame, target: str, threshold: int = 10) -> str:
@@ -173,7 +174,12 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
         prepared = (prepared.withColumn("__lab", F.col("label").cast("string"))
                     .join(F.broadcast(mapping), "__lab").drop("__lab", "label")
                     .withColumnRenamed("label_idx", "label"))
-    prepared = prepared.checkpoint(eager=True)
+    # partitions sized to the data (about ROWS_PER_PARTITION rows each, at most the
+    # cluster's parallelism): iterative fits launch jobs per round and tiny
+    # partitions only add task overhead
+    n_all = prepared.count()
+    parts = max(1, min(spark.sparkContext.defaultParallelism, -(-n_all // ROWS_PER_PARTITION)))
+    prepared = prepared.repartition(parts).checkpoint(eager=True)
     train = prepared.filter(~F.col("is_test")).drop("is_test")
     test = prepared.filter(F.col("is_test")).drop("is_test")
     n_train = train.count()
@@ -185,7 +191,8 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
 
     # cross-validation: k distributed fits (one per fold) and the final fit are
     # submitted concurrently; each fit is itself a distributed Spark job.
-    folds = fold_column(train, cv_folds, random_state, stratify=problem_type == CLASSIFICATION).checkpoint(eager=True)
+    folds = (fold_column(train, cv_folds, random_state, stratify=problem_type == CLASSIFICATION)
+             .repartition(parts).checkpoint(eager=True))
 
     def fold_score(k):
         fit = make().fit(folds.filter(F.col("fold") != k).drop("fold"))
