@@ -93,7 +93,7 @@ def kde(df: DataFrame, columns: Sequence[str] | None = None, points: int = KDE_P
     for c0 in range(0, points, KDE_CHUNK):
         sums = []
         for k in range(c0, min(points, c0 + KDE_CHUNK)):
-            z = (F.col("__mn") + step * k - F.col("value")) / F.col("__h")
+            z = F.try_divide(F.col("__mn") + step * k - F.col("value"), F.col("__h"))   # h = 0: NULL
             sums.append(F.sum(F.exp(-0.5 * z * z)).alias(f"k{k}"))
         parts.append(j.groupBy(*gkeys).agg(*sums))
     agg = parts[0]
@@ -101,7 +101,7 @@ def kde(df: DataFrame, columns: Sequence[str] | None = None, points: int = KDE_P
         agg = join_small(agg, p, gkeys)
     norm = F.col("__n") * F.col("__h") * F.lit(math.sqrt(2 * math.pi))
     recs = [F.struct(F.lit(k).alias("point"), (F.col("__mn") + step * k).alias("x"),
-                     (F.col(f"k{k}") / norm).alias("density")) for k in range(points)]
+                     F.try_divide(F.col(f"k{k}"), norm).alias("density")) for k in range(points)]
     return agg.select(*keep, "column", F.inline(F.array(*recs)))
 
 

@@ -100,6 +100,11 @@ def test_corr_and_dist_edge(edge, spark):
         assert abs(k[p]["density"] - exp) < 1e-12
 
 
+def test_kde_constant_column(spark):
+    k = dist.kde(spark.createDataFrame([(2.0,), (2.0,)], "x double"), ["x"]).collect()
+    assert len(k) == 200 and all(r["density"] is None for r in k)
+
+
 def test_trend_window(spark):
     df = spark.createDataFrame([(i, float(i % 5)) for i in range(30)], "t long, v double")
     out = {r["point_index"]: r for r in series.trend_decomposition(df, "t", "v", window=8).collect()}
