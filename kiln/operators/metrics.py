@@ -66,14 +66,15 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
                   F.sum(F.col("recall") * F.col("support")).alias("wr"),
                   F.sum(F.col("f1") * F.col("support")).alias("wf"))
     n = F.col("n").cast("double")
-    acc = F.col("tp") / n
+    acc = F.try_divide(F.col("tp").cast("double"), n)
     summary = tot.select(F.inline(F.array(
         F.struct(F.lit("accuracy").alias("class"), acc.alias("precision"), acc.alias("recall"),
                  acc.alias("f1"), n.alias("support")),
         F.struct(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
                  F.col("mf").alias("f1"), n.alias("support")),
-        F.struct(F.lit("weighted avg").alias("class"), (F.col("wp") / n).alias("precision"),
-                 (F.col("wr") / n).alias("recall"), (F.col("wf") / n).alias("f1"), n.alias("support")))))
+        F.struct(F.lit("weighted avg").alias("class"), F.try_divide(F.col("wp"), n).alias("precision"),
+                 F.try_divide(F.col("wr"), n).alias("recall"), F.try_divide(F.col("wf"), n).alias("f1"),
+                 n.alias("support")))))
     return rows.unionByName(summary)
 
 
