@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.core import join_small
+from kiln.core import join_small, materialize
 from kiln.plans.ordering import prefix_sum
 from kiln.plans.ranks import average_ranks
 
@@ -46,8 +46,11 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Per class precision/recall/F1/support plus accuracy, macro avg and weighted
-    avg rows (zero division -> 0): ``class, precision, recall, f1, support``."""
-    cm = confusion_matrix(df, label, prediction)
+    avg rows (zero division -> 0): ``class, precision, recall, f1, support``.
+
+    The confusion counts (classes^2 rows) are written once and read by every
+    branch, instead of re-aggregating the predictions per branch."""
+    cm = materialize(confusion_matrix(df, label, prediction))
     per = cm.groupBy(F.col("actual").alias("class")).agg(
         F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count"))).alias("tp"),
         F.sum("count").alias("support"))
