@@ -53,6 +53,22 @@ def missing_by_column_events(spark, sf):
     return rounded(sm.missing_by_column(events_dirty(spark, sf)))
 
 
+def csv_round_trip(spark, sf):
+    """A2 then A1: write orders as CSV under the session's checkpoint folder (the
+    shared folder on a cluster) and scan it back with type inference."""
+    from uuid import uuid4
+
+    from pyspark.sql import functions as F
+
+    from kiln.core import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kiln-csv-{uuid4().hex}"
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority")
+    io.write_csv(o, path)
+    return rounded(io.read_csv(spark, path))
+
+
 def missing_matrix_events(spark, sf):
     return sm.missing_matrix(events_dirty(spark, sf), ["ts", "event_id"], 300)
 
@@ -69,6 +85,7 @@ QUERIES = {
     "summary_datetime": datetime_summary_events,
     "missing_by_column": missing_by_column_events,
     "missing_matrix": missing_matrix_events,
+    "io_csv_round_trip": csv_round_trip,
 }
 
 # ---------------------------------------------------------------- SQL twins
@@ -83,6 +100,9 @@ select count(*) as rows, {len(EVENTS_DIRTY_COLS)}::bigint as columns, ({_nulls})
 from evd""",
     "preview_head": f"""select o_orderkey, o_custkey, o_orderstatus, {r("o_totalprice")} as o_totalprice,
        o_orderdate, o_orderpriority from orders order by o_orderkey limit 20""",
+    "io_csv_round_trip": f"""select o_orderkey::integer as o_orderkey, o_custkey::integer as o_custkey,
+       o_orderstatus, {r("o_totalprice")} as o_totalprice, o_orderdate::date as o_orderdate, o_orderpriority
+from orders""",
     "select_numeric_capped": f"""select l_orderkey, l_partkey, l_suppkey, l_linenumber,
        {r("l_quantity")} as l_quantity from lineitem""",
 }
