@@ -202,21 +202,23 @@ def fill_forward(df: DataFrame, columns: Sequence[str], order_by,
             summary_aggs.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__ok"))).alias(f"__first{i}"))
     summary = d.groupBy("__bk").agg(*summary_aggs)
     prev = Window.orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
-    nxt = Window.orderBy("__bk").rowsBetween(1, Window.unboundedFollowing)
+    # "first non-null after" as a running frame in descending order: frames that
+    # end at unboundedFollowing are re-aggregated per row (quadratic)
+    nxt = Window.orderBy(F.col("__bk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = [F.col("__bk")]
     for i, _ in enumerate(columns):
         carry_cols.append(F.last(f"__last{i}", ignorenulls=True).over(prev).alias(f"__cf{i}"))
         if then_backward:
             # first non-null anywhere at or after the next bucket (for leading nulls)
-            carry_cols.append(F.first(f"__first{i}", ignorenulls=True).over(nxt).alias(f"__cb{i}"))
+            carry_cols.append(F.last(f"__first{i}", ignorenulls=True).over(nxt).alias(f"__cb{i}"))
     carry = summary.select(*carry_cols)
     w_run = Window.partitionBy("__bk").orderBy("__ok").rowsBetween(Window.unboundedPreceding, 0)
-    w_rest = Window.partitionBy("__bk").orderBy("__ok").rowsBetween(0, Window.unboundedFollowing)
+    w_rest = Window.partitionBy("__bk").orderBy(F.col("__ok").desc()).rowsBetween(Window.unboundedPreceding, 0)
     filled = d
     for i, c in enumerate(columns):
         filled = filled.withColumn(f"__in{i}", F.last(F.col(c), ignorenulls=True).over(w_run))
         if then_backward:
-            filled = filled.withColumn(f"__inb{i}", F.first(F.col(c), ignorenulls=True).over(w_rest))
+            filled = filled.withColumn(f"__inb{i}", F.last(F.col(c), ignorenulls=True).over(w_rest))
     # one row per bucket: bounded by the bucket count
     filled = filled.join(F.broadcast(carry), "__bk", "left")
     out_cols = []
@@ -243,14 +245,14 @@ def fill_backward(df: DataFrame, columns: Sequence[str], order_by,
     summary = d.groupBy("__bk").agg(*[
         F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__ok"))).alias(f"__first{i}")
         for i, c in enumerate(columns)])
-    nxt = Window.orderBy("__bk").rowsBetween(1, Window.unboundedFollowing)
+    nxt = Window.orderBy(F.col("__bk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select("__bk", *[
-        F.first(f"__first{i}", ignorenulls=True).over(nxt).alias(f"__cb{i}")
+        F.last(f"__first{i}", ignorenulls=True).over(nxt).alias(f"__cb{i}")
         for i, _ in enumerate(columns)])
-    w_rest = Window.partitionBy("__bk").orderBy("__ok").rowsBetween(0, Window.unboundedFollowing)
+    w_rest = Window.partitionBy("__bk").orderBy(F.col("__ok").desc()).rowsBetween(Window.unboundedPreceding, 0)
     filled = d
     for i, c in enumerate(columns):
-        filled = filled.withColumn(f"__inb{i}", F.first(F.col(c), ignorenulls=True).over(w_rest))
+        filled = filled.withColumn(f"__inb{i}", F.last(F.col(c), ignorenulls=True).over(w_rest))
     filled = filled.join(F.broadcast(carry), "__bk", "left")
     out_cols = []
     for f in df.schema.fields:
