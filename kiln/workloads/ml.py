@@ -74,7 +74,21 @@ def _split_sizes(spark, sf):
     return s.groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _split_plain(spark, sf):
+    li = _li(spark, sf).select("l_orderkey", "l_linenumber", "l_extendedprice")
+    s = ml.split(li.withColumnRenamed("l_extendedprice", "label"), 0.2, 42, stratify=False)
+    return s.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fold_sizes(spark, sf):
+    li = _li(spark, sf).select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("label"))
+    f = ml.fold_column(li, 5, 42, stratify=True)
+    return f.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "ml_split_plain": _split_plain,
+    "ml_fold_sizes": _fold_sizes,
     "ml_problem_type": _problem_types,
     "ml_prepare_features": lambda s, d: rounded(ml.prepare_features(
         _li(s, d).select("l_quantity", "l_discount", "l_returnflag", "l_extendedprice"), "l_extendedprice")[0]),
@@ -148,6 +162,11 @@ where l_quantity is not null and l_discount is not null and l_extendedprice is n
     "ml_split_stratified": """select l_returnflag as label, true as is_test, ceil(0.2 * count(*))::bigint as n
 from lineitem group by l_returnflag
 union all select l_returnflag, false, count(*) - ceil(0.2 * count(*))::bigint from lineitem group by l_returnflag""",
+    "ml_split_plain": """select true as is_test, ceil(0.2 * count(*))::bigint as n from lineitem
+union all select false, count(*) - ceil(0.2 * count(*))::bigint from lineitem""",
+    "ml_fold_sizes": """select label, fold, count(*) as n from (
+  select l_returnflag as label, ((row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber) - 1) % 5)::integer as fold
+  from lineitem) group by label, fold""",
     "ml_metrics_regression": f"""with d as (select l_extendedprice as y, l_quantity * 1000 as yhat from lineitem)
 select 'RMSE' as metric, {r('sqrt(avg((y - yhat) * (y - yhat)))')} as value from d
 union all select 'MAE', {r('avg(abs(y - yhat))')} from d

@@ -103,6 +103,13 @@ def c_points(spark, sf):
                             "c_rule3", "c_rule4", "c_ooc"))
 
 
+def dispatch_c_points(spark, sf):
+    """The chart dispatcher by name (C chart falls back to value_col)."""
+    res = spc.control_chart(_daily_errors(spark, sf), "C Chart", value_col="is_error", subgroup_col="day")
+    return rounded(res.points.select("day", "point_index", "c", "c_cl", "c_ucl", "c_lcl", "c_rule1", "c_rule2",
+                                     "c_rule3", "c_rule4", "c_ooc"))
+
+
 def c_rows_stats(spark, sf):
     res = spc.c_chart(_li(spark, sf), "l_linenumber", order_by=["l_orderkey", "l_linenumber"])
     return rounded(res.stats)
@@ -124,6 +131,7 @@ QUERIES = {
     "spc_p_rows_stats": p_rows_stats,
     "spc_c_points": c_points,
     "spc_c_rows_stats": c_rows_stats,
+    "spc_dispatch_c_points": dispatch_c_points,
 }
 
 # ---------------------------------------------------------------- SQL twins
@@ -321,3 +329,5 @@ SQL["spc_c_rows_stats"] = _c_sql(
 , c as (select {", ".join(count_exprs("c_"))} from f)
 select s2.n_points, {r("s2.c_bar")} as c_bar, {r("s2.ucl")} as ucl, {r("s2.lcl")} as lcl, c.*
 from s2 cross join c"""
+
+SQL["spc_dispatch_c_points"] = SQL["spc_c_points"]
