@@ -39,6 +39,8 @@ QUERIES = {
     "box_outlier_points": lambda s, d: rounded(dist.box_stats_by_category(
         events_outliers(s, d).join(table(s, d, "events").select("event_id", "event_type"), "event_id"),
         "value_o", "event_type")[1]),
+    "hist_violin_margin": lambda s, d: rounded(dist.box_stats_by_category(
+        table(s, d, "events"), "value", "event_type")[0]),
     "box_columns": lambda s, d: rounded(dist.box_stats_columns(table(s, d, "lineitem"), HIST_COLS)[0],
                                         per_column={"mean": 9}),
     "scatter_matrix_bins": lambda s, d: dist.scatter_matrix(table(s, d, "lineitem"), SCATTER_COLS),
@@ -157,6 +159,7 @@ from f join a using ({key})"""
 
 
 SQL["box_by_category"] = _box_sql("lineitem", "l_returnflag", "l_extendedprice")
+SQL["hist_violin_margin"] = _box_sql("events", "event_type", "value")
 SQL["box_columns"] = _box_sql(
     "l", '"column"', "value", True,
     "l as (" + "\nunion all\n".join(f"select '{c}' as column, {c}::double as value from lineitem"
