@@ -151,3 +151,16 @@ def test_hot_key_is_split(spark, monkeypatch):
     x = ordered_index(df, ["a", "b"], idx_col="i", num_buckets=8)
     w = Window.orderBy("a", "b")
     assert x.withColumn("rn", F.row_number().over(w) - 1).filter("i != rn").count() == 0
+
+
+def test_fills_use_running_frames_only(spark):
+    """Frames ending at unboundedFollowing are re-aggregated per row (quadratic)."""
+    import io
+    from contextlib import redirect_stdout
+    df = spark.range(0, 100).select(F.col("id").alias("t"),
+                                    F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).alias("v"))
+    for out in (fill_forward(df, ["v"], ["t"], then_backward=True), fill_backward(df, ["v"], ["t"])):
+        buf = io.StringIO()
+        with redirect_stdout(buf):
+            out.explain("formatted")
+        assert "unboundedfollowing" not in buf.getvalue().lower()
