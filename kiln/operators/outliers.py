@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.plans.quantiles import column_quantiles, order_statistics
-from kiln.plans.stats import positions, to_long
+from kiln.plans.stats import to_long
 
 FLAG = "__outlier"
 WINSOR_LIMIT = 0.05
@@ -98,9 +98,6 @@ def treat_outliers(flagged: DataFrame, columns: Sequence[str], method: str = "cl
     base = flagged.drop(*flag_cols)
     if method == "clip":
         lim = iqr_fences(base, columns, clip_k)
-        lo = {c: F.col(f"{c}__lo") for c in columns}
-        hi = {c: F.col(f"{c}__hi") for c in columns}
-        helper = [f"{c}__lo" for c in columns] + [f"{c}__hi" for c in columns]
     elif method == "winsorize":
         long = to_long(base, columns, keep_nulls=False)
         stats = order_statistics(
@@ -113,11 +110,11 @@ def treat_outliers(flagged: DataFrame, columns: Sequence[str], method: str = "cl
             aggs.append(F.max(F.when((F.col("column") == c) & (F.col("stat") == "lo"), F.col("value"))).alias(f"{c}__lo"))
             aggs.append(F.max(F.when((F.col("column") == c) & (F.col("stat") == "hi"), F.col("value"))).alias(f"{c}__hi"))
         lim = stats.agg(*aggs)
-        lo = {c: F.col(f"{c}__lo") for c in columns}
-        hi = {c: F.col(f"{c}__hi") for c in columns}
-        helper = [f"{c}__lo" for c in columns] + [f"{c}__hi" for c in columns]
     else:
         raise ValueError(f"unknown treatment {method!r}")
+    lo = {c: F.col(f"{c}__lo") for c in columns}
+    hi = {c: F.col(f"{c}__hi") for c in columns}
+    # one row of fences and flag counts: broadcast with a fixed size
     joined = base.crossJoin(F.broadcast(lim.crossJoin(counts)))
     out = []
     for f in base.schema.fields:
@@ -128,5 +125,4 @@ def treat_outliers(flagged: DataFrame, columns: Sequence[str], method: str = "cl
             out.append(F.when(F.col(f"{c}__nf") > 0, clipped.cast(f.dataType)).otherwise(x).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
-    del helper
     return joined.select(*out)

@@ -1,7 +1,6 @@
 """Edge cases of the table operators: NULLs, constants, single rows, empty frames."""
 
 import math
-import os
 
 import pytest
 from pyspark.sql import functions as F
