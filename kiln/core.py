@@ -17,13 +17,28 @@ NUMERIC_TYPES = (
 DATETIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
+PARTITION_MB = 128
+
+
+def shuffle_partitions_for(input_bytes: int, partition_mb: int = PARTITION_MB) -> int:
+    """Upper bound for ``spark.sql.shuffle.partitions`` at a given input size.
+
+    AQE coalesces small shuffle partitions down to the advisory size, so the
+    setting should be the count needed for the largest stage (input bytes /
+    partition size): 100 TB at 128 MB is about 800k partitions; use a value of
+    that order on such a cluster, not the default 200.
+    """
+    return max(1, -(-int(input_bytes) // (partition_mb << 20)))
+
+
 def get_session(master: str | None = None, app_name: str = "kiln",
                 shuffle_partitions: int | None = None, **conf) -> SparkSession:
     """Build (or reuse) a session with the settings the operators assume.
 
-    UTC session time zone (pandas-like naive timestamps), AQE with skew-join
-    handling.  The checkpoint directory is taken from ``spark.checkpoint.dir``
-    when the cluster sets it; only a local master gets a temporary one.
+    UTC session time zone (pandas-like naive timestamps), AQE with partition
+    coalescing to ~128 MB and skew-join splitting, scan splits of 128 MB.
+    The checkpoint directory is taken from ``spark.checkpoint.dir`` when the
+    cluster sets it; only a local master gets a temporary one.
     """
     b = SparkSession.builder.appName(app_name)
     if master:
@@ -33,6 +48,8 @@ def get_session(master: str | None = None, app_name: str = "kiln",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{PARTITION_MB}m",
+        "spark.sql.files.maxPartitionBytes": f"{PARTITION_MB}m",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
