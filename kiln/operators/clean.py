@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from kiln.core import join_small
 from kiln.plans.ordering import fill_backward, fill_forward
 from kiln.plans.quantiles import column_quantiles
@@ -119,7 +121,11 @@ def handle_missing_values(df: DataFrame, schema: dict, strategy: str = "mean",
                     fill = F.coalesce(fill, F.lit("Unknown"))
                     if f.dataType.simpleString() == "boolean":
                         fill = fill.cast("boolean")
-                sel.append(F.coalesce(F.col(f"`{c}`"), fill.cast(f.dataType)).alias(c))
+                if c in num and strategy in ("mean", "median") and is_integral(f.dataType):
+                    # an integer column with NULLs is float in pandas: keep the fraction
+                    sel.append(F.coalesce(F.col(f"`{c}`").cast("double"), fill.cast("double")).alias(c))
+                else:
+                    sel.append(F.coalesce(F.col(f"`{c}`"), fill.cast(f.dataType)).alias(c))
             else:
                 sel.append(F.col(f"`{c}`"))
         out = joined.select(*sel)
@@ -144,5 +150,9 @@ def handle_missing_values(df: DataFrame, schema: dict, strategy: str = "mean",
     return out, _report(spark, report_rows)
 
 
+def is_integral(dt) -> bool:
+    return isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
 def _report(spark, rows):
     return spark.createDataFrame(sorted(rows), "position int, column string, n_missing long, method string")

@@ -53,6 +53,12 @@ def test_missing_and_dedup_edge(edge, spark):
     assert d.count() == 4 and n.first()["n_removed"] == 2
 
 
+def test_mean_fill_of_integer_column_keeps_fraction(spark):
+    df = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id long, k long")
+    out, _ = clean.handle_missing_values(df, {"k": {"inferred_type": "numeric"}}, "mean")
+    assert dict(out.dtypes)["k"] == "double" and out.filter("id = 3").first()["k"] == 1.5
+
+
 def test_outliers_constant_and_single_row(spark):
     df = spark.createDataFrame([(1.0, 7.0)], "x double, y double")
     flagged, rep = outliers.detect_outliers(df, ["x", "y"], "zscore", 1.5)
