@@ -18,9 +18,10 @@ SUMMARY_PROBS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 PROB_NAMES = ["p1", "p5", "p25", "p50", "p75", "p95", "p99"]
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Per numeric column: count, mean, std (n-1), min, p1..p99, max, skewness,
-    kurtosis (bias adjusted, as pandas) and cv = std/mean*100 (mean 0 -> NULL)."""
+    kurtosis (bias adjusted, as pandas) and cv = std/mean*100 (mean 0 -> NULL).
+    ``approx=True``: one-pass sketch percentiles instead of exact ones."""
     cols = numeric_columns(df, columns)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string")
@@ -34,7 +35,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
          .withColumn("kurtosis", adjusted_kurtosis(F.col("__g2"), F.col("count")))
          .withColumn("cv", F.try_divide(F.col("std"), F.nullif(F.col("mean"), F.lit(0.0))) * 100)
          .drop("__g1", "__g2"))
-    q = exact_quantiles(long, ["column"], "value", SUMMARY_PROBS, broadcast_state=True)
+    q = exact_quantiles(long, ["column"], "value", SUMMARY_PROBS, broadcast_state=True, approx=approx)
     qw = q.groupBy("column").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
         for p, n in zip(SUMMARY_PROBS, PROB_NAMES)])

@@ -173,15 +173,23 @@ def _complete(long_df, keys, labels_df, res, lab_name):
 
 def exact_quantiles(long_df: DataFrame, keys: Sequence[str] | str | None, value: str,
                     probs: Sequence[float], max_candidates: int = MAX_CANDIDATES,
-                    broadcast_state: bool | None = None) -> DataFrame:
+                    broadcast_state: bool | None = None, approx: bool = False) -> DataFrame:
     """Exact quantiles of ``value`` per ``keys`` for each prob.
 
     Returns ``keys..., prob, quantile`` (NULL when a group has no non-null value).
     ``broadcast_state``: the per-(group, prob) state has one row per group and
     prob; broadcast it when the caller knows the group count is small (default:
-    only when there are no keys).
+    only when there are no keys).  ``approx=True`` stops after the sketch: one
+    pass, values are data points within rank error 1/ACCURACY (not interpolated).
     """
     keys = col_list(keys)
+    if approx:
+        probs = [float(p) for p in probs]
+        data = long_df.select(*keys, F.col(value).cast("double").alias("__v"))
+        sk = data.groupBy(*keys).agg(F.percentile_approx("__v", probs, ACCURACY).alias("__q"))
+        return sk.select(*keys, F.posexplode("__q").alias("__i", "quantile")).select(
+            *keys, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("__i") + 1).alias("prob"),
+            "quantile")
     bc = (not keys) if broadcast_state is None else broadcast_state
     spark = long_df.sparkSession
     data, counts = _prepare(long_df, keys, value)

@@ -164,3 +164,13 @@ def test_fills_use_running_frames_only(spark):
         with redirect_stdout(buf):
             out.explain("formatted")
         assert "unboundedfollowing" not in buf.getvalue().lower()
+
+
+def test_approx_quantiles_close(spark):
+    li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    a = {r["prob"]: r["quantile"] for r in exact_quantiles(li.withColumn("k", F.lit(1)), ["k"], "l_extendedprice",
+                                                            [0.1, 0.5, 0.9], approx=True).collect()}
+    e = {r["prob"]: r["quantile"] for r in exact_quantiles(li.withColumn("k", F.lit(1)), ["k"], "l_extendedprice",
+                                                            [0.1, 0.5, 0.9]).collect()}
+    for p in e:
+        assert abs(a[p] - e[p]) / e[p] < 0.01
