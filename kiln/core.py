@@ -25,7 +25,7 @@ def shuffle_partitions_for(input_bytes: int, partition_mb: int = PARTITION_MB) -
 
     AQE coalesces small shuffle partitions down to the advisory size, so the
     setting should be the count needed for the largest stage (input bytes /
-    partition size): 100 TB at 128 MB is about 800k partitions; use a value of
+    partition size): 100 TB at 128 MiB is about 745k partitions; use a value of
     that order on such a cluster, not the default 200.
     """
     return max(1, -(-int(input_bytes) // (partition_mb << 20)))
