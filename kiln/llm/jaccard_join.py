@@ -26,12 +26,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import LOWER_AZ, WORD_RE, staged
+from kiln.llm.common import staged
 from kiln.llm.components import components
 
 #: Shingles of the sets that one block holds.
 BLOCK_SHINGLES = 1_500_000
 WORDS_CACHED = 300_000
+SALTS = 8
+
+
+class WordHashes(dict):
+    """64-bit hash of a word (bytes), cached."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
 
 class Shingler:
@@ -39,18 +49,16 @@ class Shingler:
 
     def __init__(self, n: int):
         self.n = n
-        self.cache: dict[str, int] = {}
+        self.hashes = WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        found = WORD_RE.findall(text.translate(LOWER_AZ) if not text.isascii() else text.lower()) if text else []
+        # as bytes, lower() and split() know A-Z and the six ASCII white space characters only
+        found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not found:
             return np.empty(0, np.int64)
-        if len(self.cache) > WORDS_CACHED:
-            self.cache.clear()
-        ids = [self.cache.get(w) for w in found]
-        if None in ids:
-            ids = [self._hash(w) if i is None else i for w, i in zip(found, ids)]
-        h = np.array(ids, dtype=np.uint64)
+        if len(self.hashes) > WORDS_CACHED:
+            self.hashes.clear()
+        h = np.fromiter(map(self.hashes.__getitem__, found), np.uint64, len(found))
         n = min(self.n, len(h))
         out = np.zeros(len(h) - n + 1, np.uint64)
         for k in range(n):  # position matters: the running value is mixed before each next word
@@ -60,65 +68,56 @@ class Shingler:
             out ^= np.uint64(n)
         return np.unique(out.view(np.int64))
 
-    def _hash(self, word: str) -> int:
-        import xxhash
-        h = self.cache[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
 
-
-def _prefix(n, percent: int):
+def _prefix(n: int, percent: int) -> int:
     """How many first elements of a set of n must be looked at: n - ceil(t n) + 1."""
     return n - (n * percent + 99) // 100 + 1
 
 
-# -- step 1: classes of equal sets ------------------------------------------------------------
+def _digest(shingles: np.ndarray) -> bytes:
+    import xxhash
+    return xxhash.xxh128_digest(shingles.tobytes())
 
-def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, sig): sig is a 128-bit digest of the set."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-        shingle = Shingler(n)
-        for b in batches:
-            sets = [shingle(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets],
-                                "sig": [xxhash.xxh128_digest(s.tobytes()) for s in sets]})
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, sig binary")
 
+# -- one pass over the texts: the digest of each set and its first elements -------------------
 
-# -- step 2: pools ----------------------------------------------------------------------------
+def first_shingles(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, sig, early, late): ``sig`` is a 128-bit digest of the set,
+    ``early`` its shingles of the first class of the global order (a residue class
+    of the hash, about 2.5 times what a prefix needs), ``late`` the following ones
+    that a document with too few of them needs."""
+    residue = max(1, 40 // max(1, 100 - percent))
 
-def _first_shingles(docs: DataFrame, n: int, percent: int, residue: int) -> DataFrame:
-    """(doc_id, n, front, token, late): the shingles of the first class of the
-    global order, and the later ones a document with too few of them needs.
-    ``front``: how many of the first class it holds."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(n)
         for b in batches:
-            for lo in range(0, len(b), 500):
-                out = [[], [], [], [], []]
-                for i, t in zip(b["doc_id"][lo:lo + 500], b["text"][lo:lo + 500]):
+            for lo in range(0, len(b), 1000):
+                part = b.iloc[lo:lo + 1000]
+                out = []
+                for t in part["text"]:
                     s = shingle(t)
-                    if not len(s):
-                        continue
-                    early = s[(s % residue) == 0]
-                    more = max(0, int(_prefix(len(s), percent)) - len(early))
-                    late = s[(s % residue) != 0][:more]
-                    tokens = np.concatenate([early, late])
-                    for column, v in zip(out, (np.full(len(tokens), i), np.full(len(tokens), len(s)),
-                                               np.full(len(tokens), len(early)), tokens,
-                                               np.arange(len(tokens)) >= len(early))):
-                        column.append(v)
-                if out[0]:
-                    yield pd.DataFrame(dict(zip(("doc_id", "n", "front", "token", "late"),
-                                                map(np.concatenate, out))))
+                    first = s % residue == 0
+                    early = s[first]
+                    missing = _prefix(len(s), percent) - len(early) if len(s) else 0
+                    out.append((len(s), _digest(s), early, s[~first][:missing] if missing > 0 else s[:0]))
+                p = pd.DataFrame(out, columns=["n_shingles", "sig", "early", "late"])
+                p.insert(0, "doc_id", part["doc_id"].to_numpy())
+                yield p
     return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n long, front long, token long, late boolean")
+        run, "doc_id long, n_shingles long, sig binary, early array<long>, late array<long>")
 
 
-def pools(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n, pool) of the documents that share a first shingle with another."""
-    residue = max(1, 40 // max(1, 100 - percent))  # about 2.5 times what a prefix needs
-    rows = _first_shingles(docs, n, percent, residue)
+# -- step 2: pools ----------------------------------------------------------------------------
+
+def pools(own: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, pool) of the documents that share a first shingle with another,
+    from ``first_shingles`` of one document a class."""
+    def marked(column, late):
+        return F.transform(column, lambda t: F.struct(t.alias("token"), F.lit(late).alias("late")))
+
+    rows = (own.select("doc_id", F.col("n_shingles").alias("n"), F.size("early").alias("front"),
+                       F.explode_outer(F.concat(marked("early", False), marked("late", True))).alias("x"))
+            .select("doc_id", "n", "front", "x.token", "x.late").filter("token is not null"))
     df = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     shared = rows.join(df, "token")
     by_doc = shared.groupBy("doc_id", "n", "front").agg(F.sort_array(F.collect_list(F.struct(
@@ -276,19 +275,23 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
         yield key, pd.concat(held)
 
 
-def _with_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, pool, block, probe, known) plus the shingles, from rows with text."""
+def _with_sets(docs: DataFrame, placed: DataFrame, n: int) -> DataFrame:
+    """(doc_id, pool, block, s): the placed documents with their shingles, made again
+    from the texts with the digest of the class."""
     def run(batches):
         shingle = Shingler(n)
         for b in batches:
-            yield b.assign(s=[shingle(t).tobytes() for t in b["text"]]).drop(columns="text")
-    return docs.select("doc_id", "pool", "block", "probe", "known", "text").mapInPandas(
-        run, "doc_id long, pool long, block int, probe boolean, known long, s binary")
+            sets = [shingle(t) for t in b["text"]]
+            own = [_digest(s) == sig for s, sig in zip(sets, b["sig"])]
+            yield b.assign(s=[s.tobytes() for s in sets])[own].drop(columns=["text", "sig"])
+    return docs.join(placed.select("doc_id", "sig", "pool", "block").hint("shuffle_hash"), "doc_id").select(
+        "doc_id", "pool", "block", "text", "sig").mapInPandas(run, "doc_id long, pool long, block int, s binary")
 
 
 def _links(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
     def run(batches):
         for _, g in _groups(batches, ["pool", "block"]):
+            g = g.drop_duplicates(["doc_id", "probe"] if cross else ["doc_id"])  # repeated rows of a document
             ids = g["doc_id"].tolist()
             sets = [np.frombuffer(s, np.int64) for s in g["s"]]
             links = tree_links(ids, sets, percent, g["probe"].tolist(), g["known"].tolist()) if cross \
@@ -300,13 +303,16 @@ def _links(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
 
 # -- the operator -----------------------------------------------------------------------------
 
-def representatives(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, rep): rep is the smallest id with the same set; documents
-    without shingles stand for themselves."""
-    sig = staged(signatures(docs, n).groupBy("doc_id", "n_shingles", "sig").count().drop("count"), "signatures")
-    first = sig.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    return sig.join(first, "sig", "left").select(
-        "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+def representatives(firsts: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, sig, rep) of every id: rep is the smallest id with the
+    same set; documents without shingles stand for themselves.  The members of a
+    class meet its representative in SALTS ways."""
+    one = firsts.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "sig")).alias("x")).select(
+        "doc_id", "x.*", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    first = one.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return one.join(first, ["sig", "salt"], "left").select(
+        "doc_id", "n_shingles", "sig", F.coalesce("rep", "doc_id").alias("rep"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -317,33 +323,31 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     n-word shingles, the whole sequence if there are fewer words.  Two documents
     link when 100 * intersection >= percent * union; a component is named by its
     smallest id.  Null, empty or blank text: no shingles, linked with nothing.
-    Repeated rows of one id and text give one row; an id with different texts
-    links all that any of its texts link.  Rows without id are left out, as a
-    link needs an id.
+    Rows that share an id are one document (of different texts the one with the
+    most shingles, ties by digest) and give one row.  Rows without id are left out,
+    as a link needs an id.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(
         "doc_id is not null")
-    reps = staged(representatives(base, n), "representatives")
-    own = base.join(reps.filter("doc_id = rep and n_shingles > 0").select("doc_id").distinct(), "doc_id", "left_semi")
-    found = pools(own, n, percent)
+    firsts = staged(first_shingles(base, n, percent), "firsts")
+    reps = staged(representatives(firsts), "representatives")
+    own = firsts.join(reps.filter("doc_id = rep and n_shingles > 0").select("doc_id", "sig").hint("shuffle_hash"),
+                      ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"])
+    found = pools(own, percent)
     blocks = found.groupBy("pool").agg(F.sum("n").alias("total"), F.count("*").alias("docs")).select(
         "pool", F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks")).filter("blocks is not null")
-    placed = staged(found.join(blocks, "pool").withColumn(
+    placed = staged(found.join(blocks, "pool").join(reps.select("doc_id", "sig"), "doc_id").withColumn(
         "block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "pools")
-    rows = placed.select("doc_id", "pool", "block", F.lit(False).alias("probe"), F.lit(0).cast("long").alias("known"))
-    links = staged(_links(_with_sets(base.join(rows.hint("shuffle_hash"), "doc_id"), n), percent, False), "links")
+    sets = staged(_with_sets(base, placed, n), "sets")
+    links = staged(_links(sets, percent, False), "links")
     wide = placed.filter("blocks > 1")
     if wide.limit(1).count():
-        links = _across(base, wide, links, n, percent)
-    several = reps.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last"),
-                                         F.collect_set("rep").alias("all")).filter("b < last")
-    links = links.unionByName(several.select(F.explode("all").alias("a"), "b"))
-    return (reps.join(components(links), F.col("rep") == F.col("node"), "left")
-            .groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"),
-                                   F.min(F.coalesce("component", "rep")).alias("component_id")))
+        links = _across(sets, wide, links, percent)
+    return reps.join(components(links), F.col("rep") == F.col("node"), "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
-def _across(docs: DataFrame, wide: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
+def _across(sets: DataFrame, wide: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links between the blocks of wide pools, in two passes: first one document a
     component and block against all of them, then everything outside the largest
     component of its pool against the blocks it has not met."""
@@ -363,7 +367,7 @@ def _across(docs: DataFrame, wide: DataFrame, links: DataFrame, n: int, percent:
             F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).filter("block <> home").drop("home")
         all_rows = placed.select("doc_id", "pool", "block", F.lit(False).alias("probe"), "known").unionByName(
             sent.select("doc_id", "pool", "block", F.lit(True).alias("probe"), "known"))
-        more = _links(_with_sets(docs.join(all_rows, "doc_id"), n), percent, True)
+        more = _links(all_rows.join(sets.select("doc_id", "s").dropDuplicates(["doc_id"]), "doc_id"), percent, True)
         links = staged(links.unionByName(more), "links")
     return links
 
