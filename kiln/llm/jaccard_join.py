@@ -84,9 +84,9 @@ def _digest(shingles: np.ndarray) -> bytes:
 def first_shingles(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, sig, early, late): ``sig`` is a 128-bit digest of the set,
     ``early`` its shingles of the first class of the global order (a residue class
-    of the hash, about 2.5 times what a prefix needs), ``late`` the following ones
+    of the hash, about 1.7 times what a prefix needs), ``late`` the following ones
     that a document with too few of them needs."""
-    residue = max(1, 40 // max(1, 100 - percent))
+    residue = max(1, 60 // max(1, 100 - percent))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(n)
@@ -113,11 +113,13 @@ def pools(own: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n, pool) of the documents that share a first shingle with another,
     from ``first_shingles`` of one document a class."""
     def marked(column, late):
-        return F.transform(column, lambda t: F.struct(t.alias("token"), F.lit(late).alias("late")))
+        return F.transform(column, lambda t: F.struct(t.alias("token"), F.lit(late).alias("late"),
+                                                      F.col("n_shingles").alias("n")))
 
-    rows = (own.select("doc_id", F.col("n_shingles").alias("n"), F.size("early").alias("front"),
+    # n inside the array: the count and the join below then read one and the same exchange
+    rows = (own.select("doc_id", F.size("early").alias("front"),
                        F.explode_outer(F.concat(marked("early", False), marked("late", True))).alias("x"))
-            .select("doc_id", "n", "front", "x.token", "x.late").filter("token is not null"))
+            .select("doc_id", "x.n", "front", "x.token", "x.late").filter("token is not null"))
     df = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     shared = rows.join(df, "token")
     by_doc = shared.groupBy("doc_id", "n", "front").agg(F.sort_array(F.collect_list(F.struct(

@@ -23,10 +23,10 @@ from kiln.llm.common import id_crc, shared
 LETTERS = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 4
 #: Bounds of the model; documented parameters of ``train``.
-DOCS_PER_LANG = 4000
+DOCS_PER_LANG = 2500
 MAX_LANGS = 500
-WORDS_KEPT = 60_000
-GRAMS_KEPT = 40_000
+WORDS_KEPT = 25_000
+GRAMS_KEPT = 25_000
 #: Rows of the per-worker cache of unseen words.
 CACHE_ROWS = 200_000
 UNKNOWN = "und"
