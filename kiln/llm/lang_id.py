@@ -90,8 +90,9 @@ class Scorer:
     def reset(self):
         self.rows = dict(self.model.word_rows)
         self.known = len(self.rows)
-        self.vectors = np.concatenate([self.model.word_vectors.reshape(-1, len(self.model.langs)),
-                                       np.zeros((4096, len(self.model.langs)), np.float32)])
+        width = len(self.model.langs)
+        self.vectors = np.concatenate([self.model.word_vectors.reshape(self.known, width),
+                                       np.zeros((4096, width), np.float32)])
 
     def row(self, word):
         r = self.rows[word] = len(self.rows)
