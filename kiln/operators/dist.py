@@ -41,7 +41,7 @@ def _ranges(long: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = HIST_BINS,
-              max_columns: int = 12, group_by: str | None = None, density: bool = False) -> DataFrame:
+              max_columns: int | None = None, group_by: str | None = None, density: bool = False) -> DataFrame:
     """Dense equal-width histogram per column (and group): ``[group,] column, bin,
     lower, upper, count[, density]``.  Bins span the column's range over all groups;
     density = count / (rows of the group * bin width)."""
@@ -70,7 +70,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = H
 
 
 def kde(df: DataFrame, columns: Sequence[str] | None = None, points: int = KDE_POINTS,
-        group_by: str | None = None, max_columns: int = 16) -> DataFrame:
+        group_by: str | None = None, max_columns: int | None = None) -> DataFrame:
     """Gaussian KDE on ``points`` grid points over [min, max] per column (and group),
     Scott bandwidth h = std(n-1) * n^(-1/5): ``[group,] column, point, x, density``.
 
@@ -139,14 +139,14 @@ def box_stats_by_category(df: DataFrame, value_col: str, category_col: str) -> t
 
 
 def box_stats_columns(df: DataFrame, columns: Sequence[str] | None = None,
-                      max_columns: int = 20) -> tuple[DataFrame, DataFrame]:
+                      max_columns: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Box statistics plus mean per numeric column."""
     cols = numeric_columns(df, columns, max_columns)
     return box_stats_long(to_long(df, cols), ["column"], with_mean=True)
 
 
 def scatter_matrix(df: DataFrame, columns: Sequence[str] | None = None, color_col: str | None = None,
-                   bins: int = HIST_BINS, max_columns: int = 6, dropna_all: bool = False) -> DataFrame:
+                   bins: int = HIST_BINS, max_columns: int | None = None, dropna_all: bool = False) -> DataFrame:
     """Binned scatter-matrix data for every pair below the diagonal:
     ``[color,] column_x, column_y, bin_x, bin_y, count`` (non-empty cells).
 
@@ -179,7 +179,7 @@ def scatter_matrix(df: DataFrame, columns: Sequence[str] | None = None, color_co
         F.count(F.lit(1)).alias("count"))
 
 
-def pair_plot(df: DataFrame, hue: str | None = None, max_columns: int = 5,
+def pair_plot(df: DataFrame, hue: str | None = None, max_columns: int | None = None,
               bins: int = HIST_BINS) -> tuple[DataFrame, DataFrame]:
     """Pair-plot data (H19): binned off-diagonal cells and per-hue KDE on the
     diagonal, over the rows with no NULL in the chosen columns (and hue)."""

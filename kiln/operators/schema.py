@@ -34,8 +34,9 @@ FORMAT_SHAPES = {
     "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
     "yyyyMMdd": r"^\d{8}$",
 }
-# anything a timestamp cast could read starts with a digit (optionally signed)
-CAST_SHAPE = r"^\s*[+-]?\d"
+# a timestamp cast is tried on dates with separators only: bare digits (codes,
+# years, phone numbers) and times without a date are no datetimes
+CAST_SHAPE = r"^\s*\d{4}-\d{1,2}(-\d{1,2}([ T].*)?)?\s*$"
 FALLBACK_PARSE_RATE = 0.8
 CATEGORICAL_RATIO = 0.05
 CATEGORICAL_MAX_UNIQUE = 20

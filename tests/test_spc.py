@@ -94,6 +94,6 @@ def test_by_groups_match_separate_charts(sample):
 
 def test_dispatcher_errors(sample):
     with pytest.raises(ValueError):
-        spc.control_chart(sample, "X-bar & R", "measurement")
+        spc.control_chart(sample, "X-bar & R", value_col="measurement")
     with pytest.raises(ValueError):
-        spc.control_chart(sample, "Pareto", "measurement")
+        spc.control_chart(sample, "Pareto", value_col="measurement")
