@@ -72,12 +72,23 @@ class Model:
         # what counts is how much likelier a language makes the word than the others
         return rows, (logp - logp.max(axis=1, keepdims=True)).astype(np.float32) if len(rows) else logp
 
-    def backoff(self, word):
-        for n in range(MAX_GRAM, 0, -1):
-            rows = [self.gram_rows[g] for g in grams(word, n) if g in self.gram_rows]
-            if rows:
-                return self.gram_vectors[rows].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+    def backoff(self, unseen: list[str]) -> np.ndarray:
+        """One vector a word: the mean over its longest n-grams that the model knows,
+        zeros if it knows none."""
+        out = np.zeros((len(unseen), len(self.langs)), np.float32)
+        get, flat, starts, at = self.gram_rows.get, [], [], []
+        for k, word in enumerate(unseen):
+            for n in range(MAX_GRAM, 0, -1):
+                rows = [r for r in map(get, grams(word, n)) if r is not None]
+                if rows:
+                    at.append(k)
+                    starts.append(len(flat))
+                    flat += rows
+                    break
+        if at:
+            sizes = np.diff(starts + [len(flat)])[:, None]
+            out[at] = np.add.reduceat(self.gram_vectors[flat], starts, axis=0) / sizes
+        return out
 
 
 class Scorer:
@@ -94,12 +105,13 @@ class Scorer:
         self.vectors = np.concatenate([self.model.word_vectors.reshape(self.known, width),
                                        np.zeros((4096, width), np.float32)])
 
-    def row(self, word):
-        r = self.rows[word] = len(self.rows)
-        if r >= len(self.vectors):
+    def learn(self, unseen: list[str]):
+        """Gives every unseen word a row; all of a text at once."""
+        lo, hi = len(self.rows), len(self.rows) + len(unseen)
+        self.rows.update(zip(unseen, range(lo, hi)))
+        while hi > len(self.vectors):
             self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-        self.vectors[r] = self.model.backoff(word)
-        return r
+        self.vectors[lo:hi] = self.model.backoff(unseen)
 
     def score(self, text):
         found = LETTERS.findall(text.lower()) if text else []
@@ -107,11 +119,10 @@ class Scorer:
             return UNKNOWN, 0.0
         if len(self.rows) - self.known > CACHE_ROWS:
             self.reset()
-        get = self.rows.get
-        ids = [get(w) for w in found]
+        ids = list(map(self.rows.get, found))
         if None in ids:
-            ids = [self.row(w) if i is None and w not in self.rows else self.rows[w] if i is None else i
-                   for w, i in zip(found, ids)]
+            self.learn(list(dict.fromkeys(w for w, i in zip(found, ids) if i is None)))
+            ids = list(map(self.rows.get, found))
         s = self.vectors[ids].sum(axis=0, dtype=np.float64)
         e = np.exp(s - s.max())
         best = int(s.argmax())
