@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.core import join_small, materialize
-from kiln.plans.ordering import prefix_sum
-from kiln.plans.ranks import average_ranks
+from kiln.plans.ordering import prefix_sum, prefix_sums
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -48,14 +47,19 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     """Per class precision/recall/F1/support plus accuracy, macro avg and weighted
     avg rows (zero division -> 0): ``class, precision, recall, f1, support``.
 
-    The confusion counts (classes^2 rows) are written once and read by every
-    branch, instead of re-aggregating the predictions per branch."""
-    cm = materialize(confusion_matrix(df, label, prediction))
-    per = cm.groupBy(F.col("actual").alias("class")).agg(
-        F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count"))).alias("tp"),
-        F.sum("count").alias("support"))
-    pred_tot = cm.groupBy(F.col("predicted").alias("class")).agg(F.sum("count").alias("pred"))
-    per = join_small(per, pred_tot, ["class"])
+    Each (label, prediction) count is a row of the label's class and one of the
+    prediction's: a class is one aggregation, without a class x class grid.  The
+    table of one row per class is written once and read by every branch."""
+    y, p = F.col("y"), F.col("p")
+    counts = df.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("k"))
+    both = counts.filter(y.isNotNull() & p.isNotNull()).withColumn("seen", F.lit(1)).unionByName(
+        counts.filter(y.isNull() | p.isNull()).withColumn("seen", F.lit(0)))
+    sides = both.select(F.explode(F.array(
+        F.struct(y.alias("class"), F.when(y == p, F.col("k")).otherwise(F.lit(0)).alias("tp"),
+                 (F.col("k") * F.col("seen")).alias("support"), F.lit(0).cast("long").alias("pred")),
+        F.struct(p.alias("class"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"),
+                 (F.col("k") * F.col("seen")).alias("pred")))).alias("x")).select("x.*").filter("class is not null")
+    per = materialize(sides.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "pred")]))
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("pred").cast("double")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))
     per = per.withColumn("precision", prec).withColumn("recall", rec)
@@ -89,30 +93,31 @@ def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFr
         F.when(F.col("class") == "accuracy", F.col("precision")).otherwise(F.col("f1")).alias("value"))
 
 
+def _auc_by(d: DataFrame, by: str) -> DataFrame:
+    """(by, auc, np): exact Mann-Whitney AUC of (by, s, pos); ties count 1/2.
+
+    Rows are counted per score first (map-side combined), so equal scores are one
+    row; each takes the negatives below it from a prefix sum."""
+    g = d.groupBy(by, "s").agg(F.count_if("pos").alias("p"), F.count_if(~F.col("pos")).alias("q"))
+    g = prefix_sum(g, ["s"], "q", "upto", by=[by])
+    wins = F.col("p").cast("double") * (F.col("upto") - F.col("q") / 2)
+    a = g.groupBy(by).agg(F.sum(wins).alias("wins"), F.sum("p").alias("np"), F.sum("q").alias("nn"))
+    return a.select(by, F.try_divide(F.col("wins"), F.col("np").cast("double") * F.col("nn")).alias("auc"), "np")
+
+
 def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
-    """Exact binary ROC-AUC (Mann-Whitney with average ranks; ties count 1/2): ``auc``."""
+    """Exact binary ROC-AUC (Mann-Whitney; ties count 1/2): one row ``auc``."""
     d = df.select((F.col(label) == F.lit(positive)).alias("pos"), F.col(score).cast("double").alias("s")) \
         .filter(F.col("s").isNotNull() & F.col("pos").isNotNull()).withColumn("k", F.lit(0))
-    ranks = average_ranks(d.select("k", "s"), "k", "s", "rank")
-    j = join_small(d, ranks, ["k", "s"])
-    a = j.agg(F.sum(F.when(F.col("pos"), F.col("rank"))).alias("rp"),
-              F.count_if("pos").alias("np"), F.count_if(~F.col("pos")).alias("nn"))
-    npos = F.col("np").cast("double")
-    return a.select(F.try_divide(F.col("rp") - npos * (npos + 1) / 2, npos * F.col("nn")).alias("auc"))
+    return _auc_by(d, "k").agg(F.max("auc").alias("auc"))
 
 
 def roc_auc_ovr(df: DataFrame, label: str, score_cols: dict) -> DataFrame:
     """Support-weighted one-vs-rest AUC; ``score_cols`` maps class -> score column."""
     long = df.select(F.col(label).alias("y"), F.explode(F.array(*[
         F.struct(F.lit(k).alias("cls"), F.col(c).cast("double").alias("s")) for k, c in score_cols.items()
-    ])).alias("__c")).select("y", "__c.cls", "__c.s").filter(F.col("s").isNotNull())
-    long = long.withColumn("pos", F.col("y") == F.col("cls"))
-    ranks = average_ranks(long.select("cls", "s"), "cls", "s", "rank")
-    j = join_small(long, ranks, ["cls", "s"])
-    per = j.groupBy("cls").agg(F.sum(F.when(F.col("pos"), F.col("rank"))).alias("rp"),
-                               F.count_if("pos").alias("np"), F.count_if(~F.col("pos")).alias("nn"))
-    npos = F.col("np").cast("double")
-    per = per.withColumn("auc", F.try_divide(F.col("rp") - npos * (npos + 1) / 2, npos * F.col("nn")))
+    ])).alias("__c")).select("y", "__c.cls", "__c.s").filter(F.col("s").isNotNull() & F.col("y").isNotNull())
+    per = _auc_by(long.withColumn("pos", F.col("y") == F.col("cls")), "cls")
     return per.agg(F.try_divide(F.sum(F.col("auc") * F.col("np")), F.sum("np").cast("double")).alias("auc"))
 
 
@@ -122,9 +127,7 @@ def roc_curve(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     d = df.select((F.col(label) == F.lit(positive)).cast("int").alias("pos"),
                   F.col(score).cast("double").alias("s")).filter(F.col("s").isNotNull())
     g = d.groupBy("s").agg(F.sum("pos").alias("tp"), F.sum(1 - F.col("pos")).alias("fp"))
-    g = g.withColumn("neg_s", -F.col("s"))
-    g = prefix_sum(g, ["neg_s"], "tp", "ctp")
-    g = prefix_sum(g, ["neg_s"], "fp", "cfp")
+    g = prefix_sums(g.withColumn("neg_s", -F.col("s")), ["neg_s"], {"ctp": "tp", "cfp": "fp"})
     tot = d.agg(F.sum("pos").alias("P"), F.sum(1 - F.col("pos")).alias("N"))
     j = g.crossJoin(F.broadcast(tot))
     pts = j.select(F.col("s").alias("threshold"),

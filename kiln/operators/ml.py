@@ -1,7 +1,7 @@
 """Distributed training and evaluation with ``pyspark.ml``.
 
-* problem type, feature preparation and a deterministic, exact-size split
-  (row hash; stratified per label by an exact order statistic of the hash);
+* problem type, feature preparation and an exact-size split (rank of a key or
+  row hash; per label when stratified);
 * a name -> estimator registry (linear / random forest / gradient boosted trees
   for regression and classification);
 * k-fold cross-validation with per-fold scores (fold = hash rank mod k, per
@@ -18,16 +18,16 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.core import is_numeric, join_small
+from kiln.core import is_numeric, join_small, materialize
 from kiln.operators import metrics as M
 from kiln.plans.ordering import ordered_index
-from kiln.plans.quantiles import order_statistics
 
 REGRESSION = "regression"
 CLASSIFICATION = "classification"
@@ -35,14 +35,30 @@ TREE_DEPTH = 12
 FOREST_TREES = 100
 BOOSTED_ROUNDS = 100
 ROWS_PER_PARTITION = 50_000
+MAX_ROWS_PER_PARTITION = 2_000_000
+MAX_CLASSES = 10_000
+
+
+def problem_types(df: DataFrame, targets: Sequence[str], threshold: int = 10) -> DataFrame:
+    """``target, problem_type`` of several columns in one aggregation: a numeric
+    target with more than ``threshold`` distinct values -> regression."""
+    numeric = [t for t in targets if is_numeric(df.schema[t].dataType)]
+    # one exact count a column, side by side: a distinct aggregate each would copy every row per column
+    seen = df.select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"`{t}`").cast("double").alias("v"))
+                                         for t in numeric])).alias("x")).select("x.*").filter("v is not null") \
+        .distinct().groupBy("target").count() if numeric else None
+    rows = df.sparkSession.createDataFrame([(t,) for t in targets], "target string")
+    if seen is None:
+        return rows.withColumn("problem_type", F.lit(CLASSIFICATION))
+    return join_small(rows, seen, ["target"], how="left").select("target", F.when(
+        F.col("count") > threshold, F.lit(REGRESSION)).otherwise(F.lit(CLASSIFICATION)).alias("problem_type"))
 
 
 def detect_problem_type(df: DataFrame, target: str, threshold: int = 10) -> str:
     """Numeric target with more than ``threshold`` distinct values -> regression."""
     if not is_numeric(df.schema[target].dataType):
         return CLASSIFICATION
-    n = df.agg(F.count_distinct(F.col(f"`{target}`"))).first()[0]
-    return REGRESSION if n > threshold else CLASSIFICATION
+    return problem_types(df, [target], threshold).first()["problem_type"]
 
 
 def prepare_features(df: DataFrame, target: str, feature_cols: Sequence[str] | None = None,
@@ -59,43 +75,48 @@ def prepare_features(df: DataFrame, target: str, feature_cols: Sequence[str] | N
     return out, feats
 
 
-def _row_hash(df: DataFrame, seed: int) -> F.Column:
-    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+def _ranked(df: DataFrame, seed: int, by: list[str], key: Sequence[str] | None) -> DataFrame:
+    """Adds ``__i``: the rank (from 0, per ``by``) in the order of a hash of ``key``.
+
+    Without a key the whole row is hashed and rows that repeat are told apart by
+    their place in the input, pinned with a checkpoint; which of equal rows gets
+    which rank is arbitrary, so the ranked rows are the same in every run.
+    """
+    cols = list(key) if key else df.columns
+    h = df.withColumn("__h", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in cols]))
+    if key:
+        return ordered_index(h, ["__h", *key], by=by, idx_col="__i").drop("__h")
+    h = materialize(h.withColumn("__row", F.monotonically_increasing_id()))
+    return ordered_index(h, ["__h", "__row"], by=by, idx_col="__i").drop("__h", "__row")
 
 
 def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, stratify: bool = False,
-          label: str = "label") -> DataFrame:
-    """Adds boolean ``is_test``: the ceil(test_size * n) rows with the smallest row
-    hash (per label when ``stratify``); the cutoff is an exact order statistic."""
-    h = df.withColumn("__h", _row_hash(df, seed))
-    keys = [label] if stratify else []
-    if keys:
-        h = h.withColumn("__k", F.col(label))
-    else:
-        h = h.withColumn("__k", F.lit(0))
-    cut = order_statistics(h.select("__k", F.col("__h").alias("v")), ["__k"], "v",
-                           {"cut": lambda n: F.ceil(n * test_size) - 1})
-    cut = cut.select("__k", F.col("value").alias("__cut"))
-    out = join_small(h, cut, ["__k"], broadcast_small=True)   # one row per label
-    return out.withColumn("is_test", F.col("__h").cast("double") <= F.col("__cut")).drop("__h", "__k", "__cut")
+          label: str = "label", key: Sequence[str] | None = None) -> DataFrame:
+    """Adds boolean ``is_test``: the ceil(test_size * n) rows of the smallest hash
+    rank (per label when ``stratify``), also where rows repeat.  ``key`` names the
+    columns of a unique key, if there is one."""
+    by = [label] if stratify else []
+    ranked = _ranked(df, seed, by, key)
+    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) * test_size).alias("__test"))
+    return join_small(ranked, sizes, by).withColumn("is_test", F.col("__i") < F.col("__test")).drop("__i", "__test")
 
 
-def fold_column(df: DataFrame, k: int, seed: int = 42, stratify: bool = False, label: str = "label") -> DataFrame:
+def fold_column(df: DataFrame, k: int, seed: int = 42, stratify: bool = False, label: str = "label",
+                key: Sequence[str] | None = None) -> DataFrame:
     """Adds ``fold`` in 0..k-1: hash rank (per label when stratified) modulo k."""
-    h = df.withColumn("__h", _row_hash(df, seed + 1))
-    by = [label] if stratify else []
-    idx = ordered_index(h, ["__h"], by=by, idx_col="__i")
-    return idx.withColumn("fold", F.pmod(F.col("__i"), F.lit(k)).cast("int")).drop("__h", "__i")
+    ranked = _ranked(df, seed + 1, [label] if stratify else [], key)
+    return ranked.withColumn("fold", F.pmod(F.col("__i"), F.lit(k)).cast("int")).drop("__i")
 
 
 def get_estimator(name: str, problem_type: str, seed: int = 42, n_train: int | None = None,
-                  n_classes: int = 2):
-    """Registry of estimators by name (unknown names raise)."""
+                  n_classes: int = 2, tree_depth: int = TREE_DEPTH):
+    """Registry of estimators by name (unknown names raise).  ``tree_depth`` bounds
+    the trees of a forest (Spark allows up to 30)."""
     if problem_type == REGRESSION:
         if name == "Linear Regression":
             return LinearRegression(regParam=0.0, solver="normal")
         if name == "Random Forest Regressor":
-            return RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=TREE_DEPTH, seed=seed)
+            return RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=tree_depth, seed=seed)
         if name in ("XGBoost Regressor", "Gradient Boosted Regressor"):
             return GBTRegressor(maxIter=BOOSTED_ROUNDS, maxDepth=6, stepSize=0.3, seed=seed)
     elif problem_type == CLASSIFICATION:
@@ -103,7 +124,7 @@ def get_estimator(name: str, problem_type: str, seed: int = 42, n_train: int | N
             reg = 1.0 / max(int(n_train or 1), 1)      # C = 1 in the (1/n) loss scaling
             return LogisticRegression(maxIter=1000, regParam=reg, elasticNetParam=0.0, standardization=False)
         if name == "Random Forest Classifier":
-            return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=TREE_DEPTH, seed=seed)
+            return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=tree_depth, seed=seed)
         if name in ("XGBoost", "XGBoost Classifier", "Gradient Boosted Classifier"):
             gbt = GBTClassifier(maxIter=BOOSTED_ROUNDS, maxDepth=6, stepSize=0.3, seed=seed)
             return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
@@ -112,11 +133,15 @@ def get_estimator(name: str, problem_type: str, seed: int = 42, n_train: int | N
     raise ValueError(f"Model '{name}' not available for {problem_type}.")
 
 
-def _pipeline(features: list[str], estimator, scale: bool) -> Pipeline:
+def _pipeline(features: list[str], estimator, scale: bool, n_train: int) -> Pipeline:
     stages = [VectorAssembler(inputCols=features, outputCol="raw_features" if scale else "features",
-                              handleInvalid="skip")]
+                              handleInvalid="error")]
     if scale:
-        stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
+        # Spark divides by the sample deviation; the factor makes it the population's
+        factor = (n_train / (n_train - 1)) ** 0.5 if n_train > 1 else 1.0
+        stages += [StandardScaler(inputCol="raw_features", outputCol="std_features", withMean=True, withStd=True),
+                   ElementwiseProduct(inputCol="std_features", outputCol="features",
+                                      scalingVec=Vectors.dense([factor] * len(features)))]
     stages.append(estimator)
     return Pipeline(stages=stages)
 
@@ -146,12 +171,14 @@ def _score(pred: DataFrame, problem_type: str) -> DataFrame:
 def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Sequence[str] | None = None,
                 problem_type: str | None = None, test_size: float = 0.2, cv_folds: int = 5,
                 random_state: int = 42, scale_features: bool = True, test_flag: str | None = None,
-                label_index: bool = True) -> TrainResult:
+                label_index: bool = True, tree_depth: int = TREE_DEPTH,
+                max_classes: int = MAX_CLASSES) -> TrainResult:
     """Split, cross-validate, fit and evaluate one model.
 
     ``test_flag`` names a boolean column that fixes the split instead of the
     hash split.  Classification labels are indexed to 0..k-1 in sorted order of
-    the original labels (kept in ``extra['labels']``).
+    the original labels (kept in ``extra['labels']``); a target of more than
+    ``max_classes`` values raises an error.
     """
     spark = df.sparkSession
     base = df
@@ -168,17 +195,20 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
     labels = None
     if problem_type == CLASSIFICATION and label_index:
         labs = prepared.select("label").distinct()
-        labels = sorted(r["label"] for r in labs.collect())      # class labels: bounded by the class count
+        labels = sorted(r["label"] for r in labs.limit(max_classes + 1).collect())
+        if len(labels) > max_classes:
+            raise ValueError(f"more than {max_classes} classes in {target!r}")
         mapping = spark.createDataFrame([(float(i), str(v)) for i, v in enumerate(labels)],
                                         "label_idx double, __lab string")
         prepared = (prepared.withColumn("__lab", F.col("label").cast("string"))
                     .join(F.broadcast(mapping), "__lab").drop("__lab", "label")
                     .withColumnRenamed("label_idx", "label"))
-    # partitions sized to the data (about ROWS_PER_PARTITION rows each, at most the
-    # cluster's parallelism): iterative fits launch jobs per round and tiny
-    # partitions only add task overhead
+    # iterative fits launch jobs per round and tiny partitions only add task overhead: up
+    # to the cluster's parallelism ROWS_PER_PARTITION rows each, beyond it as many as
+    # MAX_ROWS_PER_PARTITION needs
     n_all = prepared.count()
-    parts = max(1, min(spark.sparkContext.defaultParallelism, -(-n_all // ROWS_PER_PARTITION)))
+    parts = max(1, min(spark.sparkContext.defaultParallelism, -(-n_all // ROWS_PER_PARTITION)),
+                -(-n_all // MAX_ROWS_PER_PARTITION))
     prepared = prepared.repartition(parts).checkpoint(eager=True)
     train = prepared.filter(~F.col("is_test")).drop("is_test")
     test = prepared.filter(F.col("is_test")).drop("is_test")
@@ -186,21 +216,24 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
     n_classes = len(labels) if labels else 2
     scale = scale_features and problem_type == REGRESSION
 
-    def make():
-        return _pipeline(feats, get_estimator(model_name, problem_type, random_state, n_train, n_classes), scale)
+    def make(n):
+        return _pipeline(feats, get_estimator(model_name, problem_type, random_state, n, n_classes, tree_depth),
+                         scale, n)
 
     # cross-validation: k distributed fits (one per fold) and the final fit are
     # submitted concurrently; each fit is itself a distributed Spark job.
     folds = (fold_column(train, cv_folds, random_state, stratify=problem_type == CLASSIFICATION)
              .repartition(parts).checkpoint(eager=True))
 
+    held = {r["fold"]: r["count"] for r in folds.groupBy("fold").count().collect()}   # one row a fold
+
     def fold_score(k):
-        fit = make().fit(folds.filter(F.col("fold") != k).drop("fold"))
+        fit = make(n_train - held.get(k, 0)).fit(folds.filter(F.col("fold") != k).drop("fold"))
         s = _score(fit.transform(folds.filter(F.col("fold") == k).drop("fold")), problem_type)
         return s.select(F.lit(k + 1).alias("fold"), "score").checkpoint(eager=True)
 
     with ThreadPoolExecutor(max_workers=cv_folds + 1) as pool:
-        final = pool.submit(lambda: make().fit(train))
+        final = pool.submit(lambda: make(n_train).fit(train))
         scores = list(pool.map(fold_score, range(cv_folds)))
         model = final.result()
     cv = scores[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,10 @@ def bin_label(ts: Column, freq: str) -> Column:
     return out.cast("timestamp_ntz")
 
 
-def _agg(name: str, c: str, ts: str) -> Column:
+def _agg(name: str, c: str, ts: str, order_by: Sequence[str] = ()) -> Column:
     x = F.col(f"`{c}`")
+    # of tied timestamps order_by decides, and of ties there the value itself
+    at = F.struct(F.col(f"`{ts}`"), *[F.col(f"`{o}`") for o in order_by], x)
     if name == "mean":
         return F.avg(x)
     if name == "sum":
@@ -46,19 +50,21 @@ def _agg(name: str, c: str, ts: str) -> Column:
     if name == "nunique":
         return F.count_distinct(x)
     if name == "first":
-        return F.min_by(x, F.when(x.isNotNull(), F.col(f"`{ts}`")))
+        return F.min_by(x, F.when(x.isNotNull(), at))
     if name == "last":
-        return F.max_by(x, F.when(x.isNotNull(), F.col(f"`{ts}`")))
+        return F.max_by(x, F.when(x.isNotNull(), at))
     raise ValueError(f"unknown aggregation {name!r}")
 
 
 def group_by_time(df: DataFrame, datetime_col: str, freq: str = "D",
-                  agg_funcs: dict | None = None, densify: bool = True) -> DataFrame:
+                  agg_funcs: dict | None = None, densify: bool = True,
+                  order_by: Sequence[str] = ()) -> DataFrame:
     """Resample to H/D/W/M bins and aggregate (default: mean of every numeric column).
 
     ``agg_funcs`` maps column -> mean/sum/min/max/count/std/median/first/last/nunique.
     With ``densify`` every bin between the first and the last exists; sum, count
     and nunique are 0 on an empty bin, the others NULL (as pandas resample).
+    ``first`` and ``last`` go by (``datetime_col``, ``order_by``, the value).
     """
     if datetime_col not in df.columns:
         raise ValueError(f"Column '{datetime_col}' not found.")
@@ -69,7 +75,7 @@ def group_by_time(df: DataFrame, datetime_col: str, freq: str = "D",
         .filter(F.col(label).isNotNull())
     plain = {c: f for c, f in agg_funcs.items() if f != "median"}
     medians = [c for c, f in agg_funcs.items() if f == "median"]
-    g = d.groupBy(label).agg(*[_agg(f, c, datetime_col).alias(c) for c, f in plain.items()]) if plain \
+    g = d.groupBy(label).agg(*[_agg(f, c, datetime_col, order_by).alias(c) for c, f in plain.items()]) if plain \
         else d.select(label).distinct()
     for c in medians:
         q = exact_quantiles(d.select(label, c), [label], c, [0.5]).select(label, F.col("quantile").alias(c))

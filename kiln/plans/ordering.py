@@ -3,9 +3,9 @@
 ``Window.orderBy`` with no ``partitionBy`` sends the whole table to a single
 task.  Instead:
 
-* ``assign_buckets`` cuts the order key into contiguous value ranges from
-  approximate quantiles (so a hot group is split over many buckets); the
-  bucket is a pure function of the row, so recomputation is consistent.
+* ``assign_buckets`` range partitions the rows on the full order key, ties
+  spread by row (so a hot group or value is split over many buckets), and pins
+  the bucket of every row with a reliable checkpoint.
 * ``ordered_index`` numbers rows inside each (group, bucket) and shifts them by
   the counts of earlier buckets.  The offset table has one row per
   (group, bucket) and, without groups, one row per bucket, so it is broadcast
@@ -28,14 +28,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql import types as T
-
-from kiln.core import col_list, ensure_checkpoint_dir, epoch_micros, is_numeric, join_small
+from kiln.core import col_list, ensure_checkpoint_dir, join_small
 
 DEFAULT_BUCKET_ROWS = 1 << 20
-MAX_BUCKETS = 4096
 TARGET_BUCKET_ROWS = 1 << 21
-HOT_KEY_ROWS = 4 * TARGET_BUCKET_ROWS
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -48,84 +44,23 @@ def _order_cols(order_by) -> list[Column]:
     return [c if isinstance(c, Column) else F.col(c) for c in col_list(order_by)]
 
 
-def _monotone_double(df: DataFrame, c: Column) -> Column | None:
-    """A non-decreasing double image of ``c`` (for value-range buckets), if any."""
-    dt = df.select(c).schema.fields[0].dataType
-    if is_numeric(dt) or isinstance(dt, T.BooleanType):
-        return c.cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return epoch_micros(c, dt).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, T.StringType):
-        # first 6 UTF-8 bytes as a 48-bit integer: monotone in Spark's byte-wise order
-        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return None
-
-
-def _range_buckets(df: DataFrame, order: list[Column], num_buckets: int | None,
-                   n: int | None = None) -> DataFrame:
-    """Range partitions of (order, row hash) as buckets, pinned by a reliable checkpoint.
-
-    The hash only orders rows whose keys tie (their relative order is
-    arbitrary anyway), so a hot key value is spread over many partitions.  The
-    checkpoint fixes the partition of every row for all later reads.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    k = num_buckets or max(_partitions(df, None), -(-(n or 0) // TARGET_BUCKET_ROWS))
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    ranged = df.repartitionByRange(int(k), *order, tie).withColumn("__bk", F.spark_partition_id())
-    return ranged.checkpoint(eager=True)
-
-
 def assign_buckets(df: DataFrame, order_by, num_buckets: int | None = None) -> DataFrame:
-    """Add ``__bk``: contiguous value ranges of the first order key, in order.
-
-    The split points are approximate quantiles of that key (one small job; the
-    list has at most ``num_buckets`` values), and the bucket is a pure function
-    of the row's key, so every recomputation of the plan agrees.  NULL keys sort
-    first (bucket -1).  For a key with no numeric image, or a first-column value
-    that alone holds several buckets' worth of rows, the rows are range
-    partitioned on the full key (ties spread by a row hash) and the partition
-    id is pinned with a reliable checkpoint.
+    """Add ``__bk``: contiguous ranges of the full order key, in order (NULLs first).
+
+    Rows are range partitioned on (order key, row hash, row number of the input)
+    and the partition id is pinned with a reliable checkpoint, so all later reads
+    agree.  The last two only order rows whose keys tie (their relative order is
+    arbitrary anyway), so that a hot key value, even of equal rows, is spread over
+    many partitions.  The number of ranges follows the row count, about
+    TARGET_BUCKET_ROWS rows each, without an upper limit.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     order = _order_cols(order_by)
-    img = _monotone_double(df, order[0])
-    if img is None:
-        return _range_buckets(df, order, num_buckets)
-    # One job: row count and a fine quantile grid of the key; the bucket count
-    # then follows the data size (about TARGET_BUCKET_ROWS rows per bucket).
-    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    row = df.select(F.count(F.lit(1)).alias("n"),
-                    F.percentile_approx(img, probs, 10 * MAX_BUCKETS).alias("s")).first()
-    n = int(row["n"] or 0)
-    grid = row["s"] or []
-    # a single key value holding many buckets' worth of rows (a hot key) cannot
-    # be split by value ranges of the first column: range-partition on the full
-    # key plus a row hash instead
-    run, longest = 1, 1
-    for a, b in zip(grid, grid[1:]):
-        run = run + 1 if a == b else 1
-        longest = max(longest, run)
-    if longest * (n / MAX_BUCKETS) > HOT_KEY_ROWS:
-        return _range_buckets(df, order, num_buckets, n)
-    k = num_buckets or max(_partitions(df, None), -(-n // TARGET_BUCKET_ROWS))
-    k = max(1, min(int(k), MAX_BUCKETS))
-    step = MAX_BUCKETS / k
-    picked = [grid[int(round(j * step)) - 1] for j in range(1, k)] if grid else []
-    cuts = sorted({float(x) for x in picked if x is not None})
-    with_img = df.withColumn("__k", img)
-    if not cuts:
-        out = with_img.withColumn("__b", F.lit(0.0))
-    else:
-        from pyspark.ml.feature import Bucketizer
-        splits = [float("-inf")] + cuts + [float("inf")]
-        out = Bucketizer(splits=splits, inputCol="__k", outputCol="__b",
-                         handleInvalid="keep").transform(with_img)
-    out = out.withColumn("__bk", F.when(F.col("__k").isNull(), F.lit(-1))
-                         .otherwise(F.col("__b").cast("int")))
-    return out.drop("__k", "__b")
+    k = num_buckets or max(_partitions(df, None), -(-df.count() // TARGET_BUCKET_ROWS))
+    tied = df.withColumns({"__bk_tie": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]),
+                           "__bk_row": F.monotonically_increasing_id()})
+    ranged = tied.repartitionByRange(int(k), *order, "__bk_tie", "__bk_row").drop("__bk_tie", "__bk_row")
+    return ranged.withColumn("__bk", F.spark_partition_id()).checkpoint(eager=True)
 
 
 def ordered_index(df: DataFrame, order_by, by=None, idx_col: str = "_idx",
@@ -145,7 +80,7 @@ def ordered_index(df: DataFrame, order_by, by=None, idx_col: str = "_idx",
     counts = d.groupBy(*by, "__bk").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "__bk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    # Without groups the offset table has one row per bucket: a fixed bound.
+    # Without groups the offset table has one row per bucket (rows / TARGET_BUCKET_ROWS).
     joined = join_small(local, offsets, by + ["__bk"], broadcast_small=not by)
     return (joined.withColumn(idx_col, (F.col("__off") + F.col("__rn")).cast("long"))
             .drop("__bk", "__rn", "__off"))
@@ -264,23 +199,33 @@ def fill_backward(df: DataFrame, columns: Sequence[str], order_by,
     return filled.select(*out_cols)
 
 
-def prefix_sum(df: DataFrame, order_by, value: Column | str, out_col: str,
-               by=None, inclusive: bool = True,
-               num_buckets: int | None = None) -> DataFrame:
-    """Running sum of ``value`` in ``order_by`` order within ``by``.
+def prefix_sums(df: DataFrame, order_by, values: dict, by=None, inclusive: bool = True,
+                num_buckets: int | None = None) -> DataFrame:
+    """Running sums in ``order_by`` order within ``by`` (P4); ``values`` maps an
+    output column to the column to sum.
 
-    Value-range buckets carry the order; a per-(group, bucket) total table gives
-    the offsets; inside a bucket a running-frame sum finishes the job.
+    One set of buckets carries the order for all of them; a per-(group, bucket)
+    total table gives the offsets; inside a bucket a running-frame sum finishes
+    the job.
     """
     by = col_list(by)
     order = _order_cols(order_by)
-    v = F.col(value) if isinstance(value, str) else value
-    d = assign_buckets(df, order_by, num_buckets).withColumn("__v", v)
-    totals = d.groupBy(*by, "__bk").agg(F.sum("__v").alias("__t"))
+    names = list(values)
+    d = assign_buckets(df.withColumns({f"__v{i}": F.col(v) if isinstance(v, str) else v
+                                       for i, v in enumerate(values.values())}), order_by, num_buckets)
+    totals = d.groupBy(*by, "__bk").agg(*[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(names))])
     before = Window.partitionBy(*by).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "__bk", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__off"))
-    frame_end = 0 if inclusive else -1
-    w = Window.partitionBy(*by, "__bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-    local = d.withColumn("__loc", F.coalesce(F.sum("__v").over(w), F.lit(0)))
+    offsets = totals.select(*by, "__bk", *[F.coalesce(F.sum(f"__t{i}").over(before), F.lit(0)).alias(f"__off{i}")
+                                           for i in range(len(names))])
+    w = Window.partitionBy(*by, "__bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = d.withColumns({f"__loc{i}": F.coalesce(F.sum(f"__v{i}").over(w), F.lit(0)) for i in range(len(names))})
     joined = join_small(local, offsets, by + ["__bk"], broadcast_small=not by)
-    return joined.withColumn(out_col, F.col("__off") + F.col("__loc")).drop("__bk", "__v", "__off", "__loc")
+    return joined.withColumns({n: F.col(f"__off{i}") + F.col(f"__loc{i}") for i, n in enumerate(names)}).drop(
+        "__bk", *[f"__{p}{i}" for p in ("v", "off", "loc") for i in range(len(names))])
+
+
+def prefix_sum(df: DataFrame, order_by, value: Column | str, out_col: str,
+               by=None, inclusive: bool = True,
+               num_buckets: int | None = None) -> DataFrame:
+    """One running sum: see :func:`prefix_sums`."""
+    return prefix_sums(df, order_by, {out_col: value}, by, inclusive, num_buckets)

@@ -7,11 +7,13 @@ Here the exact order statistics are found by narrowing a value bracket:
 1. ``percentile_approx`` over a fixed grid of probabilities (a mergeable sketch,
    partially aggregated on every partition) gives, per (group, prob), a value
    bracket that must contain the wanted ranks.
-2. One counting pass verifies the bracket (rows below it, rows inside it).
-   A bracket that fails the check is simply not narrowed, so results stay exact.
-3. Repeat on the rows inside the brackets until every bracket holds at most
-   ``max_candidates`` rows; then a window numbers those rows and the two order
-   statistics around rank (n-1)p are interpolated (pandas / ``quantile_cont``).
+2. One counting pass counts the rows below, at, between and above the two grid
+   values, which places every wanted rank exactly: on a grid value (solved, however
+   many rows tie there) or strictly between two of them.
+3. Repeat on the rows strictly inside the brackets until every bracket holds at most
+   ``max_candidates`` rows; every round takes at least one value out of a bracket, so
+   this ends without a limit of rounds.  Then a window numbers those rows and the two
+   order statistics around rank (n-1)p are interpolated (pandas / ``quantile_cont``).
    A group that is small from the start is sorted once for all targets.
 
 Input is long format: key columns + one numeric value column.
@@ -29,7 +31,6 @@ from kiln.core import col_list, join_small
 GRID = 1000
 ACCURACY = 20000
 MAX_CANDIDATES = 1 << 20
-MAX_ROUNDS = 6
 
 
 def _bracket(grid_col, t, m, pad: int = 3):
@@ -44,78 +45,82 @@ def _bracket(grid_col, t, m, pad: int = 3):
 
 def _solve(data: DataFrame, keys: list[str], state: DataFrame, labels: list, bc: bool,
            max_candidates: int) -> DataFrame:
-    """Resolve targets: one state row per key with, for every target i,
-    ranks ``t{i}lo``/``t{i}hi`` (0-based), ``f{i}`` (interpolation weight),
-    bracket ``lo{i}``/``hi{i}`` (NULL = open) and ``m{i}`` (rows inside).
+    """Resolve targets: one state row per key with, for every label i, the
+    0-based ranks ``t{i}lo``/``t{i}hi`` and the interpolation weight ``f{i}``.
+
+    Each of the two ranks is a target j of its own: ``r{j}`` its rank among the
+    ``m{j}`` rows strictly between ``lo{j}`` and ``hi{j}`` (NULL = open), ``x{j}``
+    its value once a bracket end turned out to be it (then ``m{j}`` = 0).
 
     Passes over the data never multiply rows by the number of targets: the
     first sketch is per key, counts are conditional aggregates per target, and
     only rows inside a (narrow) bracket are expanded at the end.
     ``data`` has keys + ``__v`` (non-null).  Returns keys, __lab, __q.
     """
-    L = len(labels)
-    idx = range(L)
+    idx = range(len(labels))
+    jdx = range(2 * len(labels))
+    null = F.lit(None).cast("double")
     state = state.select(*keys, "__n", *[c for i in idx for c in (f"t{i}lo", f"t{i}hi", f"f{i}")],
-                         *[F.lit(None).cast("double").alias(f"lo{i}") for i in idx],
-                         *[F.lit(None).cast("double").alias(f"hi{i}") for i in idx],
-                         *[F.col("__n").alias(f"m{i}") for i in idx])
+                         *[F.col(f"t{j // 2}{('lo', 'hi')[j % 2]}").alias(f"r{j}") for j in jdx],
+                         *[c for j in jdx for c in (null.alias(f"lo{j}"), null.alias(f"hi{j}"), null.alias(f"x{j}"),
+                                                    F.col("__n").alias(f"m{j}"))])
 
-    def inside(i, lo=None, hi=None):
-        lo = F.col(lo or f"lo{i}")
-        hi = F.col(hi or f"hi{i}")
-        return (lo.isNull() | (F.col("__v") >= lo)) & (hi.isNull() | (F.col("__v") <= hi))
+    def inside(j):
+        return (F.col(f"x{j}").isNull() & (F.col(f"lo{j}").isNull() | (F.col("__v") > F.col(f"lo{j}")))
+                & (F.col(f"hi{j}").isNull() | (F.col("__v") < F.col(f"hi{j}"))))
 
     def expanded(st):
         """(keys, __i, __v) for rows inside the bracket of target __i."""
         j = join_small(data, st, keys, broadcast_small=bc)
-        arr = F.array(*[F.when(inside(i), F.lit(i)) for i in idx])
+        arr = F.array(*[F.when(inside(i), F.lit(i)) for i in jdx])
         return j.select(*keys, "__v", F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("__i"))
 
     grid = [g / GRID for g in range(1, GRID)]
     first = True
-    for _ in range(MAX_ROUNDS):
-        biggest = state.agg(F.greatest(*[F.max(f"m{i}") for i in idx]) if L > 1
-                            else F.max("m0")).first()[0]
+    while True:
+        biggest = state.agg(F.greatest(*[F.max(f"m{j}") for j in jdx])).first()[0]
         if biggest is None or biggest <= max_candidates:
             break
         if first:
             # every bracket is still the whole group: one sketch per key
             sk = data.groupBy(*keys).agg(F.percentile_approx("__v", grid, ACCURACY).alias("__g"))
             st2 = join_small(state, sk, keys, broadcast_small=bc)
-            gcol = {i: F.col("__g") for i in idx}
+            gcol = {j: F.col("__g") for j in jdx}
         else:
             sk = (expanded(state).groupBy(*keys, "__i")
                   .agg(F.percentile_approx("__v", grid, ACCURACY).alias("__g")))
-            wide = sk.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, F.col("__g"))).alias(f"__g{i}")
-                                           for i in idx])
-            st2 = join_small(state, wide, keys, broadcast_small=bc)
-            gcol = {i: F.col(f"__g{i}") for i in idx}
-        for i in idx:
-            nlo, _ = _bracket(gcol[i], F.col(f"t{i}lo").cast("double"), F.col(f"m{i}").cast("double"))
-            _, nhi = _bracket(gcol[i], F.col(f"t{i}hi").cast("double"), F.col(f"m{i}").cast("double"))
-            # an open end of the new bracket keeps the old bound (ranks are relative to it)
-            st2 = (st2.withColumn(f"nlo{i}", F.coalesce(nlo, F.col(f"lo{i}")))
-                   .withColumn(f"nhi{i}", F.coalesce(nhi, F.col(f"hi{i}"))))
-        st2 = st2.drop("__g", *[f"__g{i}" for i in idx])
-        j = join_small(data, st2.select(*keys, *[c for i in idx for c in (f"lo{i}", f"hi{i}", f"nlo{i}", f"nhi{i}")]),
-                       keys, broadcast_small=bc)
-        aggs = []
-        for i in idx:
-            old = inside(i)
-            aggs.append(F.count_if(old & F.col(f"nlo{i}").isNotNull() & (F.col("__v") < F.col(f"nlo{i}")))
-                        .alias(f"b{i}"))
-            aggs.append(F.count_if(old & inside(i, f"nlo{i}", f"nhi{i}")).alias(f"in{i}"))
-        tallies = j.groupBy(*keys).agg(*aggs)
+            wide = sk.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == j, F.col("__g"))).alias(f"__g{j}")
+                                           for j in jdx])
+            st2 = join_small(state, wide, keys, broadcast_small=bc, how="left")
+            gcol = {j: F.col(f"__g{j}") for j in jdx}
+        for j in jdx:
+            nlo, nhi = _bracket(gcol[j], F.col(f"r{j}").cast("double"), F.col(f"m{j}").cast("double"))
+            st2 = st2.withColumns({f"nlo{j}": nlo, f"nhi{j}": nhi})
+        st2 = st2.drop("__g", *[f"__g{j}" for j in jdx])
+        rows = join_small(data, st2.select(*keys, *[c for j in jdx for c in (
+            f"x{j}", f"lo{j}", f"hi{j}", f"nlo{j}", f"nhi{j}")]), keys, broadcast_small=bc)
+        v = F.col("__v")
+        tallies = rows.groupBy(*keys).agg(*[F.count_if(F.coalesce(cond, F.lit(False)) & inside(j)).alias(f"{name}{j}")
+                                            for j in jdx for name, cond in (
+            ("below", v < F.col(f"nlo{j}")), ("at_lo", v == F.col(f"nlo{j}")),
+            ("above", v > F.col(f"nhi{j}")), ("at_hi", (v == F.col(f"nhi{j}")) & ~v.eqNullSafe(F.col(f"nlo{j}"))))])
         st3 = join_small(st2, tallies, keys, broadcast_small=bc)
-        cols = [*keys, "__n"]
-        for i in idx:
-            ok = (F.col(f"b{i}") <= F.col(f"t{i}lo")) & (F.col(f"t{i}hi") < F.col(f"b{i}") + F.col(f"in{i}"))
-            cols += [F.when(ok, F.col(f"t{i}lo") - F.col(f"b{i}")).otherwise(F.col(f"t{i}lo")).alias(f"t{i}lo"),
-                     F.when(ok, F.col(f"t{i}hi") - F.col(f"b{i}")).otherwise(F.col(f"t{i}hi")).alias(f"t{i}hi"),
-                     F.col(f"f{i}"),
-                     F.when(ok, F.col(f"nlo{i}")).otherwise(F.col(f"lo{i}")).alias(f"lo{i}"),
-                     F.when(ok, F.col(f"nhi{i}")).otherwise(F.col(f"hi{i}")).alias(f"hi{i}"),
-                     F.when(ok, F.col(f"in{i}")).otherwise(F.col(f"m{i}")).alias(f"m{i}")]
+        cols = [*keys, "__n", *[c for i in idx for c in (f"t{i}lo", f"t{i}hi", f"f{i}")]]
+        for j in jdx:
+            r, m, lo, hi, nlo, nhi = (F.col(f"{c}{j}") for c in ("r", "m", "lo", "hi", "nlo", "nhi"))
+            to_lo = F.col(f"below{j}") + F.col(f"at_lo{j}")          # rows up to and with nlo
+            to_hi = m - F.col(f"above{j}") - F.col(f"at_hi{j}")      # rows before nhi
+            zones = [(F.col(f"x{j}").isNotNull(), (r, lo, hi, F.col(f"x{j}"), F.lit(0))),
+                     (r < F.col(f"below{j}"), (r, lo, nlo, null, F.col(f"below{j}"))),
+                     (r < to_lo, (r, lo, hi, nlo, F.lit(0))),
+                     (r < to_hi, (r - to_lo, F.coalesce(nlo, lo), F.coalesce(nhi, hi), null, to_hi - to_lo)),
+                     (r < to_hi + F.col(f"at_hi{j}"), (r, lo, hi, nhi, F.lit(0))),
+                     (F.lit(True), (r - to_hi - F.col(f"at_hi{j}"), nhi, hi, null, F.col(f"above{j}")))]
+            for k, name in enumerate(("r", "lo", "hi", "x", "m")):
+                out = F.when(zones[0][0], zones[0][1][k])
+                for cond, vals in zones[1:]:
+                    out = out.when(cond, vals[k])
+                cols.append(out.cast("long" if name in "rm" else "double").alias(f"{name}{j}"))
         # the state is tiny (one row per group); pin it to keep the plan short
         state = st3.select(*cols).checkpoint(eager=True)
         first = False
@@ -139,20 +144,18 @@ def _solve(data: DataFrame, keys: list[str], state: DataFrame, labels: list, bc:
             F.struct(F.element_at(lab_arr, i + 1).alias("__lab"),
                      (F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}")).alias("__q"))
             for i in idx])))
-    cand = expanded(state)
     w = Window.partitionBy(*keys, "__i").orderBy("__v")
-    ranked = cand.withColumn("__r", F.row_number().over(w) - 1)
-    targets = state.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("__i"), F.col(f"t{i}lo").alias("__tlo"), F.col(f"t{i}hi").alias("__thi"),
-                 F.col(f"f{i}").alias("__frac")) for i in idx])).alias("__t")).select(*keys, "__t.*")
-    ranked = join_small(ranked, targets, keys + ["__i"], broadcast_small=bc)
-    picked = (ranked.filter((F.col("__r") == F.col("__tlo")) | (F.col("__r") == F.col("__thi")))
-              .groupBy(*keys, "__i")
-              .agg(F.max(F.when(F.col("__r") == F.col("__tlo"), F.col("__v"))).alias("__a"),
-                   F.max(F.when(F.col("__r") == F.col("__thi"), F.col("__v"))).alias("__b"),
-                   F.first("__frac").alias("__frac")))
-    return picked.select(*keys, F.element_at(lab_arr, F.col("__i") + 1).alias("__lab"),
-                         (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__frac")).alias("__q"))
+    ranked = expanded(state).withColumn("__r", F.row_number().over(w) - 1)
+    ranks = state.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(j).alias("__i"), F.col(f"r{j}").alias("__t")) for j in jdx])).alias("__t")).select(
+        *keys, "__t.*")
+    ranked = join_small(ranked, ranks, keys + ["__i"], broadcast_small=bc).filter(F.col("__r") == F.col("__t"))
+    picked = ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == j, F.col("__v"))).alias(f"__p{j}") for j in jdx])
+    solved = join_small(state, picked, keys, broadcast_small=bc, how="left")
+    value = [F.coalesce(F.col(f"x{j}"), F.col(f"__p{j}")) for j in jdx]
+    return solved.select(*keys, F.inline(F.array(*[
+        F.struct(F.element_at(lab_arr, i + 1).alias("__lab"),
+                 (value[2 * i] + (value[2 * i + 1] - value[2 * i]) * F.col(f"f{i}")).alias("__q")) for i in idx])))
 
 
 def _prepare(long_df: DataFrame, keys: list[str], value: str):

@@ -63,31 +63,37 @@ def _li_multiclass(spark, sf):
 
 
 def _problem_types(spark, sf):
-    li = _li(spark, sf)
-    rows = [(c, ml.detect_problem_type(li, c)) for c in ["l_extendedprice", "l_returnflag", "l_linenumber"]]
-    return spark.createDataFrame(rows, "target string, problem_type string")
+    return ml.problem_types(_li(spark, sf), ["l_extendedprice", "l_returnflag", "l_linenumber"])
 
 
 def _split_sizes(spark, sf):
     li = _li(spark, sf).select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
-    s = ml.split(li.withColumnRenamed("l_returnflag", "label"), 0.2, 42, stratify=True)
+    s = ml.split(li.withColumnRenamed("l_returnflag", "label"), 0.2, 42, stratify=True,
+                 key=["l_orderkey", "l_linenumber"])
     return s.groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _split_repeats(spark, sf):
+    """Features that repeat: no key, a few distinct rows."""
+    li = _li(spark, sf).select("l_linenumber", F.col("l_returnflag").alias("label"))
+    return ml.split(li, 0.2, 42, stratify=True).groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _split_plain(spark, sf):
     li = _li(spark, sf).select("l_orderkey", "l_linenumber", "l_extendedprice")
-    s = ml.split(li.withColumnRenamed("l_extendedprice", "label"), 0.2, 42, stratify=False)
+    s = ml.split(li.withColumnRenamed("l_extendedprice", "label"), 0.2, 42, key=["l_orderkey", "l_linenumber"])
     return s.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _fold_sizes(spark, sf):
     li = _li(spark, sf).select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("label"))
-    f = ml.fold_column(li, 5, 42, stratify=True)
+    f = ml.fold_column(li, 5, 42, stratify=True, key=["l_orderkey", "l_linenumber"])
     return f.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
     "ml_split_plain": _split_plain,
+    "ml_split_repeats": _split_repeats,
     "ml_fold_sizes": _fold_sizes,
     "ml_problem_type": _problem_types,
     "ml_prepare_features": lambda s, d: rounded(ml.prepare_features(
@@ -153,7 +159,8 @@ from (select *, rank() over (order by {score}) + (count(*) over (partition by {s
 SQL = {
     "ml_problem_type": """select 'l_extendedprice' as target,
   case when count(distinct l_extendedprice) > 10 then 'regression' else 'classification' end as problem_type from lineitem
-union all select 'l_returnflag', 'classification'
+union all select 'l_returnflag', case when typeof(any_value(l_returnflag)) = 'VARCHAR' then 'classification'
+  else 'regression' end from lineitem
 union all select 'l_linenumber', case when count(distinct l_linenumber) > 10 then 'regression'
   else 'classification' end from lineitem""",
     "ml_prepare_features": f"""select {r('l_quantity')} as l_quantity, {r('l_discount')} as l_discount,
@@ -219,3 +226,4 @@ c as (select least(floor((v - lo) * 30 / (hi - lo))::integer, 29) as bin, count(
 g as (select unnest(range(0, 30)) as bin)
 select g.bin::integer as bin, {r('lo + g.bin * (hi - lo) / 30.0')} as lower, {r('lo + (g.bin + 1) * (hi - lo) / 30.0')} as upper,
        coalesce(n, 0) as count from g cross join rg left join c using (bin)"""
+SQL["ml_split_repeats"] = SQL["ml_split_stratified"]

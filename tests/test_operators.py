@@ -146,3 +146,40 @@ def test_ml_small(spark):
     assert {"Accuracy", "F1 (weighted)", "ROC-AUC"} <= names
     with pytest.raises(ValueError):
         ml.get_estimator("Nope", ml.REGRESSION)
+
+
+def test_split_of_repeated_rows_is_exact(spark):
+    from kiln.operators import ml
+    df = spark.range(0, 1003).select((F.col("id") % 3).alias("x"), F.when(F.col("id") < 200, "a").otherwise("b")
+                                     .alias("label"))
+    plain = ml.split(df, 0.2).groupBy("is_test").count().collect()
+    assert {r["is_test"]: r["count"] for r in plain} == {True: 201, False: 802}
+    by = ml.split(df, 0.2, stratify=True).filter("is_test").groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in by} == {"a": 40, "b": 161}
+
+
+def test_first_and_last_of_tied_timestamps(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t, 2, 5.0), (t, 1, 7.0), (t, 3, None), (t, 3, 6.0)], "t timestamp_ntz, k int, v double")
+    first = resample.group_by_time(df, "t", "D", {"v": "first"}, order_by=["k"]).first()["v"]
+    last = resample.group_by_time(df, "t", "D", {"v": "last"}, order_by=["k"]).first()["v"]
+    assert (first, last) == (7.0, 6.0)
+
+
+def test_scaled_coefficient_uses_the_population_deviation(spark):
+    from kiln.operators import ml
+    df = spark.createDataFrame([(float(i), 3.0 * i + 1, i % 5 == 0) for i in range(20)], "x double, y double, t boolean")
+    res = ml.train_model(df, "y", "Linear Regression", ["x"], problem_type=ml.REGRESSION, test_flag="t", cv_folds=2)
+    import statistics
+    std = statistics.pstdev([float(i) for i in range(20) if i % 5])
+    assert abs(res.importance.first()["importance"] - 3 * std) < 1e-9
+
+
+def test_report_without_class_grid(spark):
+    from kiln.operators import metrics
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a"), (None, "a"), ("a", None)], "y string, p string")
+    rep = {r["class"]: r for r in metrics.classification_report(df, "y", "p").collect()}
+    assert rep["a"]["support"] == 2 and rep["a"]["precision"] == 0.5 and rep["a"]["recall"] == 0.5
+    assert rep["b"]["precision"] == 0.5 and rep["b"]["recall"] == 1.0 and rep["c"]["f1"] == 0.0
+    assert rep["accuracy"]["f1"] == 0.5

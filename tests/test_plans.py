@@ -76,6 +76,26 @@ def test_exact_quantiles_multi_round(spark):
         assert abs(r["quantile"] - e) <= 1e-9 * max(1, abs(e))
 
 
+def test_quantiles_of_tied_values(spark):
+    """Eleven distinct values: grid values solve the ranks at once, nothing is sorted."""
+    df = spark.range(0, 6000).select((F.pmod(F.xxhash64("id"), F.lit(11)) / 100).alias("v"))
+    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 0.999, 1.0]
+    got = {r["prob"]: r["quantile"] for r in exact_quantiles(df, None, "v", probs, max_candidates=20).collect()}
+    v = np.array([r["v"] for r in df.collect()])
+    for p in probs:
+        assert abs(got[p] - np.quantile(v, p)) < 1e-12
+
+
+def test_quantiles_between_two_heavy_values(spark):
+    """Few values between two heavy ones: the heavy ones are taken out as bracket ends."""
+    df = spark.range(0, 40000).select(F.when(F.col("id") < 20000, 1.0).when(F.col("id") < 20015, F.col("id") / 10000)
+                                      .otherwise(9.0).alias("v"))
+    got = exact_quantiles(df, None, "v", [20007 / 39999, 0.5], max_candidates=5).collect()
+    v = np.array([r["v"] for r in df.collect()])
+    for r in got:
+        assert abs(r["quantile"] - np.quantile(v, r["prob"])) < 1e-9
+
+
 def test_quantiles_null_groups_and_order_stats(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 10.0), ("b", None)], "k string, v double")
     q = {(r["k"], r["prob"]): r["quantile"] for r in exact_quantiles(df, ["k"], "v", [0.5, 0.75]).collect()}
@@ -138,11 +158,12 @@ def test_no_python_udf_in_plans(spark):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
-def test_hot_key_is_split(spark, monkeypatch):
-    """A first-column value holding most rows goes through the range path and
-    still gives the exact index (ties broken by the second order column)."""
+def test_hot_key_is_split(spark):
+    """A first-column value holding a third of the rows, or equal rows, are spread
+    over buckets, and the index is exact (ties broken by the second order column)."""
     import kiln.plans.ordering as o
-    monkeypatch.setattr(o, "HOT_KEY_ROWS", 100)
+    same = o.assign_buckets(spark.range(0, 4000).select(F.lit(1).alias("a")), ["a"], num_buckets=8)
+    assert max(r["count"] for r in same.groupBy("__bk").count().collect()) < 1000
     df = spark.range(0, 4000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("a"),
                                      F.col("id").alias("b"))
     b = o.assign_buckets(df, ["a", "b"], num_buckets=8)
