@@ -2,33 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from kiln.operators import resample as rs
 from kiln.operators import series as ser
 from kiln.workloads import r, rounded, table
 from kiln.workloads.common import EVENTS_DIRTY_SQL, events_dirty
 
 
-def events_gap(spark, sf):
-    """events without 10-12 January (empty bins to densify), with NULLs."""
-    e = events_dirty(spark, sf).select("event_id", "ts", "user_id", "value", "value_n")
-    return e.filter(~((F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz"))
-                      & (F.col("ts") < F.lit("2024-01-13").cast("timestamp_ntz"))))
+def events_timed(spark, sf):
+    return events_dirty(spark, sf).select("event_id", "ts", "user_id", "value", "value_n")
 
 
-GAP_SQL = f"""{EVENTS_DIRTY_SQL},
-eg as (select event_id, ts, user_id, value, value_n from ev
-       where not (ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-13'))"""
+TIMED_SQL = f"""{EVENTS_DIRTY_SQL},
+eg as (select event_id, ts, user_id, value, value_n from ev)"""
 
 DAILY_AGGS = {"value": "sum", "user_id": "nunique", "event_id": "count", "value_n": "median"}
 WEEKLY_AGGS = {"value": "max", "value_n": "first", "user_id": "last", "event_id": "std"}
 
 
 QUERIES = {
-    "resample_hourly_mean": lambda s, d: rounded(rs.group_by_time(events_gap(s, d), "ts", "H")),
-    "resample_daily_aggs": lambda s, d: rounded(rs.group_by_time(events_gap(s, d), "ts", "D", DAILY_AGGS)),
-    "resample_weekly_aggs": lambda s, d: rounded(rs.group_by_time(events_gap(s, d), "ts", "W", WEEKLY_AGGS)),
+    "resample_hourly_mean": lambda s, d: rounded(rs.group_by_time(events_timed(s, d), "ts", "H")),
+    "resample_daily_aggs": lambda s, d: rounded(rs.group_by_time(events_timed(s, d), "ts", "D", DAILY_AGGS)),
+    "resample_weekly_aggs": lambda s, d: rounded(rs.group_by_time(events_timed(s, d), "ts", "W", WEEKLY_AGGS)),
     "resample_monthly_orders": lambda s, d: rounded(rs.group_by_time(
         table(s, d, "orders").select("o_orderdate", "o_totalprice", "o_orderkey"), "o_orderdate", "M",
         {"o_totalprice": "sum", "o_orderkey": "count"}), 2),
@@ -41,7 +35,7 @@ QUERIES = {
 
 
 def _dense(step, label_expr, aggs_sql, out_sql, src="eg"):
-    return f"""with {GAP_SQL},
+    return f"""with {TIMED_SQL},
 b as (select {label_expr} as bin, * from {src}),
 g as (select bin, {aggs_sql} from b group by bin),
 bins as (select unnest(generate_series(min(bin), max(bin), {step})) as bin from b)
