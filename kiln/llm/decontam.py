@@ -19,8 +19,8 @@ from kiln.llm.common import staged
 #: A fingerprint of 64 bits differs in about 9 bits at a Jaccard similarity of 0.8.
 RADIUS = 15
 BITS = 64
-#: Bits of the sieve for each item shingle, and its largest size (2 MiB); beyond
-#: it the sieve lets more through and the exact join does the rest.
+#: Bits of the sieve for each item shingle, and its largest size (2 MiB); a fuller
+#: sieve lets more through and the exact join does the rest.
 SIEVE_BITS, SIEVE_MAX = 32, 1 << 24
 #: Item shingles up to this count may be broadcast (24 bytes each); more are shuffled.
 BROADCAST_SHINGLES = 1_000_000
@@ -65,15 +65,16 @@ def _weighted_jaccard(a: str, b: str) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def _sieve(items: DataFrame) -> Column:
-    """Condition on a shingle hash: its bit is set in the bitmap of the item shingles."""
-    hashes = [r[0] for r in items.select(F.explode("__sh")).distinct().limit(SIEVE_MAX // SIEVE_BITS).collect()]
-    bits = 1 << max(10, (max(1, len(hashes)) * SIEVE_BITS - 1).bit_length())
+def _sieve(items: DataFrame, n_shingles: int) -> Column:
+    """Condition on a shingle hash: its bit is set in the bitmap of the item shingles.
+    Every item shingle sets its bit, so no shared shingle is ever held back."""
+    bits = 1 << max(10, (max(1, min(n_shingles * SIEVE_BITS, SIEVE_MAX)) - 1).bit_length())
+    at = F.col("h").bitwiseAND(F.lit(bits - 1).cast("long"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63).cast("long")).cast("int"))
     cells = [0] * (bits // 64)
-    for h in hashes:
-        at = h % bits
-        cells[at >> 6] |= 1 << (at & 63)
-    cells = [c - (1 << 64) if c >> 63 else c for c in cells]
+    for cell, value in (items.select(F.explode("__sh").alias("h")).groupBy(F.shiftright(at, 6).cast("int").alias("cell"))
+                        .agg(F.bit_or(one).alias("value")).collect()):  # at most SIEVE_MAX / 64 rows
+        cells[cell] = value
     bitmap = F.split(F.lit(",".join(map(str, cells))), ",").cast("array<bigint>")  # folded to a constant
     return lambda h: F.get(bitmap, F.shiftright(h.bitwiseAND(F.lit(bits - 1).cast("long")), 6).cast("int")).bitwiseAND(
         F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))) != 0
@@ -93,7 +94,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
                    .select("item_id", "__sh"), "items").filter("__sh is not null")
     n_shingles = items.agg(F.sum(F.size("__sh"))).first()[0] or 0
     small = F.broadcast if n_shingles <= BROADCAST_SHINGLES else (lambda d: d)
-    may = _sieve(items)
+    may = _sieve(items, n_shingles)
     marks = items.select(F.size("__sh").alias("m"), F.posexplode("__sh").alias("offset", "h")).distinct()
     base = _shingles(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t")), F.col("__t"), k)
     hits = F.filter(F.transform("__sh", lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: may(x["h"]))
