@@ -1,8 +1,10 @@
 """The operators do the whole job: no shingle, word, language or page part is cut off."""
 
 import random
+from collections import Counter
 
 import pandas as pd
+import pytest
 
 from kiln.llm import decontam
 from tests.llm.test_operators import docs, words
@@ -20,3 +22,37 @@ def test_decontamination_with_a_full_sieve(spark, monkeypatch):
     clean = [(100 + i, words(rng, 60, 5000)) for i in range(20)]
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs(spark, rows + clean), bench(spark, items)).collect()}
     assert got == {(i, i) for i in range(40)}
+
+
+def brute_pairs(rows, items, k=5, similarity=0.8):
+    """(doc, item) of every window, as long as the item, whose shingle bag is that similar."""
+    def bag(text):
+        w = text.lower().split()
+        return [tuple(w[i:i + k]) for i in range(len(w) - k + 1)]
+    out, bags = {}, [(i, Counter(bag(t)), len(bag(t))) for i, t in items]
+    for d, text in rows:
+        sh = bag(text)
+        for i, want, m in bags:
+            if not want.keys() & set(sh):
+                continue
+            for start in range(len(sh)):
+                have = Counter(sh[start:start + m])
+                sim = (have & want).total() / (have | want).total()
+                if sim >= similarity:
+                    out[d, i] = max(out.get((d, i), 0), sim)
+    return out
+
+
+def test_decontamination_near_the_threshold(spark):
+    rng = random.Random(7)
+    items = [(i, words(rng, (49, 54, 59, 64)[i % 4], 5000)) for i in range(400)]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        w[rng.randrange(10, len(w) - 10)] = "changed"
+        rows.append((1000 + i, words(rng, 10, 5000) + " " + " ".join(w) + " " + words(rng, 10, 5000)))
+    want = brute_pairs(rows, items)
+    assert len(want) == 400 and all(0.8 <= s <= 0.85 for s in want.values())
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(docs(spark, rows), bench(spark, items)).collect()}
+    print("found", len(got), "of", len(want))
+    assert got == pytest.approx(want)
