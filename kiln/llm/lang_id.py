@@ -2,9 +2,10 @@
 
 A text is scored word by word: a known word by its log frequency in every
 language; an unseen word by its longest character n-grams that the model knows,
-4 down to 1 letters.  The model (bounded tables) is counted by Spark from a
-bounded sample of labelled rows and broadcast; scoring streams whole texts
-through Arrow batches, without shuffle.
+4 down to 1 letters.  The model holds every word and n-gram of the training rows
+(a sample of each language) and every language; it is counted by Spark, kept as
+sparse arrays and broadcast.  Scoring streams whole texts through Arrow batches,
+without shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +25,10 @@ from kiln.llm.common import id_crc, shared
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 4
-#: Bounds of the model; documented parameters of ``train``.
-DOCS_PER_LANG = 2500
-MAX_LANGS = 500
-WORDS_KEPT = 25_000
-GRAMS_KEPT = 25_000
-#: Rows of the per-worker cache of unseen words.
-CACHE_ROWS = 200_000
+#: Training rows of a language; a documented parameter of ``train``.
+DOCS_PER_LANG = 4000
+#: Words of the per-worker cache of dense vectors, and its largest count of numbers.
+CACHE_ROWS, CACHE_NUMBERS = 200_000, 20_000_000
 UNKNOWN = "und"
 
 
@@ -53,30 +53,46 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"kind": kind, "lang": lang, "gram": list(table), "n": list(table.values())})
 
 
+class Table:
+    """Counts of words or n-grams as sparse rows of (language, count)."""
+
+    def __init__(self, grams, langs, counts, width: int):
+        """``grams``: Arrow column; ``langs``, ``counts``: arrays beside it."""
+        coded = grams.dictionary_encode()
+        self.rows = {g: i for i, g in enumerate(coded.dictionary.to_pylist())}
+        row = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(row, kind="stable")
+        self.starts = np.zeros(len(self.rows) + 1, np.int64)
+        np.cumsum(np.bincount(row, minlength=len(self.rows)), out=self.starts[1:])
+        self.langs = langs[order].astype(np.int32)
+        # log of the smoothed count over that of a count of 0
+        self.gain = np.log1p(2.0 * counts[order]).astype(np.float32)
+        total = np.bincount(langs, weights=counts, minlength=width)
+        self.base = np.log(0.5 / (total + 0.5 * max(1, len(self.rows)))).astype(np.float32)
+
+    def vectors(self, rows: list[int]) -> np.ndarray:
+        """One number per language for each row: how much less likely the language
+        makes it than the language that makes it the most likely."""
+        rows = np.asarray(rows, np.int64)
+        out = np.tile(self.base, (len(rows), 1))
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        at = np.repeat(np.arange(len(rows)), sizes)
+        flat = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.starts[rows][at]
+        out[at, self.langs[flat]] += self.gain[flat]
+        return out - out.max(axis=1, keepdims=True)
+
+
 class Model:
-    """Log-frequency tables; ``vectors[row]`` has one number per language."""
-
-    def __init__(self, langs, word_counts, gram_counts):
-        self.langs = langs
-        self.word_rows, self.word_vectors = self._table(word_counts)
-        self.gram_rows, self.gram_vectors = self._table(gram_counts)
-
-    def _table(self, counts):
-        rows = {g: i for i, g in enumerate(counts)}
-        m = np.zeros((len(rows), len(self.langs)))
-        for g, by_lang in counts.items():
-            for lang, n in by_lang.items():
-                m[rows[g], self.langs.index(lang)] = n
-        p = (m + 0.5) / (m.sum(axis=0) + 0.5 * max(1, len(rows)))
-        logp = np.log(p)
-        # what counts is how much likelier a language makes the word than the others
-        return rows, (logp - logp.max(axis=1, keepdims=True)).astype(np.float32) if len(rows) else logp
+    """Log-frequency tables of words and n-grams over ``langs``."""
+
+    def __init__(self, langs, words: Table | None = None, grams: Table | None = None):
+        self.langs, self.words, self.grams = langs, words, grams
 
     def backoff(self, unseen: list[str]) -> np.ndarray:
         """One vector a word: the mean over its longest n-grams that the model knows,
         zeros if it knows none."""
         out = np.zeros((len(unseen), len(self.langs)), np.float32)
-        get, flat, starts, at = self.gram_rows.get, [], [], []
+        get, flat, starts, at = self.grams.rows.get, [], [], []
         for k, word in enumerate(unseen):
             for n in range(MAX_GRAM, 0, -1):
                 rows = [r for r in map(get, grams(word, n)) if r is not None]
@@ -87,37 +103,43 @@ class Model:
                     break
         if at:
             sizes = np.diff(starts + [len(flat)])[:, None]
-            out[at] = np.add.reduceat(self.gram_vectors[flat], starts, axis=0) / sizes
+            out[at] = np.add.reduceat(self.grams.vectors(flat), starts, axis=0) / sizes
         return out
 
 
 class Scorer:
-    """Scores texts; unseen words are cached up to CACHE_ROWS."""
+    """Scores texts; the vectors of words are cached up to CACHE_ROWS."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.most = min(CACHE_ROWS, CACHE_NUMBERS // max(1, len(model.langs)))
         self.reset()
 
     def reset(self):
-        self.rows = dict(self.model.word_rows)
-        self.known = len(self.rows)
-        width = len(self.model.langs)
-        self.vectors = np.concatenate([self.model.word_vectors.reshape(self.known, width),
-                                       np.zeros((4096, width), np.float32)])
-
-    def learn(self, unseen: list[str]):
-        """Gives every unseen word a row; all of a text at once."""
-        lo, hi = len(self.rows), len(self.rows) + len(unseen)
-        self.rows.update(zip(unseen, range(lo, hi)))
+        self.rows = {}
+        self.vectors = np.zeros((4096, len(self.model.langs)), np.float32)
+
+    def learn(self, new: list[str]):
+        """Gives every new word a row, of the word if the model knows it or else of
+        its n-grams; all of a text at once."""
+        lo, hi = len(self.rows), len(self.rows) + len(new)
+        self.rows.update(zip(new, range(lo, hi)))
         while hi > len(self.vectors):
             self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-        self.vectors[lo:hi] = self.model.backoff(unseen)
+        found = list(map(self.model.words.rows.get, new))
+        known = [k for k, r in enumerate(found) if r is not None]
+        unseen = [k for k, r in enumerate(found) if r is None]
+        out = self.vectors[lo:hi]
+        if known:
+            out[known] = self.model.words.vectors([found[k] for k in known])
+        if unseen:
+            out[unseen] = self.model.backoff([new[k] for k in unseen])
 
     def score(self, text):
         found = LETTERS.findall(text.lower()) if text else []
         if not found or not self.model.langs:
             return UNKNOWN, 0.0
-        if len(self.rows) - self.known > CACHE_ROWS:
+        if len(self.rows) > self.most:
             self.reset()
         ids = list(map(self.rows.get, found))
         if None in ids:
@@ -129,30 +151,34 @@ class Scorer:
         return self.model.langs[best], float(e[best] / e.sum())
 
 
-def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_kept: int = WORDS_KEPT,
-          grams_kept: int = GRAMS_KEPT) -> Model:
-    """Model from rows (text, lang); rows with null text or lang are left out.
+def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
+    """Model from rows (doc_id, text, lang); rows with null text or lang are left out.
 
     About ``docs_per_lang`` rows of each language are read, chosen by a hash of
-    the text; ``words_kept`` and ``grams_kept`` bound the tables, ``MAX_LANGS``
-    the languages (the most frequent ones).  No rows: a model that answers
-    ``und`` for everything.
+    the id (of the text where it is null); every word and n-gram of them and every
+    language is kept.  No rows: a model that answers ``und`` for everything.
     """
-    rows = labelled.select("text", "lang").filter("text is not null and lang is not null")
-    per_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not per_lang:
-        return Model([], {}, {})
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_per_lang / r["count"])))
-                         for r in per_lang])
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    rows = labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
+    per_lang = rows.groupBy("lang").count()
+    langs = sorted(r["lang"] for r in per_lang.select("lang").collect())
+    if not langs:
+        return Model([])
+    share = F.least(F.lit(1.0), F.lit(float(docs_per_lang)) / F.col("count"))
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(1 << 20))
+    sample = (rows.join(F.broadcast(per_lang.select("lang", share.alias("share"))), "lang")
+              .filter(place < F.col("share") * (1 << 20)).select("lang", "text"))
     counts = (sample.mapInPandas(_counts, "kind string, lang string, gram string, n long")
-              .groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-              .groupBy("kind", "gram").agg(F.sum("n").alias("total"),
-                                           F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")))
-    tables = [{r["gram"]: r["by"] for r in counts.filter(F.col("kind") == kind)
-               .orderBy(F.desc("total"), "gram").limit(kept).collect()}
-              for kind, kept in (("w", words_kept), ("g", grams_kept))]
-    return Model(sorted(r["lang"] for r in per_lang), *tables)
+              .groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))).toArrow()
+    number = {x: i for i, x in enumerate(langs)}
+    tables = []
+    for kind in "wg":
+        part = counts.filter(pc.equal(counts["kind"], kind)).combine_chunks()
+        coded = pa.chunked_array(part["lang"]).combine_chunks().dictionary_encode()
+        names = np.array([number[x] for x in coded.dictionary.to_pylist()], np.int64)
+        tables.append(Table(pa.chunked_array(part["gram"]).combine_chunks(),
+                            names[coded.indices.to_numpy(zero_copy_only=False)],
+                            part["n"].to_numpy(), len(langs)))
+    return Model(langs, *tables)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 import pandas as pd
 import pytest
 
-from kiln.llm import decontam
+from kiln.llm import decontam, lang_id
 from tests.llm.test_operators import docs, words
 
 
@@ -56,3 +56,20 @@ def test_decontamination_near_the_threshold(spark):
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(docs(spark, rows), bench(spark, items)).collect()}
     print("found", len(got), "of", len(want))
     assert got == pytest.approx(want)
+
+
+def test_language_model_keeps_every_word_and_language(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = ["".join(rng.choices(letters, k=6)) for _ in range(30_000)]  # more than 25,000 words, each three times
+    rows = [(i, " ".join(many[k:k + 1000] * 3), "large") for i, k in enumerate(range(0, 30_000, 1000))]
+    rows += [(100, "zqxa zqxb", "small"), (101, None, "small"), (None, "zqxc", "small"), (102, "text", None)]
+    rows += [(1000 + i, f"word{letters[i % 26]}{letters[i // 26]}", f"lang{i:03d}") for i in range(510)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(df)
+    want = {w for _, t, x in rows if t and x for w in t.split()}
+    want_grams = {g for w in want for n in range(1, 5) for g in lang_id.grams(w, n)}
+    assert set(model.words.rows) == want and set(model.grams.rows) == want_grams and len(model.langs) == 512
+    got = lang_id.predict(docs(spark, [(1, "zqxa"), (2, "zqxc")]), model).filter(F.col("lang_pred") == "small")
+    assert got.count() == 2
