@@ -24,12 +24,18 @@ from pyspark.sql import functions as F
 from kiln.llm.common import shared
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr img picture source".split())
+                   "small span strike strong sub sup time tt u var wbr img picture source "
+                   # formulas and drawings
+                   "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd "
+                   "mspace mpadded mphantom menclose mstyle merror mmultiscripts semantics annotation svg g path circle "
+                   "ellipse rect line polyline polygon text tspan textpath defs use symbol lineargradient radialgradient "
+                   "stop clippath mask pattern marker filter desc".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: What these hold is never text of a page.
-RAW = "script|style|textarea|title|noscript|iframe|template|svg|select|button|object|canvas|math"
+#: What these hold, up to their end tag, is never text of a page; all others are ordinary elements.
+RAW = "script|style|textarea|title|iframe"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|"
+    rf"<!--.*?(?:-->|\Z)|<(?:title|style)(?:\s[^>]*)?/>|"
+    rf"<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|"
     r"<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-z]+")
@@ -86,7 +92,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, bool]]:
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if m["raw"] and m["raw"].lower() not in ("title", "button", "select"):
+            if m["raw"] and m["raw"].lower() != "title":
                 continue
             if m["raw"]:
                 flush()

@@ -6,7 +6,7 @@ from collections import Counter
 import pandas as pd
 import pytest
 
-from kiln.llm import decontam, lang_id
+from kiln.llm import decontam, html_extract, lang_id
 from tests.llm.test_operators import docs, words
 
 
@@ -73,3 +73,15 @@ def test_language_model_keeps_every_word_and_language(spark):
     assert set(model.words.rows) == want and set(model.grams.rows) == want_grams and len(model.langs) == 512
     got = lang_id.predict(docs(spark, [(1, "zqxa"), (2, "zqxc")]), model).filter(F.col("lang_pred") == "small")
     assert got.count() == 2
+
+
+def test_html_keeps_what_follows_and_fills_an_element():
+    def found(page):
+        return [t for _, t, _ in html_extract.blocks(page)]
+    assert found("<article><p>one <svg class=i/> two</p><p>three</p></article>") == ["one two", "three"]
+    assert found("<article><p>one</p><button>two<p>three</p></article>") == ["one", "two", "three"]
+    assert found("<button-bar>one</button-bar><title-box>two</title-box><p>three") == ["one", "two", "three"]
+    assert found("<p>so <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds</p>") == ["so a=1 holds"]
+    assert found("<noscript><p>one</p></noscript><object data=x>two</object><p>three") == ["one", "two", "three"]
+    assert found("<p>one <svg><title/><path d='M0'/></svg> two") == ["one two"]
+    assert found("<title>t</title><p>one<script>x = '<p>'</script> two<textarea>x</textarea><iframe>y</iframe>") == ["one two"]
