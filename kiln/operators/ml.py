@@ -31,7 +31,7 @@ from kiln.plans.ordering import ordered_index
 
 REGRESSION = "regression"
 CLASSIFICATION = "classification"
-TREE_DEPTH = 12
+TREE_DEPTH = 30
 FOREST_TREES = 100
 BOOSTED_ROUNDS = 100
 ROWS_PER_PARTITION = 50_000
