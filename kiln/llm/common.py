@@ -36,15 +36,22 @@ def id_crc(c: Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write an intermediate as a table in the shared folder of the cluster
     (``spark.checkpoint.dir``) and read it back: the lineage is cut and lost
     executors cost nothing that has been written."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstaged(df: DataFrame) -> None:
+    """Delete a table that ``staged`` wrote and that nothing reads any more."""
+    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared(spark: SparkSession, model):
     """Broadcast a model of bounded size; the result, called in a task, gives it.
     It travels by value, so that workers need not import this package."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import staged
+from kiln.llm.common import staged, unstaged
 
 
 def _min_neighbour(e: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = _min_neighbour(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(
             low.select("u", F.col("m").alias("v"))).distinct()
-        e = staged(small, "edges")
+        old, e = e, staged(small, "edges")
+        unstaged(old)
         after = mark(e)
         if after == before:
             break
