@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kiln.llm.common import staged, unstaged
 from kiln.llm.shingles import classes, described, named_components, nodes, set_rows
-from kiln.llm.stars import linked_components
+from kiln.llm.stars import in_cells, linked_components
 
 #: Registers and their bands: at a similarity of 0.8 a pair shares no band in about 1 of 8 million cases.
 REGISTERS, BAND = 200, 5
@@ -141,15 +141,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     unstaged(rows)
     keys = staged(known.select("node", "n", "registers").mapInPandas(_band_rows, "key long, node long, n long"), "keys")
 
+    def sets_of(wanted: DataFrame, made: list[DataFrame]) -> DataFrame:
+        sets = set_rows(base, wanted.distinct().join(known.select("node", "sig"), "node"), n, repeats)
+        made.append(sets)
+        return sets
+
     def links(pairs: DataFrame, made: list[DataFrame]) -> DataFrame:
         close = staged(_possible(pairs, known, percent), "close")
-        wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
-            known.select("node", "sig"), "node")
-        sets = set_rows(base, wanted, n, repeats)
-        made += [close, sets]
-        return _over(close, sets, percent)
+        made.append(close)
+        return _over(close, sets_of(close.select(F.explode(F.array("a", "b")).alias("node")), made), percent)
+
+    def cell_links(cells: DataFrame, made: list[DataFrame]) -> DataFrame:
+        return in_cells(cells.join(sets_of(cells.select("node"), made), "node"),
+                        lambda members, probes: linked_by_postings(members, probes, percent))
 
-    out = named_components(members, linked_components(keys, percent, links))
+    found = linked_components(keys, percent, links, cell_links)
+    out = staged(named_components(members, found), "named")
+    for t in (members, known, keys, found):
+        unstaged(t)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
@@ -184,6 +193,28 @@ def _over(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _ends(pairs, sets, ["s"]).mapInPandas(run, "a long, b long")
 
 
+def linked_by_postings(members, probes, percent: int) -> list[tuple[int, int]]:
+    """Links of each probe to the members (node, component, set bytes) over the threshold,
+    one a component other than its own: full intersections from posting lists."""
+    sets = [np.frombuffer(s, np.int64) for _, _, s in members]
+    sizes = np.array([len(s) for s in sets])
+    node, component = (np.array([m[k] for m in members], np.int64) for k in (0, 1))
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(code, kind="stable")]
+    begin = np.append(0, np.cumsum(np.bincount(code, minlength=len(values))))
+    out = []
+    for x, c, s in probes:
+        s = np.frombuffer(s, np.int64)
+        at = np.searchsorted(values, s)
+        at = at[values[np.minimum(at, len(values) - 1)] == s]
+        lists = [holder[i:j] for i, j in zip(begin[at].tolist(), begin[at + 1].tolist())]
+        both = np.bincount(np.concatenate(lists), minlength=len(sets)) if lists else np.zeros(len(sets), np.int64)
+        hit = np.flatnonzero((100 * both >= percent * (len(s) + sizes - both)) & (component != c))
+        if len(hit):
+            out += [(x, y) for y in node[hit[np.unique(component[hit], return_index=True)[1]]].tolist()]
+    return out
+
+
 def op13_minhash_near_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, n=2, percent=80)

@@ -1,37 +1,108 @@
 """Linked classes from shared keys, without forming the pairs of a group.
 
 Documents that link share a key.  First every member of a key's group is compared
-with the group's smallest member only; what links there falls into components.
-Then, in the groups that still hold several components, the members outside the
-largest one are compared with the members of other components.  Each pair that
-shares a key is thus either compared or known to be in one component, and a group
-of k near copies costs k comparisons.
+with the group's smallest member only, one row a comparison; what links there falls
+into components, and most groups are done.  The groups that still hold several
+components, joined by common members to pools, are dealt by set size into blocks of bounded
+size; in a task that holds one block, the members outside a group's largest
+component are compared with all members of the block, and only links leave it.
+Each pair that shares a key is thus either compared or known to be in one component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm.common import staged, unstaged
 from kiln.llm.components import components
 
+#: Set elements of the members, and of the compared ones, that one block holds.
+BLOCK = 1_000_000
+
 
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     """Whether sets of these sizes can reach the threshold."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def linked_components(keys: DataFrame, percent: int,
-                      links: Callable[[DataFrame, list[DataFrame]], DataFrame]) -> DataFrame:
-    """(node, component) of the linked nodes, written.  ``keys`` is a written table
-    (key, node, n) with the set size of each node; ``links(pairs, made)`` keeps of
-    pairs (a, b) those that link, and lists the tables that it wrote in ``made``."""
-    def linked(pairs):
+def _mixed(grouped: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (key, node, n, hub, c, outside) of the groups that hold several
+    components: the member's component, and whether it is not the group's largest."""
+    member = grouped.join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select(
+        "key", "node", "n", "hub", F.coalesce("component", "node").alias("c"))
+    parts = member.groupBy("key", "c").agg(F.count("*").alias("k"))
+    top = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).filter(
+        "parts > 1").drop("parts")
+    return member.join(top, "key").withColumn("outside", F.col("c") != F.col("top")).drop("top")
+
+
+def _cells(mixed: DataFrame, percent: int, block: int, made: list[DataFrame]) -> DataFrame:
+    """(pool, band, x, y, node, c, probe): the members of pools by band of set sizes, and
+    those to be compared in their own band and the two beside it, as linked sets are
+    never further apart; members in blocks x, compared ones in blocks y, every one
+    with every other of the same pool and band."""
+    pool = staged(components(mixed.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "pools")
+    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    rows = staged(mixed.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max("outside").alias("outside"))
+                  .join(pool.withColumnRenamed("component", "pool"), "node")
+                  .withColumn("band", F.floor(F.log("n") / width)), "pooled")
+    made += [pool, rows]
+    near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
+    sent = rows.filter("outside").withColumn("band", F.explode(near))
+    blocks = lambda df, name: df.groupBy("pool", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias(name))
+    size = blocks(rows, "xs").join(blocks(sent, "ys"), ["pool", "band"])
+    number = F.xxhash64("node")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.join(size, ["pool", "band"]).select(
+        "pool", "band", F.pmod(number, F.col("xs")).cast("int").alias("x"), every("ys").alias("y"), "node", "c",
+        F.lit(False).alias("probe"))
+    probes = sent.join(size, ["pool", "band"]).select(
+        "pool", "band", every("xs").alias("x"), F.pmod(number, F.col("ys")).cast("int").alias("y"), "node", "c",
+        F.lit(True).alias("probe"))
+    return members.unionByName(probes)
+
+
+CELL = ["pool", "band", "x", "y"]
+
+
+def in_cells(rows: DataFrame, compare: Callable[[list, list], list[tuple[int, int]]]) -> DataFrame:
+    """Links (a, b) that ``compare(members, probes)`` finds in each cell of ``rows`` (pool, band,
+    x, y, node, c, probe, s): both are lists of (node, component, set bytes)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, members, probes = None, [], []
+
+        def links():
+            return pd.DataFrame(compare(members, probes), columns=["a", "b"])
+
+        for b in batches:
+            for *cell, node, c, probe, s in zip(*(b[k] for k in (*CELL, "node", "c", "probe", "s"))):
+                if cell != key:
+                    if members and probes:
+                        yield links()
+                    key, members, probes = cell, [], []
+                (probes if probe else members).append((node, c, s))
+        if members and probes:
+            yield links()
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(run, "a long, b long")
+
+
+def linked_components(keys: DataFrame, percent: int, links: Callable[[DataFrame, list[DataFrame]], DataFrame],
+                      cell_links: Callable[[DataFrame, list[DataFrame]], DataFrame], block: int = BLOCK) -> DataFrame:
+    """(node, component) of the linked nodes, written.
+
+    ``keys`` is a written table (key, node, n) with the set size of each node.
+    ``links(pairs, made)`` keeps of pairs (a, b) those that link, ``cell_links(cells,
+    made)`` gives the links of cells (pool, band, x, y, node, c, probe); both list the tables
+    that they wrote in ``made``.
+    """
+    def written(step, rows):
         made = []
-        out = staged(links(pairs, made), "links")
+        out = staged(step(rows, made), "links")
         for t in made:
             unstaged(t)
         return out
@@ -42,33 +113,14 @@ def linked_components(keys: DataFrame, percent: int,
     pairs = staged(grouped.filter("node <> hub").join(sizes, "key").filter(
         sizes_fit(F.col("n"), F.col("hub_n"), percent)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
         .distinct(), "pairs")
-    first = linked(pairs)
+    first = written(links, pairs)
     found = staged(components(first), "components")
-
-    member = grouped.join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select(
-        "key", "node", "n", F.coalesce("component", "node").alias("c"))
-    parts = member.groupBy("key", "c").agg(F.count("*").alias("k"))
-    top = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).filter(
-        "parts > 1").drop("parts")
-    mixed = staged(member.join(top, "key"), "mixed")
-    x, y = mixed.filter("c <> top").alias("x"), mixed.alias("y")
-    fit = sizes_fit(F.col("x.n"), F.col("y.n"), percent)
-    # a pair outside the largest component is met once, from its larger node
-    once = (F.col("y.c") == F.col("y.top")) | (F.col("x.node") > F.col("y.node"))
-    crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & fit & once).select(
-        F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    rest = staged(crossed.join(pairs, ["a", "b"], "left_anti"), "rest")
-    second = linked(rest)
-    # the components found first are nodes of the second graph
-    ends = second
-    for side in "ab":
-        ends = ends.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-    wider = staged(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "wider")
-    alone = second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select(
-        "node", F.col("node").alias("component"))
-    out = staged(found.unionByName(alone).join(
-        wider.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left").select(
-        "node", F.coalesce("wider", "component").alias("component")), "components")
-    for t in (grouped, pairs, first, mixed, rest, second, found, wider):
+    made = []
+    mixed = staged(_mixed(grouped, found), "mixed")
+    unstaged(grouped)
+    cells = staged(_cells(mixed, percent, block, made), "cells")
+    second = written(cell_links, cells)
+    out = staged(components(first.unionByName(second)), "components")
+    for t in (pairs, first, found, mixed, cells, second, *made):
         unstaged(t)
     return out
