@@ -5,320 +5,84 @@
    sets in any global order.  The order puts the shingles whose hash falls in a
    fixed residue class first, rare ones before frequent ones; a shingle that only
    one representative holds joins nothing, so a document with enough of them is
-   done.  Documents that share a shingle among their first ones form pools.
-3. Each pool meets once, with its whole sets, in blocks of bounded size: the sets,
-   in one order, are stored in a prefix tree; every set is traversed against it,
-   sharing partial overlaps along common paths and leaving a subtree as soon as
-   the remaining lengths cannot reach the threshold.  Subtrees already in the
-   document's own component are skipped, so a block yields a spanning set of
-   links, never all pairs.
-4. Pools of several blocks: documents outside the largest component of their pool
-   are taken through all other blocks of the pool as well.
+   done.  The shared first shingles are the keys by which documents meet.
+3. What meets is compared in prefix trees (``stars`` says what with what): the sets,
+   all sorted by the same global order of the hashes, are stored in a tree; a set is
+   traversed against it, sharing partial overlaps along common paths and leaving a
+   subtree as soon as the remaining lengths cannot reach the threshold.  Subtrees
+   already in the set's own component are skipped, and of a set's links one for each
+   other component leaves the tree, never all pairs.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import staged
-from kiln.llm.components import components
-
-#: Shingles of the sets that one block holds.
-BLOCK_SHINGLES = 1_500_000
-WORDS_CACHED = 300_000
-SALTS = 8
-
-
-class WordHashes(dict):
-    """64-bit hash of a word (bytes), cached."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-class Shingler:
-    """Distinct 64-bit hashes of the word n-grams of a text, sorted."""
-
-    def __init__(self, n: int):
-        self.n = n
-        self.hashes = WordHashes()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        # as bytes, lower() and split() know A-Z and the six ASCII white space characters only
-        found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not found:
-            return np.empty(0, np.int64)
-        if len(self.hashes) > WORDS_CACHED:
-            self.hashes.clear()
-        h = np.fromiter(map(self.hashes.__getitem__, found), np.uint64, len(found))
-        n = min(self.n, len(h))
-        out = np.zeros(len(h) - n + 1, np.uint64)
-        for k in range(n):  # position matters: the running value is mixed before each next word
-            out = (out ^ h[k:len(h) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        if n < self.n:
-            out ^= np.uint64(n)
-        return np.unique(out.view(np.int64))
-
+from kiln.llm.common import staged, unstaged
+from kiln.llm.prefix_tree import PrefixTree
+from kiln.llm.shingles import classes, described, named_components, nodes, prefix_length, set_rows
+from kiln.llm.stars import BLOCK, in_cells, linked_components
 
-def _prefix(n: int, percent: int) -> int:
-    """How many first elements of a set of n must be looked at: n - ceil(t n) + 1."""
-    return n - (n * percent + 99) // 100 + 1
+#: Members of one tree that meet the same smallest member.
+STAR = 500
 
 
-def _digest(shingles: np.ndarray) -> bytes:
-    import xxhash
-    return xxhash.xxh128_digest(shingles.tobytes())
+# -- step 2: keys -----------------------------------------------------------------------------
 
-
-# -- one pass over the texts: the digest of each set and its first elements -------------------
-
-def first_shingles(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, sig, early, late): ``sig`` is a 128-bit digest of the set,
-    ``early`` its shingles of the first class of the global order (a residue class
-    of the hash, about 1.7 times what a prefix needs), ``late`` the following ones
-    that a document with too few of them needs."""
+def first_shingles(percent: int):
+    """For ``described``: ``early``, the shingles of a set of the first class of the global
+    order (a residue class of the hash, about 1.7 times what a prefix needs), and
+    ``late``, the following ones that a set with too few of them needs."""
     residue = max(1, 60 // max(1, 100 - percent))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler(n)
-        for b in batches:
-            for lo in range(0, len(b), 1000):
-                part = b.iloc[lo:lo + 1000]
-                out = []
-                for t in part["text"]:
-                    s = shingle(t)
-                    first = s % residue == 0
-                    early = s[first]
-                    missing = _prefix(len(s), percent) - len(early) if len(s) else 0
-                    out.append((len(s), _digest(s), early, s[~first][:missing] if missing > 0 else s[:0]))
-                p = pd.DataFrame(out, columns=["n_shingles", "sig", "early", "late"])
-                p.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield p
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_shingles long, sig binary, early array<long>, late array<long>")
-
+    def describe(sets: list[np.ndarray]):
+        early, late = [], []
+        for s in sets:
+            first = s % residue == 0
+            early.append(s[first])
+            missing = prefix_length(len(s), percent) - len(early[-1]) if len(s) else 0
+            late.append(s[~first][:max(0, missing)])
+        return [early, late]
+    return describe
 
-# -- step 2: pools ----------------------------------------------------------------------------
 
-def pools(own: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n, pool) of the documents that share a first shingle with another,
-    from ``first_shingles`` of one document a class."""
+def prefix_keys(known: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n): the shared shingles in the prefix of each node, from (node, n,
+    early, late)."""
     def marked(column, late):
-        return F.transform(column, lambda t: F.struct(t.alias("token"), F.lit(late).alias("late"),
-                                                      F.col("n_shingles").alias("n")))
+        return F.transform(column, lambda t: F.struct(t.alias("key"), F.lit(late).alias("late")))
 
-    # n inside the array: the count and the join below then read one and the same exchange
-    rows = (own.select("doc_id", F.size("early").alias("front"),
-                       F.explode_outer(F.concat(marked("early", False), marked("late", True))).alias("x"))
-            .select("doc_id", "x.n", "front", "x.token", "x.late").filter("token is not null"))
-    df = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = rows.join(df, "token")
-    by_doc = shared.groupBy("doc_id", "n", "front").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("late"), F.when(F.col("late"), F.lit(0)).otherwise(F.col("df")).alias("df"), F.col("token")))).alias("ts"))
+    rows = known.select("node", F.explode(F.concat(marked("early", False), marked("late", True))).alias("x")).select(
+        "x.key", "node", "x.late")
+    df = rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    by_node = rows.join(df, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("late"), F.when(F.col("late"), F.lit(0)).otherwise(F.col("df")).alias("df"), F.col("key")))).alias("ts"))
     # the shingles that nobody shares are the rarest: they come first and use up the prefix
     alone = F.col("front") - F.size(F.filter("ts", lambda x: ~x["late"]))
-    left = (F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1 - alone).cast("int")
-    keys = staged(by_doc.select("doc_id", "n", F.explode(F.slice("ts", F.lit(1), F.greatest(left, F.lit(0)))).alias("x"))
-                  .select("doc_id", "n", F.col("x.token").alias("token")), "keys")
-    hub = keys.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("k")).filter("k > 1")
-    edges = keys.join(hub, "token").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    found = components(edges)
-    return found.join(keys.groupBy(F.col("doc_id").alias("node")).agg(F.first("n").alias("n")), "node").select(
-        F.col("node").alias("doc_id"), "n", F.col("component").alias("pool"))
+    left = (F.expr(f"n - (n * {percent} + 99) div 100 + 1") - alone).cast("int")
+    return by_node.join(known.select("node", "n", F.size("early").alias("front")), "node").select(
+        "node", "n", F.explode(F.slice("ts", F.lit(1), F.greatest(left, F.lit(0)))).alias("x")).select("x.key", "node", "n")
 
 
 # -- step 3: the prefix tree ------------------------------------------------------------------
 
-class Node:
-    __slots__ = ("run", "kids", "ends", "low", "high", "one")
-
-    def __init__(self, run):
-        self.run = run        # the shingles of this edge
-        self.kids = {}        # first shingle -> Node
-        self.ends = []        # documents whose set ends here
-        self.low = self.high = 0  # smallest and largest set below
-        self.one = None       # a document, if all below are known to be in its component
-
-
-class Tree:
-    """Sets as sorted lists of ranks; finds links and joins them as it goes."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.root = Node([])
-        self.root.low, self.root.high = 1 << 60, 0
-        self.parent: dict[int, int] = {}
-
-    def find(self, d):
-        p = self.parent
-        while p[d] != d:
-            p[d] = p[p[d]]
-            d = p[d]
-        return d
-
-    def linked(self, both, a, b):
-        return 100 * both >= self.percent * (a + b - both)
-
-    def probe(self, doc, xs) -> list[tuple[int, int]]:
-        """Join ``doc`` (its set sorted in ``xs``) to every component that a stored
-        set over the threshold belongs to; the links found, one a component."""
-        mine, size, out = frozenset(xs), len(xs), []
-        stack = [(self.root, 0, 0)] if self.root.kids else []
-        post = []
-        while stack:
-            node, depth, both = stack.pop()
-            if node.one is not None and self.find(node.one) == self.find(doc):
-                continue
-            nearest = min(max(size, node.low), node.high)
-            if not self.linked(min(size, nearest), size, nearest):
-                continue
-            run = node.run
-            both += len(mine.intersection(run))
-            depth += len(run)
-            passed = bisect_right(xs, run[-1]) if run else 0
-            # what x has passed without meeting it, and what the path has beside x, never comes back
-            most = both + min(size - passed, node.high - depth)
-            if not self.linked(most, size, max(depth - both + most, node.low)):
-                continue
-            for d in node.ends:
-                if self.linked(both, size, depth) and self.find(d) != self.find(doc):
-                    self.parent[self.find(d)] = self.find(doc)
-                    out.append((doc, d))
-            kids = sorted(node.kids.values(), key=lambda k: k.run[0] in mine)
-            stack.extend((k, depth, both) for k in kids)
-            post.append(node)
-        for node in reversed(post):  # leaves first: learn which subtrees are one component now
-            ones = node.ends[:1] + [k.one for k in node.kids.values()]
-            if ones and None not in ones and len({self.find(d) for d in ones + node.ends}) == 1:
-                node.one = ones[0]
-        return out
-
-    def add(self, doc, xs):
-        node, at, size = self.root, 0, len(xs)
-        while True:
-            node.low, node.high = min(node.low, size), max(node.high, size)
-            if node.one is not None and self.find(node.one) != self.find(doc):
-                node.one = None
-            if at == size:
-                node.ends.append(doc)
-                return
-            kid = node.kids.get(xs[at])
-            if kid is None:
-                kid = Node(xs[at:])
-                kid.low = kid.high = size
-                kid.ends, kid.one = [doc], doc
-                node.kids[xs[at]] = kid
-                return
-            run, k = kid.run, 1
-            while k < len(run) and at + k < size and run[k] == xs[at + k]:
-                k += 1
-            if k < len(run):
-                upper = Node(run[:k])
-                upper.low, upper.high, upper.one = kid.low, kid.high, kid.one
-                upper.kids[run[k]] = kid
-                kid.run = run[k:]
-                node.kids[xs[at]] = upper
-                kid = upper
-            node, at = kid, at + k
-
-
-def ranked(sets: list[np.ndarray]) -> list[list[int]]:
-    """The sets as sorted ranks in one order: shingles of many sets first, so that
-    near-equal sets share long paths."""
-    values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int64)
-    rank[np.lexsort((values, -count))] = np.arange(len(values))
-    cuts = np.cumsum([len(s) for s in sets])[:-1]
-    return [np.sort(r).tolist() for r in np.split(rank[inverse], cuts)]
-
-
-def tree_links(ids, sets, percent: int, probes=None, parent=None) -> list[tuple[int, int]]:
-    """Links that connect the linked documents of one block: of all among each
-    other, or, with ``probes``, of the probing ones to the others (``parent``
-    gives the component that each is known to be in)."""
-    order = ranked(sets)
-    tree = Tree(percent)
-    tree.parent = {d: d for d in ids}
-    if probes is not None:
-        for d, p in zip(ids, parent):
-            tree.parent.setdefault(p, p)
-            tree.parent[d] = p
-    out = []
-    for k in sorted(range(len(ids)), key=lambda k: ((probes[k] if probes is not None else False), len(sets[k]), ids[k])):
-        if probes is None or probes[k]:
-            out += tree.probe(ids[k], order[k])
-        if probes is None or not probes[k]:
-            tree.add(ids[k], order[k])
-    return out
-
-
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Consecutive rows of equal keys, across batches."""
-    held, key = [], None
-    for b in batches:
-        if not len(b):
-            continue
-        for k, g in b.groupby(keys, sort=False):
-            if k != key and held:
-                yield key, pd.concat(held)
-                held = []
-            key = k
-            held.append(g)
-    if held:
-        yield key, pd.concat(held)
-
-
-def _with_sets(docs: DataFrame, placed: DataFrame, n: int) -> DataFrame:
-    """(doc_id, pool, block, s): the placed documents with their shingles, made again
-    from the texts with the digest of the class."""
-    def run(batches):
-        shingle = Shingler(n)
-        for b in batches:
-            sets = [shingle(t) for t in b["text"]]
-            own = [_digest(s) == sig for s, sig in zip(sets, b["sig"])]
-            yield b.assign(s=[s.tobytes() for s in sets])[own].drop(columns=["text", "sig"])
-    return docs.join(placed.select("doc_id", "sig", "pool", "block").hint("shuffle_hash"), "doc_id").select(
-        "doc_id", "pool", "block", "text", "sig").mapInPandas(run, "doc_id long, pool long, block int, s binary")
-
-
-def _links(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
-    def run(batches):
-        for _, g in _groups(batches, ["pool", "block"]):
-            g = g.drop_duplicates(["doc_id", "probe"] if cross else ["doc_id"])  # repeated rows of a document
-            ids = g["doc_id"].tolist()
-            sets = [np.frombuffer(s, np.int64) for s in g["s"]]
-            links = tree_links(ids, sets, percent, g["probe"].tolist(), g["known"].tolist()) if cross \
-                else tree_links(ids, sets, percent)
-            if links:
-                yield pd.DataFrame(links, columns=["a", "b"])
-    return rows.repartition("pool", "block").sortWithinPartitions("pool", "block").mapInPandas(run, "a long, b long")
+def tree_links(members, probes, percent: int) -> list[tuple[int, int]]:
+    """Links of each probe to the members (node, component, set bytes) over the threshold,
+    one a component other than its own."""
+    sets = lambda rows: [np.frombuffer(s, np.int64) for _, _, s in rows]
+    tree = PrefixTree(sets(members), [c for _, c, _ in members])
+    out = {}
+    for x, y in tree.links(sets(probes), [c for _, c, _ in probes], percent):
+        out[probes[x][0], members[y][1]] = members[y][0]
+    return [(node, other) for (node, _), other in out.items()]
 
 
 # -- the operator -----------------------------------------------------------------------------
 
-def representatives(firsts: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, sig, rep) of every id: rep is the smallest id with the
-    same set; documents without shingles stand for themselves.  The members of a
-    class meet its representative in SALTS ways."""
-    one = firsts.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "sig")).alias("x")).select(
-        "doc_id", "x.*", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    first = one.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return one.join(first, ["sig", "salt"], "left").select(
-        "doc_id", "n_shingles", "sig", F.coalesce("rep", "doc_id").alias("rep"))
-
-
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
-                       text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+                       text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
     Words are runs without white space, A-Z lower-cased; a set is the distinct
@@ -326,52 +90,42 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     link when 100 * intersection >= percent * union; a component is named by its
     smallest id.  Null, empty or blank text: no shingles, linked with nothing.
     Rows that share an id are one document (of different texts the one with the
-    most shingles, ties by digest) and give one row.  Rows without id are left out,
-    as a link needs an id.
+    most shingles, ties by digest) and give one row.  A row without id gives a row
+    and links by its set; its component is named by the smallest id in it, or null
+    if none has an id.  No rows: no rows.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(
-        "doc_id is not null")
-    firsts = staged(first_shingles(base, n, percent), "firsts")
-    reps = staged(representatives(firsts), "representatives")
-    own = firsts.join(reps.filter("doc_id = rep and n_shingles > 0").select("doc_id", "sig").hint("shuffle_hash"),
-                      ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"])
-    found = pools(own, percent)
-    blocks = found.groupBy("pool").agg(F.sum("n").alias("total"), F.count("*").alias("docs")).select(
-        "pool", F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks")).filter("blocks is not null")
-    placed = staged(found.join(blocks, "pool").join(reps.select("doc_id", "sig"), "doc_id").withColumn(
-        "block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "pools")
-    sets = staged(_with_sets(base, placed, n), "sets")
-    links = staged(_links(sets, percent, False), "links")
-    wide = placed.filter("blocks > 1")
-    if wide.limit(1).count():
-        links = _across(sets, wide, links, percent)
-    return reps.join(components(links), F.col("rep") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-
-
-def _across(sets: DataFrame, wide: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between the blocks of wide pools, in two passes: first one document a
-    component and block against all of them, then everything outside the largest
-    component of its pool against the blocks it has not met."""
-    for largest_only in (False, True):
-        comp = components(links)
-        placed = staged(wide.join(comp, F.col("doc_id") == F.col("node"), "left").select(
-            "doc_id", "pool", "block", "blocks", F.coalesce("component", "doc_id").alias("known")), "placed")
-        sizes = placed.groupBy("pool", "known").agg(F.count("*").alias("k"))
-        top = sizes.groupBy("pool").agg(F.max(F.struct("k", "known"))["known"].alias("top"))
-        marked = placed.join(top, "pool")
-        if largest_only:
-            probes = marked.filter("known <> top")
-        else:
-            heads = placed.groupBy("pool", "block", "known").agg(F.min("doc_id").alias("doc_id"))
-            probes = marked.join(heads.select("doc_id"), "doc_id", "left_semi").filter("known <> top")
-        sent = probes.select("doc_id", "pool", "known", F.col("block").alias("home"), F.explode(
-            F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).filter("block <> home").drop("home")
-        all_rows = placed.select("doc_id", "pool", "block", F.lit(False).alias("probe"), "known").unionByName(
-            sent.select("doc_id", "pool", "block", F.lit(True).alias("probe"), "known"))
-        more = _links(all_rows.join(sets.select("doc_id", "s").dropDuplicates(["doc_id"]), "doc_id"), percent, True)
-        links = staged(links.unionByName(more), "links")
-    return links
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = staged(described(base, n, "early array<long>, late array<long>", first_shingles(percent), 1000), "firsts")
+    members = staged(classes(rows), "classes")
+    repeats = rows.count() > members.count()
+    first = rows.select("sig", "early", "late")
+    known = staged(nodes(members).join(first.dropDuplicates(["sig"]), "sig"), "nodes")
+    unstaged(rows)
+    keys = staged(prefix_keys(known, percent), "keys")
+
+    def compared(cells: DataFrame, made: list[DataFrame]) -> DataFrame:
+        wanted = cells.select("node").distinct().join(known.select("node", "sig"), "node")
+        sets = set_rows(base, wanted, n, repeats)
+        made.append(sets)
+        return in_cells(cells.join(sets, "node"), lambda m, p: tree_links(m, p, percent))
+
+    def links(pairs: DataFrame, made: list[DataFrame]) -> DataFrame:
+        # pairs of one smallest member b meet in trees of about STAR sets
+        many = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("trees"))
+        tree = F.pmod(F.xxhash64("a"), F.col("trees")).cast("int")
+        placed = pairs.join(many, "b").select(F.col("b").alias("pool"), F.lit(0).alias("band"), tree.alias("x"), F.lit(0).alias("y"),
+                                              F.col("a").alias("node"), F.col("a").alias("c"), F.lit(False).alias("probe"))
+        probes = many.select(F.col("b").alias("pool"), F.lit(0).alias("band"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("x"),
+                             F.lit(0).alias("y"), F.col("b").alias("node"), F.col("b").alias("c"), F.lit(True).alias("probe"))
+        cells = staged(placed.unionByName(probes), "stars")
+        made.append(cells)
+        return compared(cells, made)
+
+    found = linked_components(keys, percent, links, compared, block)
+    out = staged(named_components(members, found), "named")
+    for t in (members, known, keys, found):
+        unstaged(t)
+    return out
 
 
 def op4_ngram_jaccard_join(spark, sf_dir):

@@ -102,13 +102,13 @@ def test_jaccard_components_brute_force(spark):
                 if both and 100 * both >= 90 * len(sets[a] | sets[b]) and name[a] != name[b]:
                     name[a] = name[b] = min(name[a], name[b])
                     changed = True
-    for size in (jaccard_join.BLOCK_SHINGLES, 2500):  # the second cuts pools into blocks
+    for size in (jaccard_join.BLOCK, 2500):  # the second cuts pools into blocks
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components_rows(spark, rows, size)}
         assert got == {i: (len(sets[i]), name[i]) for i in sets}
 
 
 def jaccard_components_rows(spark, rows, size):
-    return jaccard_join.jaccard_components(docs(spark, rows, pool=1, token=2, n=3), 3, 90, block_shingles=size).collect()
+    return jaccard_join.jaccard_components(docs(spark, rows, pool=1, token=2, n=3), 3, 90, block=size).collect()
 
 
 def test_packing_round_trip(spark):
