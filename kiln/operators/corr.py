@@ -12,20 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.core import join_small, materialize, numeric_columns
+from kiln.plans.comoments import comoments, pearson
 from kiln.plans.ranks import average_ranks, kendall_pairs, spearman_pairs
 
 
-PAIRS_PER_AGG = 9
-
-
-def safe_corr(x, y):
-    """Pearson r over rows where both are present; NULL when a variance is 0
-    (``corr`` itself raises under ANSI division rules)."""
-    xm = F.when(y.isNotNull(), x)
-    ym = F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(xm) * F.stddev_pop(ym))
-
-
 def _pairs(cols):
     return [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
 
@@ -61,21 +51,13 @@ def correlation_matrix(df: DataFrame, method: str = "pearson", columns: Sequence
                              F.lit(i).alias("pos_b"), diag[i].cast("double").alias("r"))
                     for i, c in enumerate(cols)]
     if method == "pearson":
-        # one-row aggregations expanded once into the full matrix; pairs are
-        # chunked so each aggregation buffer stays within whole-stage codegen
-        aggs = [safe_corr(x[i], x[j]).alias(f"p{k}") for k, (i, j) in enumerate(pairs)]
-        chunks = [aggs[c:c + PAIRS_PER_AGG] for c in range(0, len(aggs), PAIRS_PER_AGG)]
-        wide = df.agg(*diag_aggs)
-        for ch in chunks:
-            wide = wide.crossJoin(df.agg(*ch))
-        cells = []
-        for k, (i, j) in enumerate(pairs):
-            v = F.col(f"p{k}")
-            cells.append(F.struct(F.lit(cols[i]).alias("column_a"), F.lit(cols[j]).alias("column_b"),
-                                  F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"), v.alias("r")))
-            cells.append(F.struct(F.lit(cols[j]).alias("column_a"), F.lit(cols[i]).alias("column_b"),
-                                  F.lit(j).alias("pos_a"), F.lit(i).alias("pos_b"), v.alias("r")))
-        return wide.select(F.inline(F.array(*cells, *diag_structs)))
+        m = comoments(df, cols).withColumn("r", pearson())
+        diagonal = F.when((F.col("n") >= 2) & (F.col("sxx") > 0), F.lit(1.0))
+        name = F.array(*[F.lit(c) for c in cols])
+        cell = lambda a, b, r: F.struct(name[F.col(a)].alias("column_a"), name[F.col(b)].alias("column_b"),
+                                        F.col(a).alias("pos_a"), F.col(b).alias("pos_b"), r.alias("r"))
+        return m.select(F.inline(F.when(F.col("i") == F.col("j"), F.array(cell("i", "j", diagonal))).otherwise(
+            F.array(cell("i", "j", F.col("r")), cell("j", "i", F.col("r"))))))
     if method not in ("spearman", "kendall"):
         raise ValueError(f"unknown correlation method {method!r}")
     if method == "spearman":
@@ -112,14 +94,9 @@ def _spearman_values(df: DataFrame, cols: list[str], pairs: list[tuple[int, int]
         ranked = join_small(long, ranks, ["column", "value"])
         wide = ranked.groupBy("__rid").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c)
                                              for c in full])
-        aggs = [safe_corr(F.col(f"`{cols[pairs[k][0]]}`"), F.col(f"`{cols[pairs[k][1]]}`")).alias(f"p{k}")
-                for k in full_pairs]
-        row = None
-        for c0 in range(0, len(aggs), PAIRS_PER_AGG):
-            part = wide.agg(*aggs[c0:c0 + PAIRS_PER_AGG])
-            row = part if row is None else row.crossJoin(part)
-        parts.append(row.select(F.inline(F.array(*[
-            F.struct(F.lit(k).alias("pair"), F.col(f"p{k}").alias("r")) for k in full_pairs]))))
+        number = {(full.index(cols[pairs[k][0]]), full.index(cols[pairs[k][1]])): k for k in full_pairs}
+        at = spark.createDataFrame([(i, j, k) for (i, j), k in number.items()], "i int, j int, pair int")
+        parts.append(comoments(wide, full).withColumn("r", pearson()).join(F.broadcast(at), ["i", "j"]).select("pair", "r"))
     rest = [k for k in range(len(pairs)) if k not in set(full_pairs)]
     if rest:
         sub = pair_rows(df, cols, only=set(rest))

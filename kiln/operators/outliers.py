@@ -11,12 +11,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kiln.plans.quantiles import column_quantiles, order_statistics
 from kiln.plans.stats import to_long
 
 FLAG = "__outlier"
 WINSOR_LIMIT = 0.05
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def flag_name(c: str) -> str:
@@ -80,7 +82,8 @@ def treat_outliers(flagged: DataFrame, columns: Sequence[str], method: str = "cl
                    clip_k: float = 1.5) -> DataFrame:
     """Treat only columns with at least one flag; drops the flag columns.
 
-    clip: clip to the k*IQR fences (k = 1.5 whatever the detection method);
+    clip: clip to the k*IQR fences (k = 1.5 whatever the detection method); whole-number
+    columns become double, as fences may be fractions;
     remove: drop rows flagged in any column; winsorize: values below the
     k-th order statistic (k = int(0.05 n), non-null values) are raised to it and
     values above the (n-1-k)-th are lowered to it.
@@ -122,7 +125,9 @@ def treat_outliers(flagged: DataFrame, columns: Sequence[str], method: str = "cl
         if c in columns:
             x = F.col(f"`{c}`")
             clipped = F.when(x.isNull(), x).otherwise(F.greatest(F.least(x, hi[c]), lo[c]))
-            out.append(F.when(F.col(f"{c}__nf") > 0, clipped.cast(f.dataType)).otherwise(x).alias(c))
+            # fences of whole numbers may be fractions: clipped whole-number columns are double
+            kind = "double" if isinstance(f.dataType, WHOLE) and method == "clip" else f.dataType
+            out.append(F.when(F.col(f"{c}__nf") > 0, clipped.cast(kind)).otherwise(x.cast(kind)).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
     return joined.select(*out)

@@ -34,6 +34,12 @@ def _treated(spark, sf, how):
     return rounded(out.treat_outliers(flagged, OUT_COLS, how))
 
 
+def _clipped_whole(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.floor(F.col("value") * 4).cast("long").alias("quarters"))
+    flagged, _ = out.detect_outliers(e, ["quarters"], "iqr", 1.5)
+    return rounded(out.treat_outliers(flagged, ["quarters"], "clip"))
+
+
 LI_SCALE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -61,6 +67,7 @@ QUERIES = {
     "outliers_zscore_flags": lambda s, d: _detect(s, d, "zscore", 2.0)[0].select(
         "event_id", *[f"{c}__outlier" for c in OUT_COLS]),
     "outliers_clip": lambda s, d: _treated(s, d, "clip"),
+    "outliers_clip_whole": _clipped_whole,
     "outliers_remove": lambda s, d: _treated(s, d, "remove"),
     "outliers_winsorize": lambda s, d: _treated(s, d, "winsorize"),
     "encode_onehot": lambda s, d: rounded(_onehot_lineitem(s, d)[0]),
@@ -113,7 +120,7 @@ select event_id, {", ".join(f"{r(c)} as {c}" for c in OUT_COLS)} from fl where n
         lim = "lim2 as (select " + ", ".join(parts) + ")"
     sel = ", ".join(
         f"{r(f'case when {c}__nf > 0 and {c} is not null then greatest(least({c}, {c}__hi), {c}__lo) else {c} end')}"
-        f"{'::bigint' if c == 'user_id' else ''} as {c}" for c in OUT_COLS)
+        f"{'::bigint' if c == 'user_id' and kind != 'clip' else ''} as {c}" for c in OUT_COLS)
     return _IQR_FLAGS + f""", {lim}, nf as (select {cnt} from fl)
 select event_id, {sel} from ev cross join lim2 cross join nf"""
 
@@ -124,6 +131,9 @@ SQL = {
     "outliers_iqr_flags": _IQR_FLAGS + f"\nselect event_id, {', '.join(c + '__outlier' for c in OUT_COLS)} from fl",
     "outliers_zscore_flags": _Z_FLAGS + f"\nselect event_id, {', '.join(c + '__outlier' for c in OUT_COLS)} from fl",
     "outliers_clip": _treat_sql("clip"),
+    "outliers_clip_whole": f"""with ev as (select event_id, floor(value * 4)::bigint as quarters from events),
+q as (select quantile_cont(quarters, 0.25) as a, quantile_cont(quarters, 0.75) as b from ev)
+select event_id, {r("greatest(least(quarters, b + 1.5 * (b - a)), a - 1.5 * (b - a))::double")} as quarters from ev cross join q""",
     "outliers_remove": _treat_sql("remove"),
     "outliers_winsorize": _treat_sql("winsorize"),
     "encode_onehot": f"""select l_orderkey, l_linenumber, {r("l_quantity")} as l_quantity,
