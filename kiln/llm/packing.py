@@ -27,68 +27,50 @@ END_ID = 1
 BLOCK = 40_000
 #: Sequences filled less than this after the first round are packed again.
 FULL = 0.98
-WORDS_CACHED = 400_000
-#: One run of lower-case Latin letters: a single word for the tokenizer.
-PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Texts that the pattern below splits into words as the tokenizer does.
+COMMON = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
+WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that lower-cases and never merges across white space.
+    """Ids of texts by a tokenizers file: lower case, words without white space, byte-level
+    merges with an end-of-word mark.
 
-    A text is cut at blanks, tabs and line ends.  A word's ids are cached
-    (bounded); an unseen word is looked up again as its lower-cased Latin letters
-    and its trailing punctuation, which the tokenizer always separates; what is
-    new then goes to the tokenizer, plain letter words in one call.
+    The merges run in tiktoken, with a blank after each word in place of the mark:
+    ranks are single bytes, then bytes with the mark, then the merges in their order.
+    A text with a character beyond COMMON goes to the tokenizers library itself.
     """
 
-    TAIL = ".,!?;:$%&*#|"
-
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-        self.tokenizer = Tokenizer.from_file(path)
-        # plain letter words need neither normalizing nor the splitting pattern
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _encode(self, new: list[str]) -> None:
-        plain = [w for w in new if PLAIN(w)]
-        for k in range(0, len(plain), 20_000):
-            part = plain[k:k + 20_000]
-            e = self.plain.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = np.array(e.ids, dtype="<u4"), np.array(e.word_ids, dtype=np.int64)
-            ends = np.searchsorted(owner, np.arange(len(part) + 1))
-            for w, i, j in zip(part, ends[:-1].tolist(), ends[1:].tolist()):
-                self.parts[w] = ids[i:j].tobytes()
-        other = [w for w in new if not PLAIN(w)]
-        for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            self.parts[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _split(self, word: str) -> tuple[str, str]:
-        base = word.rstrip(self.TAIL)
-        low = base.lower()
-        return (low, word[len(base):]) if PLAIN(low) else (word, "")
-
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        """The little-endian unsigned 32-bit ids of each text."""
-        for k in range(0, len(texts), 256):
-            found = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                     for t in texts[k:k + 256]]
-            distinct = set().union(*found)
-            if len(self.words) + len(distinct) > WORDS_CACHED:
-                self.words.clear()
-                self.parts = {"": b""}
-            unseen = {w: self._split(w) for w in distinct if w not in self.words}
-            new = {p for pair in unseen.values() for p in pair if p not in self.parts}
-            if new:
-                self._encode(list(new))
-            for w, (base, tail) in unseen.items():
-                self.words[w] = self.parts[base] + self.parts[tail]
-            for f in found:
-                yield b"".join(map(self.words.__getitem__, f))
+        import json
+
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        from kiln.llm.cross_tokens import byte_alphabet
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.exact = Tokenizer.from_file(path)
+        alphabet, mark = byte_alphabet(), model["end_of_word_suffix"]
+
+        def raw(token: str) -> bytes:
+            end = token.endswith(mark)
+            return bytes(alphabet[c] for c in (token[:-len(mark)] if end else token)) + b" " * end
+
+        ids = {raw(t): i for t, i in model["vocab"].items() if all(c in alphabet for c in t.removesuffix(mark))}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = list(dict.fromkeys([bytes([b]) for b in range(256)] + [bytes([b, 32]) for b in range(256)]
+                                   + [raw(x + y) for x, y in merges]))
+        self.to_id = np.array([ids[t] for t in order], "<u4")
+        self.fast = tiktoken.Encoding("words", pat_str="[^ ]+ ", special_tokens={},
+                                      mergeable_ranks={t: i for i, t in enumerate(order)})
+
+    def encode(self, text: str) -> np.ndarray:
+        if not COMMON(text):
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
+        words = WORDS(text.lower())
+        words.append("")
+        return self.to_id[self.fast.encode_to_numpy(" ".join(words), disallowed_special=())]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -100,11 +82,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int =
     """
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordTokenizer(tokenizer_path)
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
-            for i, ids in zip(batch["doc_id"], words.batch([t or "" for t in batch["text"]])):
-                ids += end
+            for i, t in zip(batch["doc_id"], batch["text"]):
+                ids = np.append(words.encode(t if isinstance(t, str) else ""), np.array([end_id], "<u4")).tobytes()
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at:at + 4 * size]
                     rows.append((None if pd.isna(i) else int(i), k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -121,7 +102,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
     ``count[g]`` is the number of open bins with gap g.  Putting a piece of length
     s into a bin of gap g changes the sum of squares by
-    2 * (count[g - s] - count[g]) + 2 (a gap of 0 is closed and counts nothing);
+    2 * (count[g - s] - count[g]) + 2, or 1 - 2 * count[g] where it closes the bin;
     a new bin changes it by 2 * count[size - s] + 1.  Ties: the smallest gap,
     an open bin before a new one.
     """
@@ -133,7 +114,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
         if s < size:
             open_gaps = np.flatnonzero(count[s:size]) + s
             if len(open_gaps):
-                after = np.where(open_gaps == s, -1, 2 * count[open_gaps - s] + 1)
+                after = np.where(open_gaps == s, 0, 2 * count[open_gaps - s] + 1)
                 change = after - 2 * count[open_gaps] + 1
                 best = int(change.argmin())
                 if change[best] <= 2 * count[size - s] + 1:
@@ -158,8 +139,7 @@ def _pack_blocks(size: int, round_no: int):
             return
         rows = pd.concat(parts, ignore_index=True)
         for block, group in rows.groupby("block", sort=True):
-            g = group.sort_values(["length", "doc_id", "piece", "ids_crc32"],
-                                  ascending=[False, True, True, True], kind="stable")
+            g = group.sort_values(["length", "row"], ascending=[False, True], kind="stable")
             bins, offsets = sum_of_squares(g["length"].to_numpy(np.int64), size)
             fill = np.bincount(bins, weights=g["length"].to_numpy(np.float64))
             g = g.assign(sequence_id=(np.int64(round_no) << 62) | (np.int64(block) << 24) | bins,
@@ -168,26 +148,26 @@ def _pack_blocks(size: int, round_no: int):
     return pack
 
 
-PACKED = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
+PACKED = ("row long, doc_id long, piece int, start long, length long, ids_crc32 long, "
           "sequence_id long, offset long, full boolean")
 
 
 def _pack_round(rows: DataFrame, n: int, size: int, round_no: int) -> DataFrame:
     blocks = max(1, -(-n // BLOCK))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no)),
-                                            F.lit(blocks)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(blocks)))
     return dealt.repartition(blocks, "block").mapInPandas(_pack_blocks(size, round_no), PACKED)
 
 
 def pack(piece_rows: DataFrame, size: int = SIZE) -> DataFrame:
     """``piece_rows`` with ``sequence_id`` and ``offset`` (gapless from 0 in each
-    sequence, at most ``size`` tokens).  Ties between equal pieces go by id,
-    piece and checksum.  No rows: no rows."""
-    cut = staged(piece_rows, "pieces")
+    sequence, at most ``size`` tokens).  Pieces are dealt by their row number, fixed
+    once the table is written, so that repeated rows and null ids spread like all
+    others; equal lengths go in row order.  No rows: no rows."""
+    cut = staged(piece_rows.withColumn("row", F.monotonically_increasing_id()), "pieces")
     first = staged(_pack_round(cut, cut.count(), size, 0), "packed")
     rest = first.filter("not full").select(*cut.columns)
     again = _pack_round(rest, rest.count(), size, 1)
-    return first.filter("full").unionByName(again).drop("full")
+    return first.filter("full").unionByName(again).drop("full", "row")
 
 
 def op5_best_fit_packing(spark, sf_dir):
