@@ -34,9 +34,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: What these hold, up to their end tag, is never text of a page; all others are ordinary elements.
 RAW = "script|style|textarea|title|iframe"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:title|style)(?:\s[^>]*)?/>|"
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:title|style)(?:\s[^>]*)?/>|"
     rf"<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|"
-    r"<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
+    r"<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)"
+    # a quoted value begins right after its '='; other quotes are ordinary characters
+    r"(?P<attrs>(?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>", re.S | re.I)
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-z]+")
 #: A block start closes an open element of the same group.

@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 from kiln.llm.common import id_crc, shared
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters (Unicode category L): word characters but digits, the underscore and
+#: other numerals, as fractions and circled numbers.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 MAX_GRAM = 4
 #: Training rows of a language; a documented parameter of ``train``.
 DOCS_PER_LANG = 4000
@@ -193,8 +196,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([scorer.score(t) for t in texts], columns=["lang_pred", "score"])
 
-    return (docs.drop("lang_pred", "score").withColumn("__lid", label(F.col(text_col)))
-            .withColumns({"lang_pred": F.col("__lid.lang_pred"), "score": F.col("__lid.score")}).drop("__lid"))
+    name = "__lid"
+    while name in docs.columns:
+        name += "_"
+    return (docs.drop("lang_pred", "score").withColumn(name, label(F.col(text_col)))
+            .withColumns({c: F.col(name)[c] for c in ("lang_pred", "score")}).drop(name))
 
 
 def train_rows(docs: DataFrame) -> DataFrame:
