@@ -74,7 +74,7 @@ def comoments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(i, j, n, mx, my, sxx, syy, sxy, bad) for every i <= j of the columns' places:
     rows where both are present, their means, centred sums of squares and products,
     and how many of them hold a NaN or an infinity (left out of the sums).  One scan;
-    no rows: no rows."""
+    no rows: zeros."""
     groups = [range(lo, min(lo + GROUP, len(columns))) for lo in range(0, len(columns), GROUP)]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,10 @@ def comoments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(out | {p: pa.array(m[k][r, c]) for k, p in enumerate(PARTS)})
 
     x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
-    first = x.mapInArrow(partial, STATE).repartition("gi", "gj", "stream").mapInArrow(merged, STATE)
+    none = [(i, j, 0, np.zeros((len(PARTS), len(groups[i]), len(groups[j]))).tobytes())
+            for i in range(len(groups)) for j in range(i, len(groups))]  # without rows there are zeros still
+    found = x.mapInArrow(partial, STATE).unionByName(df.sparkSession.createDataFrame(none, STATE))
+    first = found.repartition("gi", "gj", "stream").mapInArrow(merged, STATE)
     return first.repartition("gi", "gj").mapInArrow(
         cells, "i int, j int, " + ", ".join(f"{p} double" for p in PARTS))
 
