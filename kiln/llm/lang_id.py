@@ -23,10 +23,7 @@ from pyspark.sql import functions as F
 
 from kiln.llm.common import id_crc, shared
 
-#: Runs of letters (Unicode category L): word characters but digits, the underscore and
-#: other numerals, as fractions and circled numbers.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+RUNS = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 4
 #: Training rows of a language; a documented parameter of ``train``.
 DOCS_PER_LANG = 4000
@@ -35,6 +32,14 @@ CACHE_ROWS, CACHE_NUMBERS = 200_000, 20_000_000
 UNKNOWN = "und"
 
 
+def letters(text: str) -> list[str]:
+    """Runs of letters (Unicode category L)."""
+    found = RUNS.findall(text)
+    if found and not "".join(found).isalpha():  # numerals such as fractions are word characters too
+        found = [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
+    return found
+
+
 def grams(word: str, n: int) -> list[str]:
     w = f"^{word}$" if n > 1 else word
     return [w[i:i + n] for i in range(len(w) - n + 1)]
@@ -45,7 +50,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         seen: dict[str, Counter] = {}
         for lang, text in zip(batch["lang"], batch["text"]):
-            seen.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            seen.setdefault(lang, Counter()).update(letters(text.lower()))
         for lang, c in seen.items():
             g = Counter()
             for w, k in c.items():
@@ -139,7 +144,7 @@ class Scorer:
             out[unseen] = self.model.backoff([new[k] for k in unseen])
 
     def score(self, text):
-        found = LETTERS.findall(text.lower()) if text else []
+        found = letters(text.lower()) if text else []
         if not found or not self.model.langs:
             return UNKNOWN, 0.0
         if len(self.rows) > self.most:
