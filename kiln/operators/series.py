@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.core import col_list
-from kiln.plans.ordering import bounded_window, ordered_index, prefix_sum
+from kiln.plans.ordering import frame_sums, ordered_index
 
 
 def time_series(df: DataFrame, datetime_col: str, value_cols: Sequence[str],
@@ -35,24 +35,12 @@ def trend_decomposition(df: DataFrame, datetime_col: str, value_col: str, order_
     data = df.select(*{datetime_col, *[c for c in order if isinstance(c, str)], value_col}) \
         .filter(F.col(f"`{datetime_col}`").isNotNull() & F.col(f"`{value_col}`").isNotNull())
     if window is None:
-        n = data.count()                      # one number: sizes the frame
-        window = max(7, n // 20)
+        window = max(7, data.count() // 20)   # one number: sizes the frame
     after = (window - 1) // 2
     before = window - 1 - after
-    idx = ordered_index(data, order, idx_col="point_index")
-    # rolling sum from global prefix sums: S[i + after] - S[i - before - 1]; O(n)
-    # whatever the window, instead of re-aggregating a w-row frame per row
-    cum = prefix_sum(idx, ["point_index"], F.col(value_col).cast("double"), "__S")
-
-    def comp(w):
-        ahead = F.lead("__S", after).over(w) if after else F.col("__S")
-        behind = F.lag("__S", before + 1).over(w)
-        start = F.when(F.col("point_index") == before, F.lit(0.0))
-        total = ahead - F.coalesce(behind, start)
-        return [("__sum", total)]
-
-    out = bounded_window(cum, "point_index", comp, before=before + 1, after=after)
+    idx = ordered_index(data, order, idx_col="point_index").select(
+        "point_index", F.col(f"`{datetime_col}`").alias("__t"), F.col(f"`{value_col}`").cast("double").alias("__v"))
+    out = frame_sums(idx, "point_index", "__v", before, after, carry=["__t"])
     trend = F.col("__sum") / F.lit(float(window))
-    return out.select("point_index", F.col(f"`{datetime_col}`"),
-                      F.col(value_col).cast("double").alias("value"), trend.alias("trend"),
-                      (F.col(value_col) - trend).alias("residual"))
+    return out.select("point_index", F.col("__t").alias(datetime_col), F.col("__v").alias("value"),
+                      trend.alias("trend"), (F.col("__v") - trend).alias("residual"))

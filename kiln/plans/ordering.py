@@ -15,6 +15,8 @@ task.  Instead:
   ``bucket_rows`` consecutive positions, the few rows near a bucket edge are
   copied into the neighbouring bucket as read-only context ("halo"), the window
   runs per bucket, and the copies are dropped.  Exact for every bounded frame.
+* ``frame_sums`` adds up wide frames (any number of rows) from running sums inside
+  small blocks, so that no task holds a frame.
 * ``fill_forward`` / ``fill_backward`` carry the last (first) non-null value
   across buckets through a per-bucket summary table (one row per bucket).
 
@@ -32,6 +34,7 @@ from kiln.core import col_list, ensure_checkpoint_dir, join_small
 
 DEFAULT_BUCKET_ROWS = 1 << 20
 TARGET_BUCKET_ROWS = 1 << 21
+SUM_BLOCK_ROWS = 1 << 18
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -229,3 +232,53 @@ def prefix_sum(df: DataFrame, order_by, value: Column | str, out_col: str,
                num_buckets: int | None = None) -> DataFrame:
     """One running sum: see :func:`prefix_sums`."""
     return prefix_sums(df, order_by, {out_col: value}, by, inclusive, num_buckets)
+
+
+def frame_sums(df: DataFrame, idx_col: str, value_col: str, before: int, after: int,
+               carry: Sequence[str] = (), out_col: str = "__sum",
+               block_rows: int = SUM_BLOCK_ROWS) -> DataFrame:
+    """Sum of ``value_col`` over the rows ``[-before, +after]`` of the dense 0-based index.
+
+    Returns ``idx_col, carry..., value_col, out_col``; ``out_col`` is NULL where the
+    frame is not full; ``value_col`` holds no NULL.  Positions are cut into spans as long as
+    the frame, so a frame is the end of one span and the start of the next: its sum
+    is a running sum from the right at its first row plus one from the left at its
+    last row.  Running sums are taken inside blocks of at most ``block_rows`` rows and
+    carried over the blocks of a span through a table of one row per block, so the
+    work is cut by ``block_rows`` and not by the frame.  Sums are only added, never
+    subtracted: rows outside a frame cannot cost it digits.  The two sums then meet
+    their row by the shifted index.
+    """
+    width = before + after + 1
+    idx = F.col(idx_col)
+    cut = df.select(idx_col, *carry, value_col, F.floor(idx / F.lit(width)).alias("__span"),
+                    F.floor(F.pmod(idx, F.lit(width)) / F.lit(int(block_rows))).alias("__block"))
+    key = ["__span", "__block"]
+    upto = Window.partitionBy(*key).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy(*key).orderBy(idx.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    sums = cut.withColumn("__upto", F.sum(value_col).over(upto)).withColumn("__since", F.sum(value_col).over(since))
+    if width > block_rows:
+        totals = cut.groupBy(*key).agg(F.sum(value_col).alias("__all"))
+        left = Window.partitionBy("__span").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        right = Window.partitionBy("__span").orderBy(F.col("__block").desc()).rowsBetween(
+            Window.unboundedPreceding, -1)
+        offsets = totals.select(*key, F.coalesce(F.sum("__all").over(left), F.lit(0.0)).alias("__left"),
+                                F.coalesce(F.sum("__all").over(right), F.lit(0.0)).alias("__right"))
+        sums = join_small(sums, offsets, key).withColumns({
+            "__upto": F.col("__left") + F.col("__upto"), "__since": F.col("__since") + F.col("__right")})
+    # every row goes to its own place, its sum from the right to the row whose frame it
+    # opens and its sum from the left to the row whose frame it closes
+    none = F.lit(None).cast("double")
+    close = F.when(F.pmod(idx + 1, F.lit(width)) == 0, F.lit(0.0)).otherwise(F.col("__upto"))   # 0: frame = span
+    parts = [F.struct(idx.alias("__at"), F.lit(True).alias("__own"), none.alias("__open"), none.alias("__close")),
+             F.struct((idx + before).alias("__at"), F.lit(False).alias("__own"), F.col("__since").alias("__open"),
+                      none.alias("__close")),
+             F.struct((idx - after).alias("__at"), F.lit(False).alias("__own"), none.alias("__open"),
+                      close.alias("__close"))]
+    sent = sums.select(*carry, value_col, F.explode(F.array(*parts)).alias("__p")).select(
+        "__p.*", *[F.when(F.col("__p.__own"), F.col(c)).alias(c) for c in (*carry, value_col)])
+    met = sent.groupBy("__at").agg(
+        F.max("__own").alias("__own"), F.max("__open").alias("__open"), F.max("__close").alias("__close"),
+         *[F.max(c).alias(c) for c in (*carry, value_col)])
+    return met.filter("__own").select(F.col("__at").alias(idx_col), *carry, value_col,
+                                      (F.col("__open") + F.col("__close")).alias(out_col))
