@@ -162,21 +162,25 @@ def scatter_matrix(df: DataFrame, columns: Sequence[str] | None = None, color_co
     lim = rng.agg(*[x for c in cols for x in (
         F.max(F.when(F.col("column") == c, F.col("__lo"))).alias(f"{c}__lo"),
         F.max(F.when(F.col("column") == c, F.col("__hi"))).alias(f"{c}__hi"))])
-    j = base.crossJoin(F.broadcast(lim))
-    cells = []
-    for i in range(len(cols)):
-        for k in range(i):
-            a, b = cols[k], cols[i]          # x = earlier column, y = later column (below diagonal)
-            bx = bin_index(F.col(f"`{a}`").cast("double"), F.col(f"{a}__lo"), F.col(f"{a}__hi"), bins)
-            by = bin_index(F.col(f"`{b}`").cast("double"), F.col(f"{b}__lo"), F.col(f"{b}__hi"), bins)
-            cells.append(F.when(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull(),
-                                F.struct(F.lit(a).alias("column_x"), F.lit(b).alias("column_y"),
-                                         bx.alias("bin_x"), by.alias("bin_y"))))
-    if not cells:
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "column_x string, column_y string")
-    ex = j.select(*keep, F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("__c"))
-    return ex.groupBy(*keep, "__c.column_x", "__c.column_y", "__c.bin_x", "__c.bin_y").agg(
-        F.count(F.lit(1)).alias("count"))
+    # each column is binned once a row; a cell of a pair is one integer, so that rows
+    # times pairs exist only as integers on the way into the map-side counts
+    binned = base.crossJoin(F.broadcast(lim)).select(*keep, *[
+        F.when(F.col(f"`{c}`").isNotNull(), bin_index(F.col(f"`{c}`").cast("double"), F.col(f"`{c}__lo`"),
+                                                      F.col(f"`{c}__hi`"), bins)).alias(f"__b{i}")
+        for i, c in enumerate(cols)])
+    pairs = [(k, i) for i in range(len(cols)) for k in range(i)]   # x = earlier column, y = later (below diagonal)
+    cells = F.array(*[F.lit(p).cast("long") * (bins * bins) + F.col(f"__b{k}") * bins + F.col(f"__b{i}")
+                      for p, (k, i) in enumerate(pairs)])
+    counts = (binned.select(*keep, F.explode(cells).alias("__cell")).filter(F.col("__cell").isNotNull())
+              .groupBy(*keep, "__cell").agg(F.count(F.lit(1)).alias("count")))
+    pair = F.floor(F.col("__cell") / (bins * bins)).cast("int")
+    name = lambda side: F.element_at(F.array(*[F.lit(cols[p[side]]) for p in pairs]), pair + 1)
+    within = F.pmod(F.col("__cell"), F.lit(bins * bins))
+    return counts.select(*keep, name(0).alias("column_x"), name(1).alias("column_y"),
+                         F.floor(within / bins).cast("int").alias("bin_x"),
+                         F.pmod(within, F.lit(bins)).cast("int").alias("bin_y"), "count")
 
 
 def pair_plot(df: DataFrame, hue: str | None = None, max_columns: int | None = None,

@@ -13,13 +13,6 @@ LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
           "l_discount", "l_tax"]
 EV_NUM = ["event_id", "user_id", "value", "value_n", "const"]
 PART_NUM = ["p_partkey", "p_size", "p_retailprice"]
-HIST_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
-SCATTER_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-PAIR_COLS = ["value", "user_id", "value_n"]
-
-
-def _ev_pair(spark, sf):
-    return events_dirty(spark, sf).select("event_type", *PAIR_COLS)
 
 
 QUERIES = {
@@ -29,7 +22,7 @@ QUERIES = {
     "corr_kendall": lambda s, d: rounded(co.correlation_matrix(table(s, d, "part"), "kendall")),
     "corr_lower_triangle": lambda s, d: rounded(co.lower_triangle(
         co.correlation_matrix(table(s, d, "lineitem"), "pearson"))),
-    "hist_columns": lambda s, d: rounded(dist.histogram(table(s, d, "lineitem"), HIST_COLS)),
+    "hist_columns": lambda s, d: rounded(dist.histogram(table(s, d, "lineitem"))),
     "hist_density_by_group": lambda s, d: rounded(dist.histogram(
         table(s, d, "events"), ["value"], group_by="event_type", density=True)),
     "kde_grid": lambda s, d: rounded(dist.kde(table(s, d, "events"), ["value"])),
@@ -40,11 +33,11 @@ QUERIES = {
         "value_o", "event_type")[1]),
     "hist_violin_margin": lambda s, d: rounded(dist.box_stats_by_category(
         table(s, d, "events"), "value", "event_type")[0]),
-    "box_columns": lambda s, d: rounded(dist.box_stats_columns(table(s, d, "lineitem"), HIST_COLS)[0],
+    "box_columns": lambda s, d: rounded(dist.box_stats_columns(table(s, d, "lineitem"))[0],
                                         per_column={"mean": 9}),
-    "scatter_matrix_bins": lambda s, d: dist.scatter_matrix(table(s, d, "lineitem"), SCATTER_COLS),
-    "pairplot_cells": lambda s, d: dist.pair_plot(_ev_pair(s, d), hue="event_type")[0],
-    "pairplot_kde": lambda s, d: rounded(dist.pair_plot(_ev_pair(s, d), hue="event_type")[1]),
+    "scatter_matrix_bins": lambda s, d: dist.scatter_matrix(table(s, d, "lineitem")),
+    "pairplot_cells": lambda s, d: dist.pair_plot(events_dirty(s, d), hue="event_type")[0],
+    "pairplot_kde": lambda s, d: rounded(dist.pair_plot(events_dirty(s, d), hue="event_type")[1]),
 }
 
 
@@ -129,7 +122,7 @@ from grid {gj} left join c on c."column" = grid."column" and c.bin = grid.bin
      {'and c.' + group + ' = gr.' + group if group else ''} {tj.replace('using (' + g + '"column")', 'on t."column" = grid."column"' + (' and t.' + group + ' = gr.' + group if group else '')) if density else ''}"""
 
 
-SQL["hist_columns"] = _hist_sql("lineitem", HIST_COLS)
+SQL["hist_columns"] = _hist_sql("lineitem", LI_NUM)
 SQL["hist_density_by_group"] = _hist_sql("events", ["value"], group="event_type", density=True)
 SQL["kde_grid"] = f"""with st as (select min(value) as mn, max(value) as mx, count(value) as n,
        stddev_samp(value) * pow(count(value)::double, -0.2) as h from events where value is not null),
@@ -162,7 +155,7 @@ SQL["hist_violin_margin"] = _box_sql("events", "event_type", "value")
 SQL["box_columns"] = _box_sql(
     "l", '"column"', "value", True,
     "l as (" + "\nunion all\n".join(f"select '{c}' as column, {c}::double as value from lineitem"
-                                    for c in HIST_COLS) + ")")
+                                    for c in LI_NUM) + ")")
 SQL["box_outlier_points"] = f"""with {EV_OUT_SQL},
 d as (select e.event_type, ev.value_o from ev join events e using (event_id)),
 f as (select event_type, quantile_cont(value_o, 0.25) - 1.5 * (quantile_cont(value_o, 0.75) - quantile_cont(value_o, 0.25)) as lo,
@@ -192,17 +185,17 @@ select {c}column_x, column_y, bin_x, bin_y, count(*) as count from ({' union all
 group by {c}column_x, column_y, bin_x, bin_y"""
 
 
-SQL["scatter_matrix_bins"] = _scatter_sql("lineitem", SCATTER_COLS)
-SQL["pairplot_cells"] = _scatter_sql("ev", PAIR_COLS, "event_type", True, EVENTS_DIRTY_SQL)
+SQL["scatter_matrix_bins"] = _scatter_sql("lineitem", LI_NUM)
+SQL["pairplot_cells"] = _scatter_sql("ev", EV_NUM, "event_type", True, EVENTS_DIRTY_SQL)
 SQL["pairplot_kde"] = f"""with {EVENTS_DIRTY_SQL},
-base as (select event_type, value, user_id::double as user_id, value_n from ev
-         where event_type is not null and value is not null and user_id is not null and value_n is not null),
+base as (select event_type, {", ".join(EV_NUM)} from ev
+         where event_type is not null and {" and ".join(c + " is not null" for c in EV_NUM)}),
 l as (""" + "\nunion all\n".join(f"select event_type, '{c}' as column, {c}::double as value from base"
-                                 for c in PAIR_COLS) + f"""),
+                                 for c in EV_NUM) + f"""),
 st as (select event_type, "column", min(value) as mn, max(value) as mx, count(*) as n,
               stddev_samp(value) * pow(count(*)::double, -0.2) as h from l group by event_type, "column"),
 g as (select unnest(range(0, 200)) as point)
 select l.event_type, l."column", g.point::integer as point, {r('any_value(st.mn) + (any_value(st.mx) - any_value(st.mn)) / 199.0 * g.point')} as x,
-       {r('sum(exp(-0.5 * power((st.mn + (st.mx - st.mn) / 199.0 * g.point - l.value) / st.h, 2))) / (any_value(st.n) * any_value(st.h) * sqrt(2 * pi()))')} as density
+       {r('sum(exp(-0.5 * power((st.mn + (st.mx - st.mn) / 199.0 * g.point - l.value) / nullif(st.h, 0), 2))) / (any_value(st.n) * nullif(any_value(st.h), 0) * sqrt(2 * pi()))')} as density
 from l join st on l.event_type = st.event_type and l."column" = st."column" cross join g
 group by l.event_type, l."column", g.point"""
