@@ -26,6 +26,7 @@ QUERIES = {
     "hist_density_by_group": lambda s, d: rounded(dist.histogram(
         table(s, d, "events"), ["value"], group_by="event_type", density=True)),
     "kde_grid": lambda s, d: rounded(dist.kde(table(s, d, "events"), ["value"])),
+    "kde_grid_binned": lambda s, d: rounded(dist.kde(table(s, d, "lineitem"), binned=1024)),
     "box_by_category": lambda s, d: rounded(dist.box_stats_by_category(
         table(s, d, "lineitem"), "l_extendedprice", "l_returnflag")[0]),
     "box_outlier_points": lambda s, d: rounded(dist.box_stats_by_category(
@@ -131,6 +132,20 @@ select 'value' as column, g.point::integer as point, {r('any_value(st.mn) + (any
        {r('sum(exp(-0.5 * power((st.mn + (st.mx - st.mn) / 199.0 * g.point - e.value) / st.h, 2))) / (any_value(st.n) * any_value(st.h) * sqrt(2 * pi()))')} as density
 from events e cross join st cross join g where e.value is not null group by g.point"""
 
+SQL["kde_grid_binned"] = f"""with l as (""" + "\nunion all\n".join(
+    f"select '{c}' as column, {c}::double as value from lineitem where {c} is not null" for c in LI_NUM) + f"""),
+st as (select "column", min(value) as mn, max(value) as mx, count(*) as n,
+              stddev_samp(value) * pow(count(*)::double, -0.2) as h from l group by "column"),
+p as (select "column", (value - mn) * 1024 / (mx - mn) as place from l join st using ("column")),
+b as (select "column", least(floor(place), 1023)::integer as bin, place - least(floor(place), 1023) as part from p),
+e as (select "column", edge, sum(share) as weight from (
+        select "column", bin as edge, 1 - part as share from b union all select "column", bin + 1, part from b)
+      group by "column", edge),
+g as (select unnest(range(0, 200)) as point)
+select st."column", g.point::integer as point, {r('any_value(mn) + (any_value(mx) - any_value(mn)) / 199.0 * g.point')} as x,
+       {r('sum(weight * exp(-0.5 * power((mn + (mx - mn) / 199.0 * g.point - (mn + (mx - mn) * edge / 1024)) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi()))')} as density
+from st join e using ("column") cross join g group by st."column", g.point"""
+
 
 def _box_sql(src, key, val, with_mean=False, cte=""):
     mean = f", {r(f'avg({val})', 9)} as mean" if with_mean else ""

@@ -1,6 +1,7 @@
 """Wide frame sums (H20), the value dictionary of schema inference (B1) and pair cells."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -98,3 +99,24 @@ def test_scatter_cells_equal_a_plain_count(spark):
                 want[key] = want.get(key, 0) + 1
     got = dist.scatter_matrix(df, color_col="g", bins=4).collect()
     assert {tuple(r)[:5]: r["count"] for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("points", [7, 120])
+def test_kde_exact_and_binned(spark, points):
+    rnd = random.Random(5)
+    data = {"x": [rnd.gauss(0, 1) for _ in range(80)] + [None], "c": [4.0] * 81}
+    df = spark.createDataFrame(list(zip(data["x"], data["c"])), "x double, c double")
+    vals = data["x"][:80]
+    mean = sum(vals) / 80
+    h = math.sqrt(sum((v - mean) ** 2 for v in vals) / 79) * 80 ** -0.2
+    lo, hi = min(vals), max(vals)
+    want = [sum(math.exp(-0.5 * ((lo + (hi - lo) / (points - 1) * k - v) / h) ** 2) for v in vals)
+            / (80 * h * math.sqrt(2 * math.pi)) for k in range(points)]
+    exact = dist.kde(df, points=points).collect()
+    assert len(exact) == 2 * points and all(r["density"] is None for r in exact if r["column"] == "c")
+    got = {r["point"]: r["density"] for r in exact if r["column"] == "x"}
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in range(points))
+    for bins in (8, 256):
+        near = {r["point"]: r["density"] for r in dist.kde(df, ["x"], points, binned=bins).collect()}
+        bound = ((hi - lo) / bins) ** 2 / (8 * math.sqrt(2 * math.pi) * h ** 3)
+        assert all(abs(near[k] - want[k]) <= bound + 1e-12 for k in range(points)) and len(near) == points
