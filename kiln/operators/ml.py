@@ -4,8 +4,10 @@
   row hash; per label when stratified);
 * a name -> estimator registry (linear / random forest / gradient boosted trees
   for regression and classification);
-* k-fold cross-validation with per-fold scores (fold = hash rank mod k, per
-  label when stratified), then a final fit on the training part;
+* k-fold cross-validation with per-fold scores over contiguous folds (per label
+  when stratified) along a given order or the seeded order of the rows' hashes;
+  the k linear fits come from one scan of co-moments per fold; then a final fit on
+  the training part;
 * metrics and importances as DataFrames (``kiln.operators.metrics``).
 """
 
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from kiln.core import is_numeric, join_small, materialize
 from kiln.operators import metrics as M
+from kiln.plans import folds as P7
 from kiln.plans.ordering import ordered_index
 
 REGRESSION = "regression"
@@ -172,11 +175,12 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
                 problem_type: str | None = None, test_size: float = 0.2, cv_folds: int = 5,
                 random_state: int = 42, scale_features: bool = True, test_flag: str | None = None,
                 label_index: bool = True, tree_depth: int = TREE_DEPTH,
-                max_classes: int = MAX_CLASSES) -> TrainResult:
+                max_classes: int = MAX_CLASSES, order_by: Sequence[str] | None = None) -> TrainResult:
     """Split, cross-validate, fit and evaluate one model.
 
     ``test_flag`` names a boolean column that fixes the split instead of the
-    hash split.  Classification labels are indexed to 0..k-1 in sorted order of
+    hash split.  ``order_by`` names columns that put the rows in a total order; the
+    folds are contiguous in it (without: in the order of a seeded hash of the row).  Classification labels are indexed to 0..k-1 in sorted order of
     the original labels (kept in ``extra['labels']``); a target of more than
     ``max_classes`` values raises an error.
     """
@@ -185,13 +189,14 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
     if test_flag:
         base = df.withColumn("__test", F.col(test_flag))
     problem_type = problem_type or detect_problem_type(base, target)
-    data, feats = prepare_features(base.drop("__test") if test_flag else base, target, feature_cols)
-    if test_flag:
-        # keep the given split flag alongside the prepared columns
-        prepared = base.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in feats],
-                               F.col(f"`{target}`").alias("label"), F.col("__test").alias("is_test")).dropna(how="any")
-    else:
-        prepared = split(data, test_size, random_state, stratify=problem_type == CLASSIFICATION)
+    _, feats = prepare_features(base.drop("__test") if test_flag else base, target, feature_cols)
+    # the split flag and the order stand beside the prepared columns
+    order = [f"__order{i}" for i in range(len(order_by or []))]
+    data = base.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in feats], F.col(f"`{target}`").alias("label"),
+                       *[F.col(f"`{c}`").alias(o) for c, o in zip(order_by or [], order)],
+                       *([F.col("__test").alias("is_test")] if test_flag else [])).dropna(
+        how="any", subset=[*feats, "label", *(["is_test"] if test_flag else [])])
+    prepared = data if test_flag else split(data, test_size, random_state, stratify=problem_type == CLASSIFICATION)
     labels = None
     if problem_type == CLASSIFICATION and label_index:
         labs = prepared.select("label").distinct()
@@ -210,8 +215,9 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
     parts = max(1, min(spark.sparkContext.defaultParallelism, -(-n_all // ROWS_PER_PARTITION)),
                 -(-n_all // MAX_ROWS_PER_PARTITION))
     prepared = prepared.repartition(parts).checkpoint(eager=True)
-    train = prepared.filter(~F.col("is_test")).drop("is_test")
-    test = prepared.filter(F.col("is_test")).drop("is_test")
+    ordered = prepared.filter(~F.col("is_test")).drop("is_test")
+    train = ordered.drop(*order)
+    test = prepared.filter(F.col("is_test")).drop("is_test", *order)
     n_train = train.count()
     n_classes = len(labels) if labels else 2
     scale = scale_features and problem_type == REGRESSION
@@ -220,25 +226,34 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
         return _pipeline(feats, get_estimator(model_name, problem_type, random_state, n, n_classes, tree_depth),
                          scale, n)
 
-    # cross-validation: k distributed fits (one per fold) and the final fit are
-    # submitted concurrently; each fit is itself a distributed Spark job.
-    folds = (fold_column(train, cv_folds, random_state, stratify=problem_type == CLASSIFICATION)
-             .repartition(parts).checkpoint(eager=True))
-
-    held = {r["fold"]: r["count"] for r in folds.groupBy("fold").count().collect()}   # one row a fold
-
-    def fold_score(k):
-        fit = make(n_train - held.get(k, 0)).fit(folds.filter(F.col("fold") != k).drop("fold"))
-        s = _score(fit.transform(folds.filter(F.col("fold") == k).drop("fold")), problem_type)
-        return s.select(F.lit(k + 1).alias("fold"), "score").checkpoint(eager=True)
-
-    with ThreadPoolExecutor(max_workers=cv_folds + 1) as pool:
-        final = pool.submit(lambda: make(n_train).fit(train))
-        scores = list(pool.map(fold_score, range(cv_folds)))
-        model = final.result()
-    cv = scores[0]
-    for s in scores[1:]:
-        cv = cv.unionByName(s)
+    # cross-validation: linear fits of all folds come from one scan of co-moments; other
+    # models are fitted once a fold, the k distributed fits and the final one concurrently.
+    if not order:
+        order = ["__hash", "__place"]
+        ordered = ordered.withColumn("__hash", F.xxhash64(F.lit(random_state + 1), *[F.col(f"`{c}`") for c in
+                                                                                    train.columns])) \
+            .withColumn("__place", F.monotonically_increasing_id())
+    folds = (P7.contiguous_folds(ordered, cv_folds, order, "label" if problem_type == CLASSIFICATION else None)
+             .drop(*order).repartition(parts).checkpoint(eager=True))
+    if model_name == "Linear Regression" and problem_type == REGRESSION:
+        fits = P7.leave_fold_out_ols(folds, feats, "label", "fold", cv_folds)
+        cv = materialize(P7.held_out_scores(folds, fits, feats, "label", "fold"))
+        model = make(n_train).fit(train)
+    else:
+        held = {r["fold"]: r["count"] for r in folds.groupBy("fold").count().collect()}   # one row a fold
+
+        def fold_score(k):
+            fit = make(n_train - held.get(k, 0)).fit(folds.filter(F.col("fold") != k).drop("fold"))
+            s = _score(fit.transform(folds.filter(F.col("fold") == k).drop("fold")), problem_type)
+            return s.select(F.lit(k + 1).alias("fold"), "score").checkpoint(eager=True)
+
+        with ThreadPoolExecutor(max_workers=cv_folds + 1) as pool:
+            final = pool.submit(lambda: make(n_train).fit(train))
+            scores = list(pool.map(fold_score, range(cv_folds)))
+            model = final.result()
+        cv = scores[0]
+        for s in scores[1:]:
+            cv = cv.unionByName(s)
     cv_summary = cv.agg(F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"))
     pred = model.transform(test)
     if problem_type == REGRESSION:
@@ -258,7 +273,7 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
     sizes = spark.createDataFrame([(n_train, len(feats))], "n_train long, n_features int").crossJoin(
         test.agg(F.count(F.lit(1)).alias("n_test")))
     return TrainResult(model_name, problem_type, feats, model, pred, met, cv, cv_summary, sizes,
-                       feature_importance(model, feats, labels), {"labels": labels})
+                       feature_importance(model, feats, labels), {"labels": labels, "train": train})
 
 
 def feature_importance(model: PipelineModel, features: list[str], labels=None) -> DataFrame | None:

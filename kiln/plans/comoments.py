@@ -62,58 +62,67 @@ def _rows(state: dict) -> pa.RecordBatch:
     from pyspark import TaskContext
     stream = TaskContext.get().partitionId() % STREAMS  # fixed for a partition, also when it runs again
     return pa.RecordBatch.from_pydict({
-        "gi": pa.array([k[0] for k in state], pa.int32()), "gj": pa.array([k[1] for k in state], pa.int32()),
+        "by": pa.array([k[0] for k in state], pa.int32()),
+        "gi": pa.array([k[1] for k in state], pa.int32()), "gj": pa.array([k[2] for k in state], pa.int32()),
         "stream": pa.array([stream] * len(state), pa.int32()),
         "m": pa.array([m.tobytes() for m in state.values()], pa.binary())})
 
 
-STATE = "gi int, gj int, stream int, m binary"
+STATE = "by int, gi int, gj int, stream int, m binary"
 
 
-def comoments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def comoments(df: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
     """(i, j, n, mx, my, sxx, syy, sxy, bad) for every i <= j of the columns' places:
     rows where both are present, their means, centred sums of squares and products,
     and how many of them hold a NaN or an infinity (left out of the sums).  One scan;
-    no rows: zeros."""
+    no rows: zeros.  ``by`` names an integer column of few values (folds, no NULLs): the
+    result has one set of rows for each value that occurs, in a column ``by``."""
     groups = [range(lo, min(lo + GROUP, len(columns))) for lo in range(0, len(columns), GROUP)]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for b in batches:
-            present = np.stack([~c.is_null().to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
-            values = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
-            for i, g in enumerate(groups):
-                for j, h in enumerate(groups[i:], i):
-                    _add(state, (i, j), _moments(values[:, g[0]:g[-1] + 1], values[:, h[0]:h[-1] + 1],
-                                                 present[:, g[0]:g[-1] + 1], present[:, h[0]:h[-1] + 1]))
+            key = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            data = b.columns[:-1]
+            all_present = np.stack([~c.is_null().to_numpy(zero_copy_only=False) for c in data], axis=1)
+            all_values = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in data], axis=1)
+            for one in np.unique(key).tolist():
+                at = slice(None) if by is None else key == one
+                present, values = all_present[at], all_values[at]
+                for i, g in enumerate(groups):
+                    for j, h in enumerate(groups[i:], i):
+                        _add(state, (one, i, j), _moments(values[:, g[0]:g[-1] + 1], values[:, h[0]:h[-1] + 1],
+                                                          present[:, g[0]:g[-1] + 1], present[:, h[0]:h[-1] + 1]))
         if state:
             yield _rows(state)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for b in batches:
-            for i, j, m in zip(b["gi"].to_pylist(), b["gj"].to_pylist(), b["m"].to_pylist()):
-                _add(state, (i, j), np.frombuffer(m).reshape(len(PARTS), len(groups[i]), len(groups[j])))
+            for one, i, j, m in zip(*(b[c].to_pylist() for c in ("by", "gi", "gj", "m"))):
+                _add(state, (one, i, j), np.frombuffer(m).reshape(len(PARTS), len(groups[i]), len(groups[j])))
         if state:
             yield _rows(state)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in merged(batches):
-            for gi, gj, m in zip(b["gi"].to_pylist(), b["gj"].to_pylist(), b["m"].to_pylist()):
+            for one, gi, gj, m in zip(*(b[c].to_pylist() for c in ("by", "gi", "gj", "m"))):
                 g, h = groups[gi], groups[gj]
                 m = np.frombuffer(m).reshape(len(PARTS), len(g), len(h))
                 at = [(a, c) for a in range(len(g)) for c in range(len(h)) if g[a] <= h[c]]
                 r, c = np.array(at).T
-                out = {"i": pa.array(r + g[0], pa.int32()), "j": pa.array(c + h[0], pa.int32())}
+                out = {"by": pa.array([one] * len(r), pa.int32()), "i": pa.array(r + g[0], pa.int32()), "j": pa.array(c + h[0], pa.int32())}
                 yield pa.RecordBatch.from_pydict(out | {p: pa.array(m[k][r, c]) for k, p in enumerate(PARTS)})
 
-    x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
-    none = [(i, j, 0, np.zeros((len(PARTS), len(groups[i]), len(groups[j]))).tobytes())
+    x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)],
+                  (F.col(f"`{by}`") if by else F.lit(0)).cast("int").alias("by"))
+    none = [] if by else [(0, i, j, 0, np.zeros((len(PARTS), len(groups[i]), len(groups[j]))).tobytes())
             for i in range(len(groups)) for j in range(i, len(groups))]  # without rows there are zeros still
     found = x.mapInArrow(partial, STATE).unionByName(df.sparkSession.createDataFrame(none, STATE))
-    first = found.repartition("gi", "gj", "stream").mapInArrow(merged, STATE)
-    return first.repartition("gi", "gj").mapInArrow(
-        cells, "i int, j int, " + ", ".join(f"{p} double" for p in PARTS))
+    first = found.repartition("by", "gi", "gj", "stream").mapInArrow(merged, STATE)
+    out = first.repartition("by", "gi", "gj").mapInArrow(
+        cells, "by int, i int, j int, " + ", ".join(f"{p} double" for p in PARTS))
+    return out if by else out.drop("by")
 
 
 def pearson():

@@ -4,10 +4,14 @@ OLS fit have SQL twins."""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
+from kiln.core import ensure_checkpoint_dir
+from kiln.operators import certificate, ml
 from kiln.operators import metrics as M
-from kiln.operators import ml
+from kiln.plans.folds import contiguous_folds
 from kiln.sources import io
 from kiln.workloads import r, rounded, table
 
@@ -41,9 +45,11 @@ def _docs(spark, sf):
 
 
 def _linreg(spark, sf):
-    li = _li(spark, sf).select("l_quantity", "l_extendedprice", (F.col("l_orderkey") % 5 == 0).alias("given_test"))
+    li = _li(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                               (F.col("l_orderkey") % 5 == 0).alias("given_test"))
     return ml.train_model(li, "l_extendedprice", "Linear Regression", ["l_quantity"], test_flag="given_test",
-                          problem_type=ml.REGRESSION)
+                          problem_type=ml.REGRESSION,
+                          order_by=["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"])
 
 
 def _part_reg(spark, sf, name):
@@ -91,7 +97,48 @@ def _fold_sizes(spark, sf):
     return f.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _folds(spark, sf, by=None):
+    li = _li(spark, sf).select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("label"))
+    # keys repeat in this table; rows equal in all three columns may change places
+    return contiguous_folds(li, 5, ["l_orderkey", "l_linenumber", "label"], by)
+
+
+def _predictions_sink(spark, sf):
+    """A3: a linear model's test rows written by the sink under the session's checkpoint
+    folder and scanned back."""
+    p = table(spark, sf, "part").select("p_retailprice", "p_size", "p_partkey", (F.col("p_partkey") % 4 == 0).alias("t"))
+    fit = ml.train_model(p, "p_retailprice", "Linear Regression", ["p_size", "p_partkey"], test_flag="t",
+                         problem_type=ml.REGRESSION, order_by=["p_partkey"])
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kiln-predictions-{uuid4().hex}"
+    io.write_predictions(fit.predictions, ["p_size", "p_partkey"], path)
+    return rounded(io.read_csv(spark, path), 4)
+
+
+#: Coefficients (A, N, R) at which the gradient query stands; any would do.
+AT_COEFFICIENTS, AT_INTERCEPTS, AT_REG = [[1.0, -2.0, 0.01], [0.5, 3.0, -0.02], [-1.5, 0.0, 0.03]], [0.2, 0.0, -0.1], 0.25
+
+
+def _logistic_gradient(spark, sf):
+    li = _li(spark, sf).select("l_discount", "l_tax", "l_quantity", F.when(F.col("l_returnflag") == "A", 0).when(
+        F.col("l_returnflag") == "N", 1).otherwise(2).alias("label"))
+    return rounded(certificate.logistic_gradient(li, ["l_discount", "l_tax", "l_quantity"], "label", AT_COEFFICIENTS,
+                                                 AT_INTERCEPTS, AT_REG))
+
+
+def _logistic_certificate(spark, sf):
+    fit = _li_multiclass(spark, sf)
+    out = certificate.logistic_certificate(fit.extra["train"], fit.model, fit.features)
+    names = F.array(*[F.lit(str(v)) for v in fit.extra["labels"]])
+    return out.select(names[F.col("class")].alias("class"), "feature", "within")
+
+
 QUERIES = {
+    "ml_folds_contiguous": _folds,
+    "ml_folds_stratified": lambda s, d: _folds(s, d, "label"),
+    "ml_linreg_cv_summary": lambda s, d: rounded(_linreg(s, d).cv_summary, 2),
+    "ml_logistic_gradient": _logistic_gradient,
+    "ml_logistic_certificate": _logistic_certificate,
+    "io_predictions_sink": _predictions_sink,
     "ml_split_plain": _split_plain,
     "ml_split_repeats": _split_repeats,
     "ml_fold_sizes": _fold_sizes,
@@ -227,3 +274,45 @@ g as (select unnest(range(0, 30)) as bin)
 select g.bin::integer as bin, {r('lo + g.bin * (hi - lo) / 30.0')} as lower, {r('lo + (g.bin + 1) * (hi - lo) / 30.0')} as upper,
        coalesce(n, 0) as count from g cross join rg left join c using (bin)"""
 SQL["ml_split_repeats"] = SQL["ml_split_stratified"]
+
+_FOLDS = """f as (select *, ntile(5) over (order by l_orderkey, l_linenumber, l_extendedprice, l_quantity) as fold
+      from lineitem where l_orderkey % 5 <> 0),
+fit as (select k as fold, regr_slope(l_extendedprice, l_quantity) as b1, regr_intercept(l_extendedprice, l_quantity) as b0
+        from f, range(1, 6) g(k) where f.fold <> k group by k),
+cv as (select fold::integer as fold, -avg((l_extendedprice - b0 - b1 * l_quantity) * (l_extendedprice - b0 - b1 * l_quantity)) as score
+       from f join fit using (fold) group by fold)"""
+SQL["ml_linreg_cv"] = f"with {_FOLDS}\nselect fold, {r('score', 2)} as score from cv"
+SQL["ml_linreg_cv_summary"] = f"""with {_FOLDS}
+select {r('avg(score)', 2)} as cv_mean, {r('stddev_pop(score)', 2)} as cv_std from cv"""
+SQL["ml_folds_contiguous"] = """select l_orderkey, l_linenumber, l_returnflag as label,
+  (ntile(5) over (order by l_orderkey, l_linenumber, l_returnflag) - 1)::integer as fold from lineitem"""
+SQL["ml_folds_stratified"] = """with t as (
+  select l_orderkey, l_linenumber, l_returnflag as label, row_number() over (order by l_orderkey, l_linenumber, l_returnflag) as g,
+         row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber) as j from lineitem),
+first as (select label, min(g) as g0 from t group by label),
+place as (select label, row_number() over (order by g0, g) - 1 as p from t join first using (label)),
+share as (select label, k, (select count(*) from place x where x.label = first.label and x.p % 5 = k) as n
+          from first, range(0, 5) h(k)),
+upto as (select label, k, sum(n) over (partition by label order by k) as last from share)
+select l_orderkey, l_linenumber, label, min(k)::integer as fold
+from t join upto using (label) where j <= last group by l_orderkey, l_linenumber, label, g"""
+_W = {c: (w, b) for c, w, b in zip("ANR", AT_COEFFICIENTS, AT_INTERCEPTS)}
+_X = ["l_discount", "l_tax", "l_quantity"]
+_EXP = {c: "exp(" + " + ".join(f"({v}) * {x}" for v, x in zip(w, _X)) + f" + ({b}))" for c, (w, b) in _W.items()}
+_PENALTY = AT_REG / 2 * sum(v * v for w in AT_COEFFICIENTS for v in w)
+SQL["ml_logistic_gradient"] = f"""with e as (select l_discount, l_tax, l_quantity, 1.0::double as one, l_returnflag as y,
+  {", ".join(f"{e} as e{c}" for c, e in _EXP.items())} from lineitem),
+p as (select *, eA + eN + eR as z, case y when 'A' then eA when 'N' then eN else eR end as own from e)
+""" + "\nunion all\n".join(
+    f"""select {k} as class, '{name}' as feature, {r(f"avg((e{c} / z - (y = '{c}')::integer) * {x}) + ({AT_REG * w})")} as gradient,
+  {r(f'sqrt(avg({x} * {x}))')} as scale, {r(f'avg(-ln(own / z)) + {_PENALTY}')} as loss from p"""
+    for k, c in enumerate("ANR") for x, name, w in zip([*_X, "one"], [*_X, certificate.INTERCEPT], [*_W[c][0], 0.0]))
+SQL["ml_logistic_certificate"] = """select class, feature, true as within
+from (select distinct l_returnflag as class from lineitem),
+     (select unnest(['l_discount', 'l_tax', 'l_quantity', '(intercept)']) as feature)"""
+SQL["io_predictions_sink"] = f"""with s as (select var_pop(p_size) as xx, var_pop(p_partkey) as zz, covar_pop(p_size, p_partkey) as xz,
+  covar_pop(p_size, p_retailprice) as xy, covar_pop(p_partkey, p_retailprice) as zy, avg(p_size) as mx, avg(p_partkey) as mz,
+  avg(p_retailprice) as my from part where p_partkey % 4 <> 0),
+b as (select *, (xy * zz - zy * xz) / (xx * zz - xz * xz) as b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) as b2 from s)
+select p_size::double as p_size, p_partkey::double as p_partkey, {r('p_retailprice', 4)} as y_actual,
+  {r('my + b1 * (p_size - mx) + b2 * (p_partkey - mz)', 4)} as y_predicted from part, b where p_partkey % 4 = 0"""
