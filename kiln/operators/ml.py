@@ -180,7 +180,8 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
 
     ``test_flag`` names a boolean column that fixes the split instead of the
     hash split.  ``order_by`` names columns that put the rows in a total order; the
-    folds are contiguous in it (without: in the order of a seeded hash of the row).  Classification labels are indexed to 0..k-1 in sorted order of
+    folds are contiguous in it (without: in the order of a seeded hash of the row);
+    ``cv_folds=0`` leaves cross-validation out.  Classification labels are indexed to 0..k-1 in sorted order of
     the original labels (kept in ``extra['labels']``); a target of more than
     ``max_classes`` values raises an error.
     """
@@ -228,14 +229,18 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
 
     # cross-validation: linear fits of all folds come from one scan of co-moments; other
     # models are fitted once a fold, the k distributed fits and the final one concurrently.
-    if not order:
+    folds = None
+    if cv_folds and not order:
         order = ["__hash", "__place"]
         ordered = ordered.withColumn("__hash", F.xxhash64(F.lit(random_state + 1), *[F.col(f"`{c}`") for c in
                                                                                     train.columns])) \
             .withColumn("__place", F.monotonically_increasing_id())
-    folds = (P7.contiguous_folds(ordered, cv_folds, order, "label" if problem_type == CLASSIFICATION else None)
-             .drop(*order).repartition(parts).checkpoint(eager=True))
-    if model_name == "Linear Regression" and problem_type == REGRESSION:
+    if cv_folds:
+        folds = (P7.contiguous_folds(ordered, cv_folds, order, "label" if problem_type == CLASSIFICATION else None)
+                 .drop(*order).repartition(parts).checkpoint(eager=True))
+    if not cv_folds:
+        model, cv = make(n_train).fit(train), spark.createDataFrame([], "fold int, score double")
+    elif model_name == "Linear Regression" and problem_type == REGRESSION:
         fits = P7.leave_fold_out_ols(folds, feats, "label", "fold", cv_folds)
         cv = materialize(P7.held_out_scores(folds, fits, feats, "label", "fold"))
         model = make(n_train).fit(train)

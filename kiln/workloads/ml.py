@@ -8,8 +8,8 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from kiln.core import ensure_checkpoint_dir
-from kiln.operators import certificate, ml
+from kiln.core import ensure_checkpoint_dir, materialize
+from kiln.operators import certificate, forest, ml
 from kiln.operators import metrics as M
 from kiln.plans.folds import contiguous_folds
 from kiln.sources import io
@@ -34,14 +34,15 @@ def _fixed_bin(spark, sf):
                      F.col("l_tax").alias("s_n"), (F.col("l_quantity") / 50).alias("s_r"))
 
 
-def _docs(spark, sf):
+def _docs(spark, sf, *keep):
     """Document features joined to their quality/toxicity labels (whole tables)."""
     d = table(spark, sf, "documents").select(
         "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
         F.size(F.split("text", r"\s+")).cast("double").alias("n_words"),
         F.length(F.regexp_replace("text", r"[^0-9]", "")).cast("double").alias("n_digits"),
         (F.length("text") - F.length(F.regexp_replace("text", "\n", ""))).cast("double").alias("n_lines"))
-    return d.join(table(spark, sf, "labels"), "doc_id").drop("doc_id")
+    d = d.join(table(spark, sf, "labels"), "doc_id")
+    return d if "doc_id" in keep else d.drop("doc_id")
 
 
 def _linreg(spark, sf):
@@ -132,7 +133,48 @@ def _logistic_certificate(spark, sf):
     return out.select(names[F.col("class")].alias("class"), "feature", "within")
 
 
+def _part_forest(spark, sf):
+    p = table(spark, sf, "part").select("p_retailprice", "p_size", "p_partkey", (F.col("p_partkey") % 4 == 0).alias("t"))
+    return ml.train_model(p, "p_retailprice", "Random Forest Regressor", ["p_size", "p_partkey"], test_flag="t",
+                          problem_type=ml.REGRESSION, cv_folds=0, scale_features=False)
+
+
+def _forest_walk(spark, sf):
+    """Test rows of a forest and those whose prediction by joins over the node table is the model's."""
+    fit = _part_forest(spark, sf)
+    rows = fit.predictions.select("p_size", "p_partkey", F.col("prediction").alias("given"))
+    walked = forest.predict_regression(rows, forest.node_table(fit.model), fit.features, forest.depth(fit.model),
+                                       "p_partkey")
+    return rows.join(walked, "p_partkey").select(
+        "p_partkey", (F.abs(F.col("prediction") - F.col("given")) <= 1e-9 * F.abs("given")).alias("same"))
+
+
+def _forest_importance(spark, sf):
+    fit = _part_forest(spark, sf)
+    again = forest.impurity_importance(forest.node_table(fit.model), fit.features, forest.VARIANCE)
+    model = fit.importance.select("feature", F.col("importance").alias("given"))
+    return again.join(model, "feature").select(
+        "feature", (F.abs(F.col("importance") - F.col("given")) <= 1e-6).alias("same"))
+
+
+def _forest_votes(spark, sf):
+    """Test documents of a forest of classes, and those whose predicted class has the largest
+    share by joins over the node table."""
+    d = _docs(spark, sf, "doc_id").drop("quality").withColumn("t", F.col("doc_id") % 4 == 0)
+    fit = ml.train_model(d, "toxic", "Random Forest Classifier", ["n_chars", "n_words", "n_digits", "n_lines"],
+                         test_flag="t", problem_type=ml.CLASSIFICATION, cv_folds=0)
+    rows = materialize(fit.predictions.select(*fit.features, "prediction").withColumn(
+        "row", F.monotonically_increasing_id()))
+    share = forest.votes(rows, forest.node_table(fit.model), fit.features, forest.depth(fit.model), "row")
+    best = share.groupBy("row").agg(F.max("share").alias("top"))
+    mine = rows.join(share, "row").filter(F.col("class") == F.col("prediction").cast("int")).join(best, "row")
+    return mine.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("share") >= F.col("top") - 1e-9).alias("same"))
+
+
 QUERIES = {
+    "ml_rf_regression_walk": _forest_walk,
+    "ml_rf_importance_from_nodes": _forest_importance,
+    "ml_rf_classifier_votes": _forest_votes,
     "ml_folds_contiguous": _folds,
     "ml_folds_stratified": lambda s, d: _folds(s, d, "label"),
     "ml_linreg_cv_summary": lambda s, d: rounded(_linreg(s, d).cv_summary, 2),
@@ -316,3 +358,8 @@ SQL["io_predictions_sink"] = f"""with s as (select var_pop(p_size) as xx, var_po
 b as (select *, (xy * zz - zy * xz) / (xx * zz - xz * xz) as b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) as b2 from s)
 select p_size::double as p_size, p_partkey::double as p_partkey, {r('p_retailprice', 4)} as y_actual,
   {r('my + b1 * (p_size - mx) + b2 * (p_partkey - mz)', 4)} as y_predicted from part, b where p_partkey % 4 = 0"""
+SQL["ml_rf_regression_walk"] = """select p_partkey::double as p_partkey, true as same from part
+where p_partkey % 4 = 0 and p_size is not null and p_retailprice is not null"""
+SQL["ml_rf_importance_from_nodes"] = """select unnest(['p_size', 'p_partkey']) as feature, true as same"""
+SQL["ml_rf_classifier_votes"] = """select count(*) as n, count(*) as same from documents join labels using (doc_id)
+where doc_id % 4 = 0 and text is not null and n_chars is not null and toxic is not null"""
