@@ -36,6 +36,27 @@ def id_crc(c: Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
+def row_hash(seed: str, columns: list[str]) -> Column:
+    """A hash of a row's columns, 0 or more; a null counts as absent."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in columns]), 1)
+
+
+def below_share(h: Column, share: Column) -> Column:
+    """Whether a row of hash ``h`` is among a ``share`` of all rows (all from 1 on)."""
+    return (share >= 1) | (h.cast("double") < share * float(1 << 63))
+
+
+def bounded_sample(rows: DataFrame, at_most: int, seed: str = "sample") -> DataFrame:
+    """At most ``at_most`` of the different rows, those of the smallest hashes of all
+    columns; rows that repeat count as one, so neither a hot id nor many copies (nor
+    null ids) make the sample larger or empty.  The same rows on every layout."""
+    h = row_hash(seed, rows.columns)
+    different = rows.agg(F.approx_count_distinct(h)).first()[0]
+    share = F.lit(2.0 * at_most / max(1, different))   # twice, as the count is near only
+    return (rows.withColumn("__h", h).filter(below_share(F.col("__h"), share)).dropDuplicates(["__h"])
+            .orderBy("__h").limit(at_most).drop("__h"))
+
+
 def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write an intermediate as a table in the shared folder of the cluster
     (``spark.checkpoint.dir``) and read it back: the lineage is cut and lost

@@ -1,7 +1,7 @@
 """Quality classifier by co-training.
 
 Two logistic models (numpy) see different views of a document: its text content
-and its metadata (source, language, length).  Each round, each names the
+(measures of the whole text, and hashed words and pairs of neighbouring words) and its metadata (source, language, length).  Each round, each names the
 unlabelled documents it is most sure of, and the other learns from them.  In the
 end both are calibrated on labelled rows and combined; every document is scored.
 """
@@ -18,11 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import WORD_RE, id_crc, shared
+from kiln.llm.common import WORD_RE, bounded_sample, id_crc, row_hash, shared
 
 #: Bounds of the training sample; rounds, and pseudo-labels a round and class.
 LABELLED, UNLABELLED, ROUNDS, PER_ROUND, SURE = 6000, 6000, 4, 200, 0.97
 SOURCE_BUCKETS, LANG_BUCKETS = 32, 16
+#: Hash buckets of words and of pairs of neighbouring words; hashes of words kept in a task.
+WORD_BUCKETS, PAIR_BUCKETS, WORDS_CACHED = 256, 256, 400_000
+MEASURES = 10
 SYMBOLS = re.compile(r"[#*$%&|<>@^~{}\[\]\\_=+]")
 SENTENCE = re.compile(r"[.?:;,]")
 
@@ -32,13 +35,49 @@ def text_view(text: str | None) -> list[float]:
     w = WORD_RE.findall(text) if text else []
     n = len(w)
     if not n:
-        return [0.0] * 10
+        return [0.0] * MEASURES
     distinct = len(set(w))
     return [np.log1p(n), distinct / n, np.log(distinct) / np.log1p(n), len(SYMBOLS.findall(text)) / n,
             text.count("!") / n, sum(map(str.isupper, w)) / n, len(text) / n,
             sum(map(eq, w, w[1:])) / n, len(SENTENCE.findall(text)) / n, text.count("\n") / n]
 
 
+class WordView:
+    """Shares of a text's lower-case words and of its pairs of neighbouring words by hash
+    bucket, as square roots (so that frequent words do not drown the others); zeros for
+    null or blank text.  Hashes of words are kept up to WORDS_CACHED."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def hash(self, word: str) -> int:
+        h = self.known.get(word)
+        if h is None:
+            if len(self.known) >= WORDS_CACHED:
+                self.known.clear()
+            h = self.known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return h
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        found = WORD_RE.findall(text.lower()) if text else []
+        if not found:
+            return np.zeros(WORD_BUCKETS + PAIR_BUCKETS)
+        h = np.array(list(map(self.hash, found)), np.uint64)
+        pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
+        w = np.bincount((h % np.uint64(WORD_BUCKETS)).astype(np.int64), minlength=WORD_BUCKETS)
+        p = np.bincount((pair % np.uint64(PAIR_BUCKETS)).astype(np.int64), minlength=PAIR_BUCKETS)
+        return np.sqrt(np.concatenate([w / len(h), p / max(1, len(pair))]))
+
+
+def content(texts, words: WordView) -> np.ndarray:
+    """The text view of many texts: one row each."""
+    out = np.zeros((len(texts), MEASURES + WORD_BUCKETS + PAIR_BUCKETS))
+    for k, t in enumerate(texts):
+        out[k, :MEASURES] = text_view(t)
+        out[k, MEASURES:] = words(t)
+    return out
+
+
 def meta_view(source: str | None, lang: str | None, n_chars) -> list[float]:
     """Metadata measures; null source, language and length have places of their own."""
     x = [0.0] * (SOURCE_BUCKETS + LANG_BUCKETS + 3)
@@ -83,12 +122,13 @@ class Logistic:
 def _views(rows: DataFrame, extra: str) -> DataFrame:
     """Both views of every row as arrays, beside ``extra`` (a long)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordView()
         for b in batches:
             yield pd.DataFrame({
-                extra: b[extra], "t": [text_view(x) for x in b["text"]],
+                extra: b[extra], "t": [x.astype(np.float32).tobytes() for x in content(b["text"], words)],
                 "m": [meta_view(*x) for x in zip(b["source"], b["lang"], b["n_chars"])]})
     return rows.select(extra, "text", "source", "lang", "n_chars").mapInPandas(
-        run, f"{extra} long, t array<double>, m array<double>")
+        run, f"{extra} long, t binary, m array<double>")
 
 
 def fit(labelled, unlabelled) -> dict:
@@ -119,30 +159,32 @@ def fit(labelled, unlabelled) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Models from documents and labels (doc_id, quality); bounded samples of about
-    LABELLED labelled and UNLABELLED other rows, chosen by a hash of the id.  None
-    if the labels hold fewer than two classes."""
+    """Models from documents and labels (doc_id, quality); at most LABELLED labelled and
+    UNLABELLED other documents, rows that repeat once (``common.bounded_sample``).  Null
+    ids and labels teach nothing; None if the labels hold fewer than two classes."""
+    docs = docs.select("doc_id", "text", "source", "lang", "n_chars")
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(
         F.max("quality").cast("long").alias("quality"))
-    share = min(1.0, LABELLED / max(1, known.count()))
-    some = known.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    # bounded by LABELLED, so it may be broadcast
-    rows = _views(docs.join(F.broadcast(some), "doc_id"), "quality").collect()
+    # at most LABELLED ids, so they may be broadcast; an id may have many documents
+    some = docs.join(F.broadcast(bounded_sample(known, LABELLED)), "doc_id")
+    some = some.dropDuplicates().orderBy(row_hash("text", some.columns)).limit(LABELLED)
+    rows = _views(some, "quality").collect()
     if len({r["quality"] for r in rows}) < 2:
         return None
-    share = min(1.0, UNLABELLED / max(1, docs.count()))
-    other = docs.filter(F.pmod(F.xxhash64(F.lit("other"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    free = _views(other.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").collect()
-    order = sorted(rows, key=lambda r: (r["t"], r["m"]))  # the order of tasks must not matter
+    other = bounded_sample(docs.withColumn("doc_id", F.col("doc_id").cast("long")), UNLABELLED, "other")
+    free = _views(other, "doc_id").collect()
+    order = sorted(rows, key=lambda r: (r["t"], r["m"], r["quality"]))  # the order of tasks must not matter
     free = sorted(free, key=lambda r: (r["t"], r["m"]))
 
-    def column(rs, v, width):
-        return np.array([r[v] for r in rs], dtype=float).reshape(len(rs), width)
+    def text(rs):
+        return np.frombuffer(b"".join(r["t"] for r in rs), np.float32).reshape(len(rs), -1).astype(float)
+
+    def meta(rs):
+        return np.array([r["m"] for r in rs], dtype=float)
 
-    width = {"t": 10, "m": SOURCE_BUCKETS + LANG_BUCKETS + 3}
-    return fit((column(order, "t", width["t"]), column(order, "m", width["m"]),
-                np.array([float(r["quality"] == 1) for r in order])),
-               (column(free, "t", width["t"]), column(free, "m", width["m"])))
+    if not free:
+        free = order[:1]    # nothing but labelled rows: one of them again changes nothing of weight
+    return fit((text(order), meta(order), np.array([float(r["quality"] == 1) for r in order])), (text(free), meta(free)))
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -153,12 +195,12 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
     @F.pandas_udf("p_text double, p_meta double, score double")
     def value(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model = given()
+        model, words = given(), WordView()
         for text, source, lang, n_chars in batches:
             if model is None or not len(text):
                 yield pd.DataFrame({c: np.full(len(text), 0.5) for c in ("p_text", "p_meta", "score")})
                 continue
-            t = model["t"].logit(np.array([text_view(x) for x in text]))
+            t = model["t"].logit(content(text, words))
             m = model["m"].logit(np.array([meta_view(*x) for x in zip(source, lang, n_chars)]))
             both = model["both"].logit(np.column_stack([t, m]))
             s = Logistic.sigmoid

@@ -18,10 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.common import id_crc, shared
+from kiln.llm.common import below_share, id_crc, row_hash, shared
 
 RUNS = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 4
@@ -162,19 +162,23 @@ class Scorer:
 def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     """Model from rows (doc_id, text, lang); rows with null text or lang are left out.
 
-    About ``docs_per_lang`` rows of each language are read, chosen by a hash of
-    the id (of the text where it is null); every word and n-gram of them and every
-    language is kept.  No rows: a model that answers ``und`` for everything.
+    At most ``docs_per_lang`` different rows of each language are read, those of the
+    smallest hashes of id and text (rows that repeat count as one); every word and
+    n-gram of them and every language is kept.  No rows: a model that answers ``und``
+    for everything.
     """
     rows = labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    per_lang = rows.groupBy("lang").count()
-    langs = sorted(r["lang"] for r in per_lang.select("lang").collect())
+    rows = rows.withColumn("__h", row_hash("sample", ["doc_id", "text"]))
+    # one row a language; the count of different rows is near only, hence half as many again
+    per_lang = rows.groupBy("lang").agg((1.5 * docs_per_lang / F.approx_count_distinct("__h")).alias("__share"))
+    per_lang = per_lang.toArrow()
+    langs = sorted(per_lang["lang"].to_pylist())
     if not langs:
         return Model([])
-    share = F.least(F.lit(1.0), F.lit(float(docs_per_lang)) / F.col("count"))
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(1 << 20))
-    sample = (rows.join(F.broadcast(per_lang.select("lang", share.alias("share"))), "lang")
-              .filter(place < F.col("share") * (1 << 20)).select("lang", "text"))
+    some = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(per_lang)), "lang").filter(
+        below_share(F.col("__h"), F.col("__share"))).dropDuplicates(["lang", "__h"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("__h"))
+    sample = some.withColumn("__n", first).filter(F.col("__n") <= docs_per_lang).repartition("__h").select("lang", "text")
     counts = (sample.mapInPandas(_counts, "kind string, lang string, gram string, n long")
               .groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))).toArrow()
     number = {x: i for i, x in enumerate(langs)}

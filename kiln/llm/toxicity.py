@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import id_crc, shared
+from kiln.llm.common import bounded_sample, id_crc, row_hash, shared
 
 LETTERS = re.compile(r"[^\W\d_]+")
 HASHED = 1 << 20
@@ -37,19 +37,14 @@ def word_features(word: str) -> tuple[int, ...]:
     return tuple(found)
 
 
-def _sample(rows: DataFrame, at_most: int) -> DataFrame:
-    """About ``at_most`` rows, chosen by a hash of the id."""
-    share = min(1.0, at_most / max(1, rows.count()))
-    return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-
-
 def _collect_features(rows: DataFrame) -> list[np.ndarray]:
     def run(batches):
         for b in batches:
             yield pd.DataFrame({"f": [np.unique(np.array(
                 [h for w in set(LETTERS.findall((t or "").lower())) for h in word_features(w)], dtype=np.int32)
             ).tobytes() for t in b["text"]]})
-    return [np.frombuffer(r["f"], np.int32) for r in rows.select("text").mapInPandas(run, "f binary").collect()]
+    found = rows.select("text").mapInPandas(run, "f binary").collect()
+    return [np.frombuffer(f, np.int32) for f in sorted(r["f"] for r in found)]  # the order of tasks must not matter
 
 
 def _matrix(docs, columns):
@@ -96,8 +91,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """Model from documents (doc_id, text) and labels (doc_id, toxic).
 
-    At most about POSITIVES toxic rows and UNLABELLED documents are read; the class
-    prior is the toxic share of all given labels.  Null texts count as empty, null
+    At most POSITIVES toxic documents and UNLABELLED documents are learned from, rows
+    that repeat once (``common.bounded_sample``); the class prior is the toxic share of all given labels.  Null texts count as empty, null
     labels are left out.  Without a toxic label the model scores everything 0.
     """
     known = labels.filter("toxic is not null and doc_id is not null")
@@ -105,10 +100,12 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     if not r["p"]:
         return {"weights": {}, "bias": -30.0}
     prior = min(max(r["p"], 0.001), 0.9)
-    toxic = _sample(known.filter("toxic = 1").select("doc_id").distinct(), POSITIVES)
-    # the sample is bounded by POSITIVES, so it may be broadcast
-    positive = _collect_features(docs.join(F.broadcast(toxic), "doc_id", "left_semi"))
-    unlabelled = _collect_features(_sample(docs, UNLABELLED))
+    docs = docs.select("doc_id", "text")
+    toxic = bounded_sample(known.filter("toxic = 1").select("doc_id"), POSITIVES)
+    # at most POSITIVES ids, so they may be broadcast; an id may have many documents
+    of_toxic = docs.join(F.broadcast(toxic), "doc_id", "left_semi")
+    positive = _collect_features(of_toxic.dropDuplicates().orderBy(row_hash("text", docs.columns)).limit(POSITIVES))
+    unlabelled = _collect_features(bounded_sample(docs, UNLABELLED))
     if not positive or not unlabelled:
         return {"weights": {}, "bias": -30.0}
     return fit(positive, unlabelled, prior)
