@@ -54,7 +54,7 @@ def bounded_sample(rows: DataFrame, at_most: int, seed: str = "sample") -> DataF
     different = rows.agg(F.approx_count_distinct(h)).first()[0]
     share = F.lit(2.0 * at_most / max(1, different))   # twice, as the count is near only
     return (rows.withColumn("__h", h).filter(below_share(F.col("__h"), share)).dropDuplicates(["__h"])
-            .orderBy("__h").limit(at_most).drop("__h"))
+            .orderBy("__h").limit(at_most).drop("__h").repartition(max(1, at_most // 1000)))
 
 
 def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:

@@ -27,6 +27,8 @@ RUNS = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 4
 #: Training rows of a language; a documented parameter of ``train``.
 DOCS_PER_LANG = 4000
+#: Training rows whose words and n-grams one task counts.
+ROWS_PER_TASK = 1000
 #: Words of the per-worker cache of dense vectors, and its largest count of numbers.
 CACHE_ROWS, CACHE_NUMBERS = 200_000, 20_000_000
 UNKNOWN = "und"
@@ -178,7 +180,9 @@ def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     some = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(per_lang)), "lang").filter(
         below_share(F.col("__h"), F.col("__share"))).dropDuplicates(["lang", "__h"])
     first = F.row_number().over(Window.partitionBy("lang").orderBy("__h"))
-    sample = some.withColumn("__n", first).filter(F.col("__n") <= docs_per_lang).repartition("__h").select("lang", "text")
+    tasks = max(1, len(langs) * docs_per_lang // ROWS_PER_TASK)  # small ones: their counters stand in Python
+    sample = some.withColumn("__n", first).filter(F.col("__n") <= docs_per_lang).repartition(tasks, "__h").select(
+        "lang", "text")
     counts = (sample.mapInPandas(_counts, "kind string, lang string, gram string, n long")
               .groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))).toArrow()
     number = {x: i for i, x in enumerate(langs)}
