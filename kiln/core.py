@@ -18,6 +18,8 @@ DATETIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
 PARTITION_MB = 128
+#: Tables of one row per group are broadcast up to this many groups.
+BROADCAST_GROUPS = 10_000
 
 
 def shuffle_partitions_for(input_bytes: int, partition_mb: int = PARTITION_MB) -> int:
@@ -183,6 +185,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few_rows(df: DataFrame) -> bool:
+    """Whether a (written) table of one row per group is small enough to broadcast."""
+    return df.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+
+
 def epoch_micros(c: Column, dt: T.DataType) -> Column:
     """Microseconds since 1970-01-01 00:00, independent of the session time zone
     for wall-clock (NTZ) values; the instant for zoned timestamps."""

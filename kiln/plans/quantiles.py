@@ -7,10 +7,10 @@ Here the exact order statistics are found by narrowing a value bracket:
 1. ``percentile_approx`` over a fixed grid of probabilities (a mergeable sketch,
    partially aggregated on every partition) gives, per (group, prob), a value
    bracket that must contain the wanted ranks.
-2. One counting pass counts the rows below, at, between and above the two grid
-   values, which places every wanted rank exactly: on a grid value (solved, however
+2. One counting pass counts the rows at and between the grid values of all wanted
+   ranks, which places every rank exactly: on a grid value (solved, however
    many rows tie there) or strictly between two of them.
-3. Repeat on the rows strictly inside the brackets until every bracket holds at most
+3. Repeat on the rows strictly inside the brackets (written once a round) until every bracket holds at most
    ``max_candidates`` rows; every round takes at least one value out of a bracket, so
    this ends without a limit of rounds.  Then a window numbers those rows and the two
    order statistics around rank (n-1)p are interpolated (pandas / ``quantile_cont``).
@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.core import col_list, join_small
+from kiln.core import col_list, few_rows, join_small, materialize
 
 GRID = 1000
 ACCURACY = 20000
@@ -53,8 +53,9 @@ def _solve(data: DataFrame, keys: list[str], state: DataFrame, labels: list, bc:
     its value once a bracket end turned out to be it (then ``m{j}`` = 0).
 
     Passes over the data never multiply rows by the number of targets: the
-    first sketch is per key, counts are conditional aggregates per target, and
-    only rows inside a (narrow) bracket are expanded at the end.
+    first sketch is per key, a row is counted once by its place among all bracket
+    ends of its key, and only rows inside a (narrow) bracket are written for a
+    further round and expanded at the end.
     ``data`` has keys + ``__v`` (non-null).  Returns keys, __lab, __q.
     """
     idx = range(len(labels))
@@ -69,11 +70,18 @@ def _solve(data: DataFrame, keys: list[str], state: DataFrame, labels: list, bc:
         return (F.col(f"x{j}").isNull() & (F.col(f"lo{j}").isNull() | (F.col("__v") > F.col(f"lo{j}")))
                 & (F.col(f"hi{j}").isNull() | (F.col("__v") < F.col(f"hi{j}"))))
 
+    def bracketed(st):
+        """Rows inside a bracket of their key, beside its ends."""
+        some = F.lit(False)
+        for j in jdx:
+            some = some | inside(j)
+        return join_small(data, st.select(*keys, *[f"{c}{j}" for j in jdx for c in ("x", "lo", "hi")]), keys,
+                          broadcast_small=bc).filter(some)
+
     def expanded(st):
         """(keys, __i, __v) for rows inside the bracket of target __i."""
-        j = join_small(data, st, keys, broadcast_small=bc)
         arr = F.array(*[F.when(inside(i), F.lit(i)) for i in jdx])
-        return j.select(*keys, "__v", F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("__i"))
+        return bracketed(st).select(*keys, "__v", F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("__i"))
 
     grid = [g / GRID for g in range(1, GRID)]
     first = True
@@ -87,6 +95,8 @@ def _solve(data: DataFrame, keys: list[str], state: DataFrame, labels: list, bc:
             st2 = join_small(state, sk, keys, broadcast_small=bc)
             gcol = {j: F.col("__g") for j in jdx}
         else:
+            # rows outside all brackets are done with
+            data = materialize(bracketed(state).select(*keys, "__v"))
             sk = (expanded(state).groupBy(*keys, "__i")
                   .agg(F.percentile_approx("__v", grid, ACCURACY).alias("__g")))
             wide = sk.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == j, F.col("__g"))).alias(f"__g{j}")
@@ -97,17 +107,38 @@ def _solve(data: DataFrame, keys: list[str], state: DataFrame, labels: list, bc:
             nlo, nhi = _bracket(gcol[j], F.col(f"r{j}").cast("double"), F.col(f"m{j}").cast("double"))
             st2 = st2.withColumns({f"nlo{j}": nlo, f"nhi{j}": nhi})
         st2 = st2.drop("__g", *[f"__g{j}" for j in jdx])
-        rows = join_small(data, st2.select(*keys, *[c for j in jdx for c in (
-            f"x{j}", f"lo{j}", f"hi{j}", f"nlo{j}", f"nhi{j}")]), keys, broadcast_small=bc)
-        v = F.col("__v")
-        tallies = rows.groupBy(*keys).agg(*[F.count_if(F.coalesce(cond, F.lit(False)) & inside(j)).alias(f"{name}{j}")
-                                            for j in jdx for name, cond in (
-            ("below", v < F.col(f"nlo{j}")), ("at_lo", v == F.col(f"nlo{j}")),
-            ("above", v > F.col(f"nhi{j}")), ("at_hi", (v == F.col(f"nhi{j}")) & ~v.eqNullSafe(F.col(f"nlo{j}"))))])
-        st3 = join_small(st2, tallies, keys, broadcast_small=bc)
+        ends = F.array(*[F.when(F.col(f"x{j}").isNull(), F.col(f"{c}{j}")) for j in jdx for c in ("lo", "nlo", "nhi", "hi")])
+        # the state is tiny (one row per group); pin it to keep the plan short
+        st2 = materialize(st2.withColumn("__ends", F.array_sort(F.array_distinct(F.filter(ends, lambda e: e.isNotNull())))))
+        width = st2.agg(F.max(F.size("__ends"))).first()[0]
+        # the place of a row among the ends e0 < e1 < ... of its key: odd on an end, even between two
+        rows = join_small(data, st2.select(*keys, *[F.get("__ends", F.lit(i)).alias(f"__e{i}") for i in range(width)]),
+                          keys, broadcast_small=bc)
+        place = F.lit(0)
+        for i in range(width):
+            place = place + F.when(F.col("__v") > F.col(f"__e{i}"), 2).when(F.col("__v") == F.col(f"__e{i}"), 1).otherwise(0)
+        tallies = rows.groupBy(*keys, place.alias("__place")).agg(F.count(F.lit(1)).alias("__c")).groupBy(*keys).agg(
+            F.collect_list(F.struct("__place", "__c")).alias("__tally"))       # twice the ends and one
+        st3 = join_small(st2, tallies, keys, broadcast_small=bc, how="left")     # a solved key has no rows left
+
+        def at(end):
+            return 2 * F.array_position("__ends", end).cast("int") - 1
+
+        def counted(cond):
+            return F.coalesce(F.aggregate(F.filter("__tally", lambda e: F.coalesce(cond(e["__place"]), F.lit(False))),
+                                          F.lit(0).cast("long"), lambda a, e: a + e["__c"]), F.lit(0).cast("long"))
+
+        def within(j, cond):
+            lo, hi = F.col(f"lo{j}"), F.col(f"hi{j}")
+            return counted(lambda e: cond(e) & (lo.isNull() | (e > at(lo))) & (hi.isNull() | (e < at(hi))))
+
         cols = [*keys, "__n", *[c for i in idx for c in (f"t{i}lo", f"t{i}hi", f"f{i}")]]
         for j in jdx:
             r, m, lo, hi, nlo, nhi = (F.col(f"{c}{j}") for c in ("r", "m", "lo", "hi", "nlo", "nhi"))
+            st3 = st3.withColumns({
+                f"below{j}": within(j, lambda e: e < at(nlo)), f"at_lo{j}": within(j, lambda e: e == at(nlo)),
+                f"above{j}": within(j, lambda e: e > at(nhi)),
+                f"at_hi{j}": within(j, lambda e: (e == at(nhi)) & ~nhi.eqNullSafe(nlo))})
             to_lo = F.col(f"below{j}") + F.col(f"at_lo{j}")          # rows up to and with nlo
             to_hi = m - F.col(f"above{j}") - F.col(f"at_hi{j}")      # rows before nhi
             zones = [(F.col(f"x{j}").isNotNull(), (r, lo, hi, F.col(f"x{j}"), F.lit(0))),
@@ -121,8 +152,7 @@ def _solve(data: DataFrame, keys: list[str], state: DataFrame, labels: list, bc:
                 for cond, vals in zones[1:]:
                     out = out.when(cond, vals[k])
                 cols.append(out.cast("long" if name in "rm" else "double").alias(f"{name}{j}"))
-        # the state is tiny (one row per group); pin it to keep the plan short
-        state = st3.select(*cols).checkpoint(eager=True)
+        state = materialize(st3.select(*cols))
         first = False
 
     lab_arr = F.array(*[F.lit(x) for x in labels])
@@ -158,17 +188,19 @@ def _solve(data: DataFrame, keys: list[str], state: DataFrame, labels: list, bc:
                  (value[2 * i] + (value[2 * i + 1] - value[2 * i]) * F.col(f"f{i}")).alias("__q")) for i in idx])))
 
 
-def _prepare(long_df: DataFrame, keys: list[str], value: str):
-    data = long_df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    counts = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    return data, counts
+def _prepare(long_df: DataFrame, keys: list[str], value: str, broadcast_state: bool | None):
+    """(non-null rows, every group with its count, whether to broadcast tables of one row a group)."""
+    rows = long_df.select(*keys, F.col(value).cast("double").alias("__v"))
+    groups = materialize(rows.groupBy(*keys).agg(F.count("__v").alias("__n")))
+    bc = not keys or few_rows(groups) if broadcast_state is None else broadcast_state
+    return rows.filter(F.col("__v").isNotNull()), groups, bc
 
 
-def _complete(long_df, keys, labels_df, res, lab_name):
+def _complete(groups, keys, labels_df, res, lab_name, bc):
     """Every group of the input (even all-NULL ones) gets a row per target."""
     if keys:
-        full = long_df.select(*keys).distinct().crossJoin(F.broadcast(labels_df))
-        res = join_small(full, res, keys + ["__lab"], how="left")
+        full = groups.select(*keys).crossJoin(F.broadcast(labels_df))
+        res = join_small(full, res, keys + ["__lab"], broadcast_small=bc, how="left")
     else:
         res = labels_df.join(res, "__lab", "left")
     return res.withColumnRenamed("__lab", lab_name)
@@ -182,7 +214,7 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str] | str | None, value:
     Returns ``keys..., prob, quantile`` (NULL when a group has no non-null value).
     ``broadcast_state``: the per-(group, prob) state has one row per group and
     prob; broadcast it when the caller knows the group count is small (default:
-    only when there are no keys).  ``approx=True`` stops after the sketch: one
+    when the counted groups are few).  ``approx=True`` stops after the sketch: one
     pass, values are data points within rank error 1/ACCURACY (not interpolated).
     """
     keys = col_list(keys)
@@ -193,9 +225,9 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str] | str | None, value:
         return sk.select(*keys, F.posexplode("__q").alias("__i", "quantile")).select(
             *keys, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("__i") + 1).alias("prob"),
             "quantile")
-    bc = (not keys) if broadcast_state is None else broadcast_state
     spark = long_df.sparkSession
-    data, counts = _prepare(long_df, keys, value)
+    data, groups, bc = _prepare(long_df, keys, value, broadcast_state)
+    counts = groups.filter("__n > 0") if keys else groups
     probs = [float(p) for p in probs]
     labels = spark.createDataFrame([(p,) for p in probs], "__lab double")
     cols = []
@@ -205,7 +237,7 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str] | str | None, value:
                  (h - F.floor(h)).alias(f"f{i}")]
     state = counts.select(*keys, "__n", *cols)
     res = _solve(data, keys, state, probs, bc, max_candidates).withColumnRenamed("__q", "quantile")
-    return _complete(long_df, keys, labels, res, "prob")
+    return _complete(groups, keys, labels, res, "prob", bc)
 
 
 def order_statistics(long_df: DataFrame, keys: Sequence[str] | str | None, value: str,
@@ -216,9 +248,9 @@ def order_statistics(long_df: DataFrame, keys: Sequence[str] | str | None, value
     Returns ``keys..., stat, value``.
     """
     keys = col_list(keys)
-    bc = (not keys) if broadcast_state is None else broadcast_state
     spark = long_df.sparkSession
-    data, counts = _prepare(long_df, keys, value)
+    data, groups, bc = _prepare(long_df, keys, value, broadcast_state)
+    counts = groups.filter("__n > 0") if keys else groups
     names = list(ranks)
     labels = spark.createDataFrame([(n,) for n in names], "__lab string")
     cols = []
@@ -227,7 +259,7 @@ def order_statistics(long_df: DataFrame, keys: Sequence[str] | str | None, value
         cols += [rk.alias(f"t{i}lo"), rk.alias(f"t{i}hi"), F.lit(0.0).alias(f"f{i}")]
     state = counts.select(*keys, "__n", *cols)
     res = _solve(data, keys, state, names, bc, max_candidates).withColumnRenamed("__q", "value")
-    return _complete(long_df, keys, labels, res, "stat")
+    return _complete(groups, keys, labels, res, "stat", bc)
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
