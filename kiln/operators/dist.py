@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiln.core import join_small, numeric_columns
+from kiln.core import few_rows, join_small, materialize, numeric_columns
 from kiln.plans.quantiles import exact_quantiles
 from kiln.plans.stats import to_long
 
@@ -134,7 +134,9 @@ def box_stats_long(long: DataFrame, keys: list[str], with_mean: bool = False,
     qw = (qw.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("fence_low", F.col("q1") - whisker * F.col("iqr"))
           .withColumn("fence_high", F.col("q3") + whisker * F.col("iqr")))
-    j = join_small(data, qw.select(*keys, "fence_low", "fence_high"), keys)
+    qw = materialize(qw)        # one row per key; rows meet their fences without a shuffle while the keys are few
+    bc = few_rows(qw)
+    j = join_small(data, qw.select(*keys, "fence_low", "fence_high"), keys, broadcast_small=bc)
     inside = (F.col("value") >= F.col("fence_low")) & (F.col("value") <= F.col("fence_high"))
     aggs = [F.count(F.lit(1)).alias("n"),
             F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
@@ -143,7 +145,7 @@ def box_stats_long(long: DataFrame, keys: list[str], with_mean: bool = False,
     if with_mean:
         aggs.append(F.avg("value").alias("mean"))
     a = j.groupBy(*keys).agg(*aggs)
-    stats = join_small(qw, a, keys)
+    stats = join_small(qw, a, keys, broadcast_small=bc)
     half = NOTCH * F.col("iqr") / F.sqrt(F.col("n").cast("double"))
     stats = stats.withColumn("notch_low", F.col("median") - half).withColumn("notch_high", F.col("median") + half)
     outliers = j.filter(~inside).select(*keys, "value")

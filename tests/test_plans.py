@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
@@ -195,3 +196,20 @@ def test_approx_quantiles_close(spark):
                                                             [0.1, 0.5, 0.9]).collect()}
     for p in e:
         assert abs(a[p] - e[p]) / e[p] < 0.01
+
+
+def test_box_statistics_send_no_rows_to_the_task_of_their_group(spark):
+    """Rows meet the brackets and fences of their group by broadcast: a group of most of the rows is in no one task."""
+    from kiln.operators.dist import box_stats_long
+    df = spark.range(0, 30000).select(F.when(F.col("id") % 50 == 0, "rare").otherwise("hot").alias("k"),
+                                      F.pmod(F.xxhash64("id"), F.lit(7919)).cast("double").alias("value"))
+    stats, outliers = box_stats_long(df, ["k"])
+    for frame in (stats, outliers):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        joins = [x for x in plan.splitlines() if "Join" in x and "LogicalRDD" not in x]
+        assert joins and all("broadcast" in x for x in joins)
+    q = exact_quantiles(df, ["k"], "value", [0.25, 0.5], max_candidates=100)
+    got = {(r["k"], r["prob"]): r["quantile"] for r in q.collect()}
+    for k in ("hot", "rare"):
+        v = [r["value"] for r in df.filter(F.col("k") == k).collect()]
+        assert [got[k, p] for p in (0.25, 0.5)] == pytest.approx(list(np.quantile(v, [0.25, 0.5])))
