@@ -38,6 +38,7 @@ TREE_DEPTH = 30
 FOREST_TREES = 100
 BOOSTED_ROUNDS = 100
 ROWS_PER_PARTITION = 50_000
+FOREST_ROWS_PER_PARTITION = 10_000
 MAX_ROWS_PER_PARTITION = 2_000_000
 MAX_CLASSES = 10_000
 
@@ -78,28 +79,29 @@ def prepare_features(df: DataFrame, target: str, feature_cols: Sequence[str] | N
     return out, feats
 
 
-def _ranked(df: DataFrame, seed: int, by: list[str], key: Sequence[str] | None) -> DataFrame:
+def _ranked(df: DataFrame, seed: int, by: list[str], key: Sequence[str] | None, pinned: bool = False) -> DataFrame:
     """Adds ``__i``: the rank (from 0, per ``by``) in the order of a hash of ``key``.
 
     Without a key the whole row is hashed and rows that repeat are told apart by
-    their place in the input, pinned with a checkpoint; which of equal rows gets
+    their place in the input, pinned with a checkpoint (unless ``pinned`` before); which of equal rows gets
     which rank is arbitrary, so the ranked rows are the same in every run.
     """
     cols = list(key) if key else df.columns
     h = df.withColumn("__h", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in cols]))
     if key:
         return ordered_index(h, ["__h", *key], by=by, idx_col="__i").drop("__h")
-    h = materialize(h.withColumn("__row", F.monotonically_increasing_id()))
+    h = h.withColumn("__row", F.monotonically_increasing_id())
+    h = h if pinned else materialize(h)
     return ordered_index(h, ["__h", "__row"], by=by, idx_col="__i").drop("__h", "__row")
 
 
 def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, stratify: bool = False,
-          label: str = "label", key: Sequence[str] | None = None) -> DataFrame:
+          label: str = "label", key: Sequence[str] | None = None, pinned: bool = False) -> DataFrame:
     """Adds boolean ``is_test``: the ceil(test_size * n) rows of the smallest hash
     rank (per label when ``stratify``), also where rows repeat.  ``key`` names the
-    columns of a unique key, if there is one."""
+    columns of a unique key, if there is one; ``pinned``: ``df`` is a written table."""
     by = [label] if stratify else []
-    ranked = _ranked(df, seed, by, key)
+    ranked = _ranked(df, seed, by, key, pinned)
     sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) * test_size).alias("__test"))
     return join_small(ranked, sizes, by).withColumn("is_test", F.col("__i") < F.col("__test")).drop("__i", "__test")
 
@@ -114,12 +116,14 @@ def fold_column(df: DataFrame, k: int, seed: int = 42, stratify: bool = False, l
 def get_estimator(name: str, problem_type: str, seed: int = 42, n_train: int | None = None,
                   n_classes: int = 2, tree_depth: int = TREE_DEPTH):
     """Registry of estimators by name (unknown names raise).  ``tree_depth`` bounds
-    the trees of a forest (Spark allows up to 30)."""
+    the trees of a forest (Spark allows up to 30).  A row keeps the node it has reached
+    in every tree of a forest, so that a level costs one step a tree and no task is sent
+    the trees; the trees are the same."""
     if problem_type == REGRESSION:
         if name == "Linear Regression":
             return LinearRegression(regParam=0.0, solver="normal")
         if name == "Random Forest Regressor":
-            return RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=tree_depth, seed=seed)
+            return RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=tree_depth, seed=seed, cacheNodeIds=True)
         if name in ("XGBoost Regressor", "Gradient Boosted Regressor"):
             return GBTRegressor(maxIter=BOOSTED_ROUNDS, maxDepth=6, stepSize=0.3, seed=seed)
     elif problem_type == CLASSIFICATION:
@@ -127,7 +131,7 @@ def get_estimator(name: str, problem_type: str, seed: int = 42, n_train: int | N
             reg = 1.0 / max(int(n_train or 1), 1)      # C = 1 in the (1/n) loss scaling
             return LogisticRegression(maxIter=1000, regParam=reg, elasticNetParam=0.0, standardization=False)
         if name == "Random Forest Classifier":
-            return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=tree_depth, seed=seed)
+            return RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=tree_depth, seed=seed, cacheNodeIds=True)
         if name in ("XGBoost", "XGBoost Classifier", "Gradient Boosted Classifier"):
             gbt = GBTClassifier(maxIter=BOOSTED_ROUNDS, maxDepth=6, stepSize=0.3, seed=seed)
             return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
@@ -197,10 +201,13 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
                        *[F.col(f"`{c}`").alias(o) for c, o in zip(order_by or [], order)],
                        *([F.col("__test").alias("is_test")] if test_flag else [])).dropna(
         how="any", subset=[*feats, "label", *(["is_test"] if test_flag else [])])
-    prepared = data if test_flag else split(data, test_size, random_state, stratify=problem_type == CLASSIFICATION)
+    # the prepared rows are written once: counts, labels, split and folds read them from there
+    data = materialize(data)
+    prepared = data if test_flag else split(data, test_size, random_state, stratify=problem_type == CLASSIFICATION,
+                                            pinned=True)
     labels = None
     if problem_type == CLASSIFICATION and label_index:
-        labs = prepared.select("label").distinct()
+        labs = data.select("label").distinct()
         labels = sorted(r["label"] for r in labs.limit(max_classes + 1).collect())
         if len(labels) > max_classes:
             raise ValueError(f"more than {max_classes} classes in {target!r}")
@@ -212,8 +219,10 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
     # iterative fits launch jobs per round and tiny partitions only add task overhead: up
     # to the cluster's parallelism ROWS_PER_PARTITION rows each, beyond it as many as
     # MAX_ROWS_PER_PARTITION needs
-    n_all = prepared.count()
-    parts = max(1, min(spark.sparkContext.defaultParallelism, -(-n_all // ROWS_PER_PARTITION)),
+    n_all = data.count()
+    forest = model_name.startswith("Random Forest")
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(1, min(cores, -(-n_all // (FOREST_ROWS_PER_PARTITION if forest else ROWS_PER_PARTITION))),
                 -(-n_all // MAX_ROWS_PER_PARTITION))
     prepared = prepared.repartition(parts).checkpoint(eager=True)
     ordered = prepared.filter(~F.col("is_test")).drop("is_test")
@@ -228,7 +237,10 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
                          scale, n)
 
     # cross-validation: linear fits of all folds come from one scan of co-moments; other
-    # models are fitted once a fold, the k distributed fits and the final one concurrently.
+    # models are fitted once a fold, side by side as far as they leave cores free.  Fits that
+    # fill the cores, and forests, follow one another: one fit's cached rows and one fold's
+    # forest are held at a time.
+    at_once = 1 if forest else max(1, min(cv_folds + 1, cores // parts))
     folds = None
     if cv_folds and not order:
         order = ["__hash", "__place"]
@@ -252,7 +264,7 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
             s = _score(fit.transform(folds.filter(F.col("fold") == k).drop("fold")), problem_type)
             return s.select(F.lit(k + 1).alias("fold"), "score").checkpoint(eager=True)
 
-        with ThreadPoolExecutor(max_workers=cv_folds + 1) as pool:
+        with ThreadPoolExecutor(max_workers=at_once) as pool:
             final = pool.submit(lambda: make(n_train).fit(train))
             scores = list(pool.map(fold_score, range(cv_folds)))
             model = final.result()
