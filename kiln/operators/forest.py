@@ -8,6 +8,7 @@ driver; it has one row a node.  All features are numeric (``x <= threshold`` goe
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.ml import PipelineModel
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from kiln.core import ensure_checkpoint_dir
 
 VARIANCE, GINI = "variance", "gini"
-#: A node table of at most this many rows (about 50 bytes each) is broadcast; a larger one is joined by shuffle.
+#: Trees of together at most this many nodes (about 50 bytes each) are broadcast at once.
 BROADCAST_NODES = 1_000_000
 
 
@@ -47,11 +48,29 @@ def depth(model: PipelineModel) -> int:
 def leaves(df: DataFrame, nodes: DataFrame, features: Sequence[str], levels: int, row: str) -> DataFrame:
     """``row``, ``tree``, ``stats`` of the leaf that every row reaches in every tree.
 
-    A row meets its trees' roots and goes down one level a join.  Nothing is shuffled while
-    the node table is small enough to broadcast (its rows are counted first).  A NULL feature
-    goes right, as a NaN does.
+    A row meets its trees' roots and goes down one level a join.  The trees are taken in
+    groups whose nodes are few enough to broadcast (counted first, one number a tree), so
+    nothing is shuffled; only trees too large by themselves are joined by shuffle.  A NULL
+    feature goes right, as a NaN does.
     """
-    hint = F.broadcast if nodes.count() <= BROADCAST_NODES else (lambda d: d)
+    sizes = nodes.groupBy("tree").count().orderBy("tree").collect()         # one row a tree
+    large = [tree for tree, count in sizes if count > BROADCAST_NODES]
+    groups, held = [], 0
+    for tree, count in sizes:
+        if count > BROADCAST_NODES:
+            continue
+        if not groups or held + count > BROADCAST_NODES:
+            groups.append([])
+            held = 0
+        groups[-1].append(tree)
+        held += count
+    parts = [_group_leaves(df, nodes.filter(F.col("tree").isin(g)), features, levels, row, F.broadcast) for g in groups]
+    if large or not parts:
+        parts.append(_group_leaves(df, nodes.filter(F.col("tree").isin(large)), features, levels, row, lambda d: d))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _group_leaves(df: DataFrame, nodes: DataFrame, features: Sequence[str], levels: int, row: str, hint) -> DataFrame:
     inner = nodes.filter("left is not null").select(
         F.col("tree").alias("__t"), F.col("node").alias("__n"), "feature", "threshold", "left", "right")
     x = F.array(*[F.col(f"`{c}`").cast("double") for c in features])

@@ -87,3 +87,34 @@ def test_trees_without_a_split(spark):
     assert [r["prediction"] for r in forest.predict_regression(rows, nodes, ["a"], 0, "row").collect()] == [5.0]
     assert [r["importance"] for r in forest.impurity_importance(nodes, ["a"], forest.VARIANCE).collect()] == [0.0]
     assert res.cv_scores.count() == 0
+
+
+def test_trees_in_groups_that_are_broadcast(spark, monkeypatch):
+    """A node table beyond the bound is taken a few trees at a time; no level shuffles the rows."""
+    res, nodes, rows = fitted(spark, "y", "Random Forest Regressor")
+    levels = forest.depth(res.model)
+    monkeypatch.setattr(forest, "BROADCAST_NODES", nodes.count() // 2)
+    ends = forest.leaves(rows, nodes, res.features, levels, "row")
+    plan = ends._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert len(joins) > 2 * levels and all("broadcast" in x for x in joins if "LeftOuter" in x)
+    assert ends.count() == rows.count() * ml.FOREST_TREES
+
+
+@pytest.mark.parametrize("name", ["Random Forest Regressor", "Random Forest Classifier"])
+def test_one_forest_at_a_time(spark, name, monkeypatch):
+    """Folds' forests follow one another, and a row keeps its node of every tree between levels."""
+    from concurrent.futures import ThreadPoolExecutor
+    monkeypatch.setattr(ml, "FOREST_TREES", 3)
+    seen = []
+
+    def pool(max_workers):
+        seen.append(max_workers)
+        return ThreadPoolExecutor(max_workers=max_workers)
+
+    monkeypatch.setattr(ml, "ThreadPoolExecutor", pool)
+    kind, target = (ml.REGRESSION, "y") if "Regressor" in name else (ml.CLASSIFICATION, "k")
+    res = ml.train_model(data(spark, 120).select("a", "b", target), target, name, problem_type=kind, cv_folds=2, tree_depth=3)
+    assert seen == [1]
+    assert res.cv_scores.count() == 2
+    assert ml.get_estimator(name, kind).getCacheNodeIds()
