@@ -79,29 +79,28 @@ def prepare_features(df: DataFrame, target: str, feature_cols: Sequence[str] | N
     return out, feats
 
 
-def _ranked(df: DataFrame, seed: int, by: list[str], key: Sequence[str] | None, pinned: bool = False) -> DataFrame:
+def _ranked(df: DataFrame, seed: int, by: list[str], key: Sequence[str] | None) -> DataFrame:
     """Adds ``__i``: the rank (from 0, per ``by``) in the order of a hash of ``key``.
 
     Without a key the whole row is hashed and rows that repeat are told apart by
-    their place in the input, pinned with a checkpoint (unless ``pinned`` before); which of equal rows gets
+    their place in the input, pinned with a checkpoint; which of equal rows gets
     which rank is arbitrary, so the ranked rows are the same in every run.
     """
     cols = list(key) if key else df.columns
     h = df.withColumn("__h", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in cols]))
     if key:
         return ordered_index(h, ["__h", *key], by=by, idx_col="__i").drop("__h")
-    h = h.withColumn("__row", F.monotonically_increasing_id())
-    h = h if pinned else materialize(h)
+    h = materialize(h.withColumn("__row", F.monotonically_increasing_id()))
     return ordered_index(h, ["__h", "__row"], by=by, idx_col="__i").drop("__h", "__row")
 
 
 def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, stratify: bool = False,
-          label: str = "label", key: Sequence[str] | None = None, pinned: bool = False) -> DataFrame:
+          label: str = "label", key: Sequence[str] | None = None) -> DataFrame:
     """Adds boolean ``is_test``: the ceil(test_size * n) rows of the smallest hash
     rank (per label when ``stratify``), also where rows repeat.  ``key`` names the
-    columns of a unique key, if there is one; ``pinned``: ``df`` is a written table."""
+    columns of a unique key, if there is one."""
     by = [label] if stratify else []
-    ranked = _ranked(df, seed, by, key, pinned)
+    ranked = _ranked(df, seed, by, key)
     sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) * test_size).alias("__test"))
     return join_small(ranked, sizes, by).withColumn("is_test", F.col("__i") < F.col("__test")).drop("__i", "__test")
 
@@ -201,13 +200,10 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
                        *[F.col(f"`{c}`").alias(o) for c, o in zip(order_by or [], order)],
                        *([F.col("__test").alias("is_test")] if test_flag else [])).dropna(
         how="any", subset=[*feats, "label", *(["is_test"] if test_flag else [])])
-    # the prepared rows are written once: counts, labels, split and folds read them from there
-    data = materialize(data)
-    prepared = data if test_flag else split(data, test_size, random_state, stratify=problem_type == CLASSIFICATION,
-                                            pinned=True)
+    prepared = data if test_flag else split(data, test_size, random_state, stratify=problem_type == CLASSIFICATION)
     labels = None
     if problem_type == CLASSIFICATION and label_index:
-        labs = data.select("label").distinct()
+        labs = prepared.select("label").distinct()
         labels = sorted(r["label"] for r in labs.limit(max_classes + 1).collect())
         if len(labels) > max_classes:
             raise ValueError(f"more than {max_classes} classes in {target!r}")
@@ -219,7 +215,7 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
     # iterative fits launch jobs per round and tiny partitions only add task overhead: up
     # to the cluster's parallelism ROWS_PER_PARTITION rows each, beyond it as many as
     # MAX_ROWS_PER_PARTITION needs
-    n_all = data.count()
+    n_all = prepared.count()
     forest = model_name.startswith("Random Forest")
     cores = spark.sparkContext.defaultParallelism
     parts = max(1, min(cores, -(-n_all // (FOREST_ROWS_PER_PARTITION if forest else ROWS_PER_PARTITION))),
@@ -237,10 +233,9 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
                          scale, n)
 
     # cross-validation: linear fits of all folds come from one scan of co-moments; other
-    # models are fitted once a fold, side by side as far as they leave cores free.  Fits that
-    # fill the cores, and forests, follow one another: one fit's cached rows and one fold's
-    # forest are held at a time.
-    at_once = 1 if forest else max(1, min(cv_folds + 1, cores // parts))
+    # models are fitted once a fold, the k distributed fits and the final one concurrently.
+    # Forests follow one another: one fold's forest and cached rows are held at a time.
+    at_once = 1 if forest else cv_folds + 1
     folds = None
     if cv_folds and not order:
         order = ["__hash", "__place"]
