@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -185,6 +186,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a reused table as Parquet to the reliable checkpoint folder and read it back.
+
+    As ``materialize``, for tables that many passes read: a pass reads the columns it
+    needs only, and skips row groups by their statistics.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/kiln-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def few_rows(df: DataFrame) -> bool:
     """Whether a (written) table of one row per group is small enough to broadcast."""
     return df.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS

@@ -52,8 +52,7 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     table of one row per class is written once and read by every branch."""
     y, p = F.col("y"), F.col("p")
     counts = df.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("k"))
-    both = counts.filter(y.isNotNull() & p.isNotNull()).withColumn("seen", F.lit(1)).unionByName(
-        counts.filter(y.isNull() | p.isNull()).withColumn("seen", F.lit(0)))
+    both = counts.withColumn("seen", (y.isNotNull() & p.isNotNull()).cast("int"))
     sides = both.select(F.explode(F.array(
         F.struct(y.alias("class"), F.when(y == p, F.col("k")).otherwise(F.lit(0)).alias("tp"),
                  (F.col("k") * F.col("seen")).alias("support"), F.lit(0).cast("long").alias("pred")),

@@ -27,10 +27,10 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.core import is_numeric, join_small, materialize
+from kiln.core import is_numeric, join_small, materialize, written
 from kiln.operators import metrics as M
 from kiln.plans import folds as P7
-from kiln.plans.ordering import ordered_index
+from kiln.plans.ordering import hash_places, ordered_index
 
 REGRESSION = "regression"
 CLASSIFICATION = "classification"
@@ -95,14 +95,22 @@ def _ranked(df: DataFrame, seed: int, by: list[str], key: Sequence[str] | None)
 
 
 def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, stratify: bool = False,
-          label: str = "label", key: Sequence[str] | None = None) -> DataFrame:
+          label: str = "label", key: Sequence[str] | None = None, ranked: bool = False) -> DataFrame:
     """Adds boolean ``is_test``: the ceil(test_size * n) rows of the smallest hash
     rank (per label when ``stratify``), also where rows repeat.  ``key`` names the
-    columns of a unique key, if there is one."""
+    columns of a unique key, if there is one.  Only rows near the last test row are
+    ranked; with ``ranked`` all are, and stand in the order of their ranks."""
     by = [label] if stratify else []
-    ranked = _ranked(df, seed, by, key)
-    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) * test_size).alias("__test"))
-    return join_small(ranked, sizes, by).withColumn("is_test", F.col("__i") < F.col("__test")).drop("__i", "__test")
+    if ranked:
+        rows = _ranked(df, seed, by, key)
+        sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) * test_size).alias("__test"))
+        return join_small(rows, sizes, by).withColumn("is_test", F.col("__i") < F.col("__test")).drop("__i", "__test")
+    h = df.withColumn("__h", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key or df.columns]))
+    if not key:
+        h = h.withColumn("__row", F.monotonically_increasing_id())
+    placed = hash_places(h, ["__h", *(key or ["__row"])], lambda sizes: sizes.withColumn(
+        "__b0", F.ceil(F.col("__c") * test_size)), 1, by, "__place")
+    return placed.withColumn("is_test", F.col("__place") == 0).select(*df.columns, "is_test")
 
 
 def fold_column(df: DataFrame, k: int, seed: int = 42, stratify: bool = False, label: str = "label",
@@ -200,10 +208,17 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
                        *[F.col(f"`{c}`").alias(o) for c, o in zip(order_by or [], order)],
                        *([F.col("__test").alias("is_test")] if test_flag else [])).dropna(
         how="any", subset=[*feats, "label", *(["is_test"] if test_flag else [])])
-    prepared = data if test_flag else split(data, test_size, random_state, stratify=problem_type == CLASSIFICATION)
+    forest = model_name.startswith("Random Forest")
+    # the hash decides on split and folds, so that they are found from counts and written once.  Forests
+    # draw their samples by the places of the rows, which stay in the order of their ranks
+    hashed = not test_flag and not order and not forest
+    if hashed:
+        data = written(data, "rows")
+    prepared = data if test_flag else split(data, test_size, random_state, stratify=problem_type == CLASSIFICATION,
+                                            ranked=not hashed)
     labels = None
     if problem_type == CLASSIFICATION and label_index:
-        labs = prepared.select("label").distinct()
+        labs = data.select("label").distinct()
         labels = sorted(r["label"] for r in labs.limit(max_classes + 1).collect())
         if len(labels) > max_classes:
             raise ValueError(f"more than {max_classes} classes in {target!r}")
@@ -215,15 +230,26 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
     # iterative fits launch jobs per round and tiny partitions only add task overhead: up
     # to the cluster's parallelism ROWS_PER_PARTITION rows each, beyond it as many as
     # MAX_ROWS_PER_PARTITION needs
-    n_all = prepared.count()
-    forest = model_name.startswith("Random Forest")
+    n_all = data.count()
     cores = spark.sparkContext.defaultParallelism
     parts = max(1, min(cores, -(-n_all // (FOREST_ROWS_PER_PARTITION if forest else ROWS_PER_PARTITION))),
                 -(-n_all // MAX_ROWS_PER_PARTITION))
-    prepared = prepared.repartition(parts).checkpoint(eager=True)
-    ordered = prepared.filter(~F.col("is_test")).drop("is_test")
-    train = ordered.drop(*order)
-    test = prepared.filter(F.col("is_test")).drop("is_test", *order)
+    folds, by = None, "label" if problem_type == CLASSIFICATION else None
+    if hashed:
+        if cv_folds:
+            rows = prepared.filter(~F.col("is_test"))
+            hashes = F.xxhash64(F.lit(random_state + 1), *[F.col(f"`{c}`") for c in rows.columns if c != "is_test"])
+            rows = rows.withColumn("__hash", hashes).withColumn("__place", F.monotonically_increasing_id())
+            rows = P7.contiguous_folds(rows, cv_folds, ["__hash", "__place"], by, hashed=True).drop("__hash", "__place")
+            prepared = rows.unionByName(prepared.filter("is_test"), allowMissingColumns=True)
+        prepared = written(prepared.repartition(parts), "split")
+        folds = prepared.filter(~F.col("is_test")).drop("is_test")
+        train, test = folds.drop("fold"), prepared.filter(F.col("is_test")).drop("is_test", "fold")
+    else:
+        prepared = prepared.repartition(parts).checkpoint(eager=True)
+        ordered = prepared.filter(~F.col("is_test")).drop("is_test")
+        train = ordered.drop(*order)
+        test = prepared.filter(F.col("is_test")).drop("is_test", *order)
     n_train = train.count()
     n_classes = len(labels) if labels else 2
     scale = scale_features and problem_type == REGRESSION
@@ -236,14 +262,13 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
     # models are fitted once a fold, the k distributed fits and the final one concurrently.
     # Forests follow one another: one fold's forest and cached rows are held at a time.
     at_once = 1 if forest else cv_folds + 1
-    folds = None
-    if cv_folds and not order:
+    if cv_folds and not hashed and not order:
         order = ["__hash", "__place"]
         ordered = ordered.withColumn("__hash", F.xxhash64(F.lit(random_state + 1), *[F.col(f"`{c}`") for c in
                                                                                     train.columns])) \
             .withColumn("__place", F.monotonically_increasing_id())
-    if cv_folds:
-        folds = (P7.contiguous_folds(ordered, cv_folds, order, "label" if problem_type == CLASSIFICATION else None)
+    if cv_folds and not hashed:
+        folds = (P7.contiguous_folds(ordered, cv_folds, order, by)
                  .drop(*order).repartition(parts).checkpoint(eager=True))
     if not cv_folds:
         model, cv = make(n_train).fit(train), spark.createDataFrame([], "fold int, score double")

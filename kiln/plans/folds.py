@@ -17,33 +17,44 @@ from pyspark.sql import functions as F
 
 from kiln.core import join_small
 from kiln.plans.comoments import comoments
-from kiln.plans.ordering import ordered_index
+from kiln.plans.ordering import hash_places, ordered_index
 
 #: Directions of the scaled features with a singular value below this share of the largest are left out.
 RANK_TOLERANCE = 1e-10
 
 
-def contiguous_folds(df: DataFrame, k: int, order_by: Sequence[str], by: str | None = None) -> DataFrame:
+def fold_bounds(sizes: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """Adds ``__b0``, ``__b1``, ...: the positions within a label at which its folds end, to one
+    row a label (``__c`` rows, ``__first`` the order key of the first one)."""
+    end = F.sum("__c").over(Window.orderBy("__first", by)) if by else F.col("__c")
+    sizes = sizes.withColumn("__e", end).withColumn("__s", F.col("__e") - F.col("__c"))
+    upto, bounds = F.lit(0).cast("long"), {}
+    for f in range(k):
+        upto = upto + F.ceil((F.col("__e") - f) / k) - F.ceil((F.col("__s") - f) / k)
+        bounds[f"__b{f}"] = upto
+    return sizes.withColumns(bounds).drop("__e", "__s")
+
+
+def contiguous_folds(df: DataFrame, k: int, order_by: Sequence[str], by: str | None = None,
+                     hashed: bool = False) -> DataFrame:
     """Adds ``fold`` in 0..k-1: unshuffled folds along ``order_by`` (a total order).
 
     Without ``by`` the first n % k folds hold one row more.  With ``by`` every label is
     cut into runs of its own: the labels stand one after another in the order of their
     first rows, and a fold gets as many rows of a label as places of it leave the fold's
     number when divided by k.  A NULL label is a label.  One row a label is broadcast or
-    joined by size; rows are numbered in ranges, never in one task.
+    joined by size; rows are numbered in ranges, never in one task.  ``hashed``: the first
+    column of the order is a 64-bit hash of the row and its label, and only rows near the
+    ends of folds are numbered.
     """
     keys = [by] if by else []
+    if hashed:
+        return hash_places(df, order_by, lambda sizes: fold_bounds(sizes, k, by), k, keys, "fold")
     rows = ordered_index(df, list(order_by), by=keys, idx_col="__i")
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"),
                                     F.min(F.struct(*[F.col(f"`{c}`") for c in order_by])).alias("__first"))
     # one row a label
-    end = F.sum("__c").over(Window.orderBy("__first")) if by else F.col("__c")
-    sizes = sizes.withColumn("__e", end).withColumn("__s", F.col("__e") - F.col("__c"))
-    upto, bounds = F.lit(0).cast("long"), []
-    for f in range(k):
-        upto = upto + F.ceil((F.col("__e") - f) / k) - F.ceil((F.col("__s") - f) / k)
-        bounds.append(upto)
-    sizes = sizes.select(*keys, F.array(*bounds).alias("__bounds"))
+    sizes = fold_bounds(sizes, k, by).select(*keys, F.array(*[f"__b{f}" for f in range(k)]).alias("__bounds"))
     return join_small(rows, sizes, keys).withColumn(
         "fold", F.size(F.filter("__bounds", lambda b: b <= F.col("__i"))).cast("int")).drop("__i", "__bounds")
 

@@ -10,6 +10,9 @@ task.  Instead:
   the counts of earlier buckets.  The offset table has one row per
   (group, bucket) and, without groups, one row per bucket, so it is broadcast
   with a proven size bound.
+* ``hash_places`` tells on which side of a few positions every row stands in the order
+  of a hash: a count of rows by the first bits of the hash decides for all rows but
+  those of the cells that a position cuts, and only these are put in order.
 * ``bounded_window`` evaluates any window expression whose frame lies within
   ``[-before, +after]`` rows over that index: rows are cut into buckets of
   ``bucket_rows`` consecutive positions, the few rows near a bucket edge are
@@ -30,11 +33,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.core import col_list, ensure_checkpoint_dir, join_small
+from kiln.core import col_list, ensure_checkpoint_dir, few_rows, join_small, materialize
 
 DEFAULT_BUCKET_ROWS = 1 << 20
 TARGET_BUCKET_ROWS = 1 << 21
 SUM_BLOCK_ROWS = 1 << 18
+#: First bits of a hash by which ``hash_places`` counts rows.
+HASH_CELL_BITS = 12
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -89,6 +94,49 @@ def ordered_index(df: DataFrame, order_by, by=None, idx_col: str = "_idx",
             .drop("__bk", "__rn", "__off"))
 
 
+def hash_places(df: DataFrame, order_by: Sequence[str], bounds, n_bounds: int, by=None,
+                place_col: str = "_place") -> DataFrame:
+    """Add ``place_col``: how many of its group's bounds are at or below the row's 0-based
+    position in the order of ``order_by`` within ``by``.
+
+    ``order_by`` is a total order whose first column is a 64-bit hash.  ``bounds(sizes)``
+    takes one row a group (the columns of ``by``, ``__c`` rows, ``__first`` their smallest
+    hash) and gives it ``__b0``, ``__b1``, ...: ``n_bounds`` positions.  Equal to counting
+    bounds against :func:`ordered_index`, but only the rows of the hash cells that a bound
+    cuts are ordered (those that share their first HASH_CELL_BITS bits, so all rows of a hot
+    hash); for the others the counts of the cells, 2^HASH_CELL_BITS a group, decide.
+    """
+    by, never = col_list(by), 1 << 30
+    cell, h = F.col("__cell"), F.col(f"`{order_by[0]}`")
+    numbered = df.withColumn("__cell", F.shiftright(h, 64 - HASH_CELL_BITS).cast("int"))
+    cells = materialize(numbered.groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("__n"), F.min(h).alias("__first")))
+    sizes = cells.groupBy(*by).agg(F.sum("__n").alias("__c"), F.min("__first").alias("__first"))
+    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy("__cell"))      # cells of a group, not rows
+    runs = join_small(cells.withColumn("__s", upto - F.col("__n")), bounds(sizes).drop("__c", "__first"), by)
+    s, e, js = F.col("__s"), F.col("__s") + F.col("__n"), range(n_bounds)
+    # a bound is below all rows from its first cell on, and cuts one cell at most
+    cut = [(s < F.col(f"__b{j}")) & (F.col(f"__b{j}") < e) for j in js]
+    sides = materialize(runs.groupBy(*by).agg(*[x for j in js for x in (
+        F.min(f"__b{j}").alias(f"__b{j}"), F.min(F.when(cut[j], s)).alias(f"__s{j}"),
+        F.coalesce(F.min(F.when(s >= F.col(f"__b{j}"), cell)), F.lit(never)).alias(f"__from{j}"),
+        F.coalesce(F.min(F.when(cut[j], cell)), F.lit(never)).alias(f"__cut{j}"))]))
+    few = not by or few_rows(sides)
+    rows = join_small(numbered, sides, by, broadcast_small=few)
+    inside, place = F.lit(False), F.lit(0)
+    for j in js:
+        inside, place = inside | (cell == F.col(f"__cut{j}")), place + (cell >= F.col(f"__from{j}")).cast("int")
+    outside = rows.filter(~inside).select(*df.columns, place.alias(place_col))
+    near = materialize(rows.filter(inside).select(*df.columns, "__cell", F.coalesce(
+        *[F.when(cell == F.col(f"__cut{j}"), F.col(f"__s{j}")) for j in js]).alias("__s")))
+    ranked = ordered_index(near, list(order_by), by=[*by, "__cell"], idx_col="__i",
+                           num_buckets=-(-max(1, near.count()) // DEFAULT_BUCKET_ROWS))
+    place = F.lit(0)
+    for j in js:
+        place = place + (F.col(f"__b{j}") <= F.col("__s") + F.col("__i")).cast("int")
+    ranked = join_small(ranked, sides.select(*by, *[f"__b{j}" for j in js]), by, broadcast_small=few)
+    return outside.unionByName(ranked.select(*df.columns, place.alias(place_col)))
+
+
 def bounded_window(df: DataFrame, idx_col: str, compute, before: int = 0,
                    after: int = 0, by=None,
                    bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
