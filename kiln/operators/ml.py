@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.core import is_numeric, join_small, materialize, written
+from kiln.operators import boosted
 from kiln.operators import metrics as M
 from kiln.plans import folds as P7
 from kiln.plans.ordering import hash_places, ordered_index
@@ -148,6 +149,7 @@ def get_estimator(name: str, problem_type: str, seed: int = 42, n_train: int | N
 
 
 def _pipeline(features: list[str], estimator, scale: bool, n_train: int) -> Pipeline:
+    """Assembler, scaler where ``scale``, and the estimator, if there is one."""
     stages = [VectorAssembler(inputCols=features, outputCol="raw_features" if scale else "features",
                               handleInvalid="error")]
     if scale:
@@ -156,8 +158,7 @@ def _pipeline(features: list[str], estimator, scale: bool, n_train: int) -> Pipe
         stages += [StandardScaler(inputCol="raw_features", outputCol="std_features", withMean=True, withStd=True),
                    ElementwiseProduct(inputCol="std_features", outputCol="features",
                                       scalingVec=Vectors.dense([factor] * len(features)))]
-    stages.append(estimator)
-    return Pipeline(stages=stages)
+    return Pipeline(stages=stages + [estimator] * (estimator is not None))
 
 
 @dataclass
@@ -254,9 +255,12 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
     n_classes = len(labels) if labels else 2
     scale = scale_features and problem_type == REGRESSION
 
-    def make(n):
-        return _pipeline(feats, get_estimator(model_name, problem_type, random_state, n, n_classes, tree_depth),
-                         scale, n)
+    def fitted(rows, n):
+        est = get_estimator(model_name, problem_type, random_state, n, n_classes, tree_depth)
+        if "Boost" in model_name:
+            return boosted.fit(rows, feats, _pipeline(feats, None, scale, n).fit(rows), est, n,
+                               problem_type == CLASSIFICATION)
+        return _pipeline(feats, est, scale, n).fit(rows)
 
     # cross-validation: linear fits of all folds come from one scan of co-moments; other
     # models are fitted once a fold, the k distributed fits and the final one concurrently.
@@ -271,21 +275,21 @@ def train_model(df: DataFrame, target: str, model_name: str, feature_cols: Seque
         folds = (P7.contiguous_folds(ordered, cv_folds, order, by)
                  .drop(*order).repartition(parts).checkpoint(eager=True))
     if not cv_folds:
-        model, cv = make(n_train).fit(train), spark.createDataFrame([], "fold int, score double")
+        model, cv = fitted(train, n_train), spark.createDataFrame([], "fold int, score double")
     elif model_name == "Linear Regression" and problem_type == REGRESSION:
         fits = P7.leave_fold_out_ols(folds, feats, "label", "fold", cv_folds)
         cv = materialize(P7.held_out_scores(folds, fits, feats, "label", "fold"))
-        model = make(n_train).fit(train)
+        model = fitted(train, n_train)
     else:
         held = {r["fold"]: r["count"] for r in folds.groupBy("fold").count().collect()}   # one row a fold
 
         def fold_score(k):
-            fit = make(n_train - held.get(k, 0)).fit(folds.filter(F.col("fold") != k).drop("fold"))
+            fit = fitted(folds.filter(F.col("fold") != k).drop("fold"), n_train - held.get(k, 0))
             s = _score(fit.transform(folds.filter(F.col("fold") == k).drop("fold")), problem_type)
             return s.select(F.lit(k + 1).alias("fold"), "score").checkpoint(eager=True)
 
         with ThreadPoolExecutor(max_workers=at_once) as pool:
-            final = pool.submit(lambda: make(n_train).fit(train))
+            final = pool.submit(lambda: fitted(train, n_train))
             scores = list(pool.map(fold_score, range(cv_folds)))
             model = final.result()
         cv = scores[0]
