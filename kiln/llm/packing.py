@@ -38,7 +38,8 @@ class WordTokenizer:
 
     The merges run in tiktoken, with a blank after each word in place of the mark:
     ranks are single bytes, then bytes with the mark, then the merges in their order.
-    A text with a character beyond COMMON goes to the tokenizers library itself.
+    A text with a character beyond COMMON, or with the string of an added token, goes to
+    the tokenizers library itself.
     """
 
     def __init__(self, path: str):
@@ -49,7 +50,8 @@ class WordTokenizer:
 
         from kiln.llm.cross_tokens import byte_alphabet
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, self.added = file["model"], [t["content"] for t in file["added_tokens"]]
         self.exact = Tokenizer.from_file(path)
         alphabet, mark = byte_alphabet(), model["end_of_word_suffix"]
 
@@ -66,7 +68,7 @@ class WordTokenizer:
                                       mergeable_ranks={t: i for i, t in enumerate(order)})
 
     def encode(self, text: str) -> np.ndarray:
-        if not COMMON(text):
+        if not COMMON(text) or any(t in text for t in self.added):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
         words = WORDS(text.lower())
         words.append("")
