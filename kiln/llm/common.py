@@ -57,13 +57,24 @@ def bounded_sample(rows: DataFrame, at_most: int, seed: str = "sample") -> DataF
             .orderBy("__h").limit(at_most).drop("__h").repartition(max(1, at_most // 1000)))
 
 
+#: Lets Spark delete the shuffle files of a query when it ends, not when the driver next collects its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write an intermediate as a table in the shared folder of the cluster
     (``spark.checkpoint.dir``) and read it back: the lineage is cut and lost
-    executors cost nothing that has been written."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executors cost nothing that has been written.  The shuffle files of the write go
+    with its end, as nothing reads them any more."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unstaged(df: DataFrame) -> None:

@@ -1,12 +1,14 @@
 """Linked classes from shared keys, without forming the pairs of a group.
 
 Documents that link share a key.  First every member of a key's group is compared
-with the group's smallest member only, one row a comparison; what links there falls
-into components, and most groups are done.  The groups that still hold several
-components, joined by common members to pools, are dealt by set size into blocks of bounded
-size; in a task that holds one block, the members outside a group's largest
+with the group's smallest member (its hub) only, one row a comparison; what links there falls
+into components, and most groups are done.  The other members of all groups of one hub
+are a pool; where they hold several components they are dealt by set size into blocks of
+bounded size; in a task that holds one block, the members outside a pool's largest
 component are compared with all members of the block, and only links leave it.
 Each pair that shares a key is thus either compared or known to be in one component.
+Pools are not joined further by the members they have in common: those would chain
+most groups of a large table to one, whose blocks grow with its square.
 """
 
 from __future__ import annotations
@@ -31,31 +33,32 @@ def sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 
 def _mixed(grouped: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (key, node, n, hub, c, outside) of the groups that hold several
-    components: the member's component, and whether it is not the group's largest."""
-    member = grouped.join(found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select(
-        "key", "node", "n", "hub", F.coalesce("component", "node").alias("c"))
-    parts = member.groupBy("key", "c").agg(F.count("*").alias("k"))
-    top = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).filter(
+    """Members (pool, node, n, c, outside) of the pools that hold several components, a
+    pool named by its hub, which is none of them: the member's component, and whether it
+    is not the pool's largest."""
+    member = grouped.filter("node <> hub").select(F.col("hub").alias("pool"), "node", "n").distinct().join(
+        found.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select(
+        "pool", "node", "n", F.coalesce("component", "node").alias("c"))
+    parts = member.groupBy("pool", "c").agg(F.count("*").alias("k"))
+    top = parts.groupBy("pool").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).filter(
         "parts > 1").drop("parts")
-    return member.join(top, "key").withColumn("outside", F.col("c") != F.col("top")).drop("top")
+    return member.join(top, "pool").withColumn("outside", F.col("c") != F.col("top")).drop("top")
 
 
-def _cells(mixed: DataFrame, percent: int, block: int, made: list[DataFrame]) -> DataFrame:
+def _cells(mixed: DataFrame, percent: int, block: int) -> DataFrame:
     """(pool, band, x, y, node, c, probe): the members of pools by band of set sizes, and
     those to be compared in their own band and the two beside it, as linked sets are
     never further apart; members in blocks x, compared ones in blocks y, every one
-    with every other of the same pool and band."""
-    pool = staged(components(mixed.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "pools")
+    with every other of the same pool and band.  Bands of one component are left out."""
     width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
-    rows = staged(mixed.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.max("outside").alias("outside"))
-                  .join(pool.withColumnRenamed("component", "pool"), "node")
-                  .withColumn("band", F.floor(F.log("n") / width)), "pooled")
-    made += [pool, rows]
+    rows = mixed.withColumn("band", F.floor(F.log("n") / width))
     near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
     sent = rows.filter("outside").withColumn("band", F.explode(near))
-    blocks = lambda df, name: df.groupBy("pool", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias(name))
-    size = blocks(rows, "xs").join(blocks(sent, "ys"), ["pool", "band"])
+    role = lambda df, probe: df.select("pool", "band", "n", "c", F.lit(probe).alias("probe"))
+    blocks = lambda of, name: F.ceil(F.sum(F.when(of, F.col("n"))) / block).cast("int").alias(name)
+    size = role(rows, False).unionByName(role(sent, True)).groupBy("pool", "band").agg(
+        blocks(~F.col("probe"), "xs"), blocks(F.col("probe"), "ys"), F.min("c").alias("low"), F.max("c").alias("high")).filter(
+        "xs > 0 and ys > 0 and low < high").drop("low", "high")
     number = F.xxhash64("node")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = rows.join(size, ["pool", "band"]).select(
@@ -115,12 +118,11 @@ def linked_components(keys: DataFrame, percent: int, links: Callable[[DataFrame,
         .distinct(), "pairs")
     first = written(links, pairs)
     found = staged(components(first), "components")
-    made = []
     mixed = staged(_mixed(grouped, found), "mixed")
     unstaged(grouped)
-    cells = staged(_cells(mixed, percent, block, made), "cells")
+    cells = staged(_cells(mixed, percent, block), "cells")
     second = written(cell_links, cells)
     out = staged(components(first.unionByName(second)), "components")
-    for t in (pairs, first, found, mixed, cells, second, *made):
+    for t in (pairs, first, found, mixed, cells, second):
         unstaged(t)
     return out
